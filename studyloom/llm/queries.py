@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, quality, rules, secret, tokencount
+from . import bpe, chat, decontam, langid, minhash, quality, rules, runindex, secret, tokencount
 from ._shared import bucket_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,12 +59,22 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", decontam.items_digest().alias("items_sha256"), "contaminated")
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return runindex.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     judged = rules.quality_rules(docs, keep_text=False)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: its class of near-duplicates and the number of documents it is linked with."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-7, i, role, r"\### Assistant: </turn> ok") for i, role in enumerate(("user", "assistant"))], rows.schema)
@@ -88,6 +98,34 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS B
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+#: Windows as digests of 100-byte slices, their first occurrences, gaps and islands of the rest.
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+win AS (SELECT doc_id, s, md5(substring(h, 2 * s + 1, 200)) AS w FROM (SELECT doc_id, h, unnest(range(n - 99)) AS s FROM d WHERE n >= 100)),
+later AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) AS k FROM win) WHERE k > 1),
+marked AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS opens FROM later),
+island AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM marked) GROUP BY doc_id, g),
+piece AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM island
+          UNION ALL SELECT d.doc_id, coalesce(max(b), 0), any_value(n) FROM d LEFT JOIN island USING (doc_id) GROUP BY d.doc_id),
+kept AS (SELECT doc_id, coalesce(string_agg(substring(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a), '') AS k FROM piece JOIN d USING (doc_id) GROUP BY doc_id),
+total AS (SELECT doc_id, sum(b - a) AS r, count(*) AS c FROM island GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, CAST(coalesce(c, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN total USING (doc_id)
+"""
+
+#: All pairs that share an n-gram, exact similarities, and components by recursion.
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, hash(array_to_string(list_slice(w, i, i + 4), ' ')) AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+pair AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL) p
+         JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE c >= 0.8 * (na.n + nb.n - c)),
+reach AS (SELECT a AS doc_id, b AS other FROM pair UNION SELECT r.doc_id, p.b FROM reach r JOIN pair p ON p.a = r.other)
+SELECT doc_id, least(doc_id, coalesce(least_other, doc_id)) AS class_id, coalesce(links, 0) AS n_links
+FROM w LEFT JOIN (SELECT doc_id, min(other) AS least_other FROM reach GROUP BY doc_id) USING (doc_id)
+       LEFT JOIN (SELECT a AS doc_id, count(*) AS links FROM pair GROUP BY a) USING (doc_id)
+"""
+
 #: The sketches of the small tables hold all their values, so quantile_disc gives the same thresholds.
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
@@ -117,8 +155,8 @@ FROM m LEFT JOIN q ON m.lang IS NOT DISTINCT FROM q.lang AND m.source IS NOT DIS
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_quality, op3_token_count, op4_bpe, op5_language, op6_decontaminate, op8_quality_rules, op10_chat)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_quality, op3_token_count, op4_bpe, op5_language, op6_decontaminate, op7_repeats, op8_quality_rules, op9_jaccard_join, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": OP6_SQL, "op8_quality_rules": OP8_SQL}
+    return {"op6_decontaminate": OP6_SQL, "op7_repeats": OP7_SQL, "op8_quality_rules": OP8_SQL, "op9_jaccard_join": OP9_SQL}
