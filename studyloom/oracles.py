@@ -150,8 +150,69 @@ listed AS (SELECT doc_id, rank, term, definition, list(o ORDER BY sha256(term ||
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY rank) AS INTEGER) AS ord, 'What is ' || term || '?' AS prompt, array_to_string(o, chr(10)) AS options, CAST(list_position(o, definition) - 1 AS INTEGER) AS correct_index FROM listed QUALIFY ord <= 10"""
 
 
+def rows(columns: str, *values: tuple) -> str:
+    """A table of expected rows, for fixtures whose answers are written down and not computed."""
+    cell = lambda v: "NULL" if v is None else f"CAST({v!r} AS DOUBLE)" if isinstance(v, float) else repr(v) if not isinstance(v, str) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, v)) + ')' for v in values)}) AS t({columns})"
+
+
+#: What the sentences of the fixtures define, by hand.
+FX_DEFINITIONS = rows(
+    "doc_id, term, definition, pattern, confidence",
+    (1, "stack", "A linear data structure that follows last in first out order.", "copular", 0.8),
+    (2, "queue", "A linear data structure that follows first in first out order.", "copular", 0.8),
+    (3, "stack", "A linear data structure.", "cue", 0.95),
+    (5, "binary search tree", "A node-based tree.", "appos", 0.5),
+    (6, "stack", "A type of linear data structure.", "hypernym", 0.8),
+    (11, "graph", "A data structure of vertices and edges in computing.", "copular", 0.8),
+    (12, "graph", "A non-linear data structure consisting of vertices and edges.", "copular", 0.8),
+    (13, "stack", "A LIFO structure.", "copular", 0.8),
+)
+
+#: What they state, by pattern, by hand.
+FX_FACTS = {
+    "consist_of": [(21, "tree", "Nodes with a key and two child pointers.")],
+    "possess_property": [(22, "binary search tree", "A time complexity of logarithmic order in the balanced case.")],
+    "possess_salient": [(23, "list", "A pointer to the next node in the chain.")],
+    "difference_between": [(25, "stack", "The order of removal.")],
+    "differ_from": [(34, "stack", "A stack differs from a queue in the order of removal.")],
+    "unlike": [(26, "linked lists", "Linked lists do not require contiguous memory.")],
+    "comparative_than": [(35, "Quicksort", "Faster than bubble sort.")],
+    "used_to_xcomp": [(28, "stack", "To reverse a string in place.")],
+    "used_for": [(36, "hash table", "Constant lookup of keys.")],
+    "useful_for": [(37, "heap", "Scheduling of many jobs.")],
+    "enable": [(38, "index", "A search of the whole table.")],
+    "begin_by": [(39, "process", "Reading the input file.")],
+    "ordered_chain": [(29, "algorithm", "The algorithm first sorts the array and then merges the two halves.")],
+}
+
+#: The order-dependent choice among the facts of fixtures, by hand.
+FX_SELECTION = rows(
+    "doc_id, ord, front, back, kind, confidence",
+    (1, 1, "tree — properties", "Nodes with a key.", "PROPERTY", 0.9),
+    (1, 2, "stack vs. queue", "The order of removal.", "COMPARISON", 0.85),
+    (1, 3, "Tree — purpose", "Keeping keys in order.", "PURPOSE", 0.8),
+    (1, 4, "tree — how it works", "Splits a full node.", "PROCESS", 0.75),
+    (1, 5, "list", "Growing without copies.", "PURPOSE", 0.6),
+    (2, 1, "heap — purpose", "Scheduling of many jobs.", "PURPOSE", 0.65),
+    (2, 2, "heap — how it works", "Sifts the last item up.", "PROCESS", 0.55),
+)
+
+FX_SYNONYMS = """WITH RECURSIVE r(term, relation, other) AS (VALUES {values}),
+above(term, other) AS (SELECT term, other FROM r WHERE relation = 'wider' UNION SELECT a.term, r.other FROM above a JOIN r ON r.term = a.other AND r.relation = 'wider')
+SELECT term, other FROM above UNION SELECT term, other FROM r WHERE relation <> 'wider'"""
+
+
 def all_sql() -> dict[str, str]:
+    from .fixtures import RELATIONS
+
     return {
+        "fx_definitions": FX_DEFINITIONS,
+        "selection_fold": FX_SELECTION,
+        "synonym_antijoin": FX_SYNONYMS.format(values=", ".join(map(repr, RELATIONS))),
+        "job_deadletter": rows("value", ('{"job_id": "j3"}',), ("not a job",)),
+        "result_route": rows("queue, correlation, message", ("q1", "c1", '{"jobId":"j1","correlationId":"c1","ok":true,"error":null,"result":null}'), ("results", "j2", '{"jobId":"j2","correlationId":null,"ok":true,"error":null,"result":null}'), ("results", "j4", '{"jobId":"j4","correlationId":null,"ok":true,"error":null,"result":null}')),
+        **{f"fact_{p}": rows("doc_id, pattern, term, back", *((d, p, t, b) for d, t, b in own)) for p, own in FX_FACTS.items()},
         "norm_text": f"SELECT doc_id, {normalise('text')} AS text FROM documents",
         "collapse_ws": f"SELECT doc_id, {collapse('text')} AS text FROM documents",
         "list_marker": f"SELECT doc_id, CAST(k - 1 AS INTEGER) AS pos, regexp_replace(l, '^{WS}*(?:[-•*·]|\\(?[0-9]{{1,3}}[.)]){WS}*', '') AS line FROM (SELECT doc_id, generate_subscripts(x, 1) AS k, unnest(x) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))",

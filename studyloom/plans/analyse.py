@@ -64,11 +64,12 @@ class Analysis:
 
     @cached_property
     def definitions(self) -> DataFrame:
-        return definitions.extract(self.sentences, annotate.chunk_counts(self.chunks), 2 * self.options.max_cards)
+        # Cards, facts' room and quiz all start from these few rows.
+        return definitions.extract(self.sentences, annotate.chunk_counts(self.chunks), 2 * self.options.max_cards).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def facts(self) -> DataFrame:
-        return facts.extract(self.sentences, salience.sentence_salience(self.ranks), salience.salient_keys(self.all_keywords))
+        return facts.extract(self.sentences, salience.sentence_salience(self.ranks), salience.salient_keys(self.all_keywords)).persist(StorageLevel.MEMORY_AND_DISK)
 
     @property
     def cards(self) -> DataFrame:
