@@ -164,7 +164,7 @@ FX_DEFINITIONS = rows(
     (3, "stack", "A linear data structure.", "cue", 0.95),
     (5, "binary search tree", "A node-based tree.", "appos", 0.5),
     (6, "stack", "A type of linear data structure.", "hypernym", 0.8),
-    (11, "graph", "A data structure of vertices and edges in computing.", "copular", 0.8),
+    (11, "graph", "A data structure of vertices and edges.", "copular", 0.8),
     (12, "graph", "A non-linear data structure consisting of vertices and edges.", "copular", 0.8),
     (13, "stack", "A LIFO structure.", "copular", 0.8),
 )
