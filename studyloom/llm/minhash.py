@@ -46,10 +46,10 @@ def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, max_hashes:
     """(bands, rows): the most rows a band, hence the fewest false meetings, with which max_hashes reach the recall."""
     best = (max_hashes, 1)
     for rows in range(1, max_hashes + 1):
-        missed = 1 - threshold**rows
-        bands = int(np.ceil(np.log(1 - recall) / np.log(missed))) if 0 < missed < 1 else 1
+        meets = threshold**rows
+        bands = np.ceil(np.log(1 - recall) / np.log1p(-meets)) if meets < 1 else 1
         if bands * rows <= max_hashes:
-            best = (max(1, bands), rows)
+            best = (max(1, int(bands)), rows)
     return best
 
 
