@@ -44,7 +44,7 @@ def test_quiz(lesson):
 
 
 def test_summary_and_stats(lesson):
-    rows = sorted(lesson.summary.collect(), key=lambda r: r.index)
+    rows = sorted(lesson.summary.collect(), key=lambda r: r["index"])
     assert len(rows) == 5
     stats = lesson.stats.first()
     assert stats.sentences == 12
