@@ -12,7 +12,7 @@ for name in {gone}:
 import __spark_entry__ as e
 names, sql = set(e.queries()), set(e.oracle_sql())
 assert sql <= names, sql - names
-print(len(names), any(n.startswith('op') or n == 'pipeline' for n in names))
+print(len(names), any(n[:2] == 'op' and n[2].isdigit() or n == 'pipeline' for n in names))
 """
 
 
