@@ -16,6 +16,8 @@ texts, so that the index is built over distinct contexts only:
    alone: between sampled positions the neighbour moves along and the common length falls by one. Positions that
    match 100 bytes or more are linked to their neighbour; in each group of linked positions all but the one that
    starts earliest in the corpus are marked.
+   An anchor with more contexts than one index should hold is dealt by window instead: its windows' hashes keep their
+   first place by partial aggregation, and all others are marked.
 3. Removal. The marked ranges of a document meet its text, which is cut in one pass.
 
 Matches are exact up to 64-bit hashes of contexts, which carry their anchor's hash as well. Defined results: null
@@ -27,6 +29,7 @@ cross documents; texts under 100 bytes stay whole.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import append, cut, utf8
+from ._shared import append, cut, small_side, utf8
 
 LENGTH, ANCHOR = 100, 32
 #: Bytes of contexts in one index: groups are added until there are so many.
-INDEX_BYTES = 1 << 21
-#: Bytes of text that are hashed at once.
-CHUNK = 1 << 19
+INDEX_BYTES = 1 << 20
+#: Distinct contexts of an anchor beyond which they are dealt by window and not indexed together.
+HOT_CONTEXTS = 50_000
 
 U = np.uint64
 _rng = np.random.default_rng(20)
@@ -212,14 +215,14 @@ class RunIndex:
     def __init__(self, strings: list[bytes]) -> None:
         sizes = np.array([len(s) for s in strings])
         self.starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-        data = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64)
-        self.size = n = len(data)
-        ends = self.starts + sizes
-        symbols = data + len(strings)
-        symbols[ends] = np.arange(len(strings))  # an end mark of its own each, below all bytes
-        order, levels = suffix_order(symbols, len(strings) + 256)
+        symbols = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1
+        self.size = len(symbols)
+        symbols[self.starts + sizes] = 0  # an end mark, below all bytes
+        order, levels = suffix_order(symbols)
         common = neighbour_lengths(order, levels)
+        # End marks differ from each other, so none of them continues a run.
         before = symbols[order - 1]
+        before[before == 0] = -1 - np.arange((before == 0).sum())
         heads = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
         self.runs = len(heads)
         # Samples at run heads: position, the neighbour above and their common length, in text order.
@@ -238,22 +241,51 @@ class RunIndex:
         return np.where((self.above[sample] >= 0) & (length > 0), self.above[sample] + moved, -1), np.maximum(length, 0)
 
 
-def suffix_order(symbols: np.ndarray, top: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Suffix order by prefix doubling, and the ranks by the first 1, 2, 4, … symbols on the way."""
+#: Symbols that one sort key holds: 9 bits each.
+PACKED = 7
+
+
+def suffix_order(symbols: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Suffix order by prefix doubling, and the ranks by the first 7, 14, 28, … symbols on the way.
+
+    An end mark (0) is a symbol of its own, in the order of positions: no two suffixes are equal, and what stands
+    behind an end mark never decides.
+    """
     n = len(symbols)
-    rank, step, levels = symbols, 1, [(1, symbols)]
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: n - step] = rank[step:] + 1
-        key = rank * (max(top, n) + 2) + second
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        fresh = np.empty(n, np.int64)
-        fresh[order] = np.cumsum(np.concatenate(([0], ordered[1:] != ordered[:-1])))
-        rank, step = fresh, 2 * step
-        if rank[order[-1]] == n - 1:
-            return order, levels
+    key, open_yet = np.zeros(n, np.int64), np.ones(n, bool)
+    padded = np.concatenate((symbols, np.zeros(PACKED, np.int64)))
+    for k in range(PACKED):
+        here = np.where(open_yet, padded[k : k + n], 0)
+        key = key << 9 | here
+        open_yet &= here > 0
+    order = np.argsort(key)
+    ended = order[~open_yet[order]]
+    order[~open_yet[order]] = ended[np.lexsort((ended, key[ended]))]
+    ordered = key[order]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.cumsum(np.concatenate(([0], (ordered[1:] != ordered[:-1]) | ~open_yet[order][1:])))
+    step, levels = PACKED, [(1, np.where(symbols > 0, symbols, -1 - np.arange(n)))]
+    while rank[order[-1]] != n - 1:
         levels.append((step, rank))
+        # Only suffixes that share their rank are sorted on.
+        size = np.bincount(rank, minlength=n)
+        left = np.flatnonzero(size[rank] > 1)
+        key = rank[left] * (n + 1) + np.where(left + step < n, rank[np.minimum(left + step, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        left, key = left[by], key[by]
+        # A group's place is the number of suffixes before it; ranks inside follow the new keys.
+        place = np.concatenate(([0], np.cumsum(size)))[rank[left]]
+        group = np.concatenate(([True], rank[left][1:] != rank[left][:-1]))
+        first = np.maximum.accumulate(np.where(group, np.arange(len(left)), 0))
+        order[place + np.arange(len(left)) - first] = left
+        fresh = np.zeros(n, np.int64)
+        fresh[order] = 1
+        again = np.concatenate(([True], (key[1:] != key[:-1])))
+        starts = np.ones(n, bool)
+        starts[place + np.arange(len(left)) - first] = again
+        fresh[order] = np.cumsum(starts) - 1
+        rank, step = fresh, 2 * step
+    return order, levels
 
 
 def neighbour_lengths(order: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np.ndarray:
@@ -262,12 +294,12 @@ def neighbour_lengths(order: np.ndarray, levels: list[tuple[int, np.ndarray]]) -
     a, b = order[:-1].copy(), order[1:].copy()
     total = np.zeros(n - 1, np.int64)
     for step, rank in reversed(levels):
-        inside = (a < n) & (b < n)
-        equal = np.zeros(n - 1, bool)
-        equal[inside] = rank[a[inside]] == rank[b[inside]]
-        total[equal] += step
-        a[equal] += step
-        b[equal] += step
+        for _ in range(PACKED - 1 if step == 1 else 1):
+            inside = np.flatnonzero((a < n) & (b < n))
+            equal = inside[rank[a[inside]] == rank[b[inside]]]
+            total[equal] += step
+            a[equal] += step
+            b[equal] += step
     return np.concatenate(([0], total))
 
 
@@ -299,13 +331,29 @@ def repeats(strings: list[bytes], docs: np.ndarray, firsts: np.ndarray, length:
     return d[later], s[later], s[later] + length
 
 
-def indexed(length: int, index_bytes: int) -> Callable:
+def may_match(strings: list[bytes], lefts: list[int], anchor: int, length: int) -> list[bool]:
+    """Whether a context of an anchor can share a window with another one of the same anchor.
+
+    A window holds at least half of what it has besides the anchor on one side; so some other context must have the
+    same bytes there, on the left or on the right. A place of the anchor that isn't known (-1) lets all pass.
+    """
+    if min(lefts) < 0:
+        return [True] * len(strings)
+    half = (length - anchor) // 2
+    before = [s[a - half : a] if a >= half else b"" for s, a in zip(strings, lefts, strict=True)]
+    after = [s[a + anchor : a + anchor + half] if len(s) >= a + anchor + half else b"" for s, a in zip(strings, lefts, strict=True)]
+    one, two = Counter(before), Counter(after)
+    return [(bool(x) and one[x] > 1) or (bool(y) and two[y] > 1) for x, y in zip(before, after, strict=True)]
+
+
+def indexed(length: int, anchor: int, index_bytes: int) -> Callable:
     """Contexts in the order of their anchors: groups are put together until an index is full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strings: list[bytes] = []
         docs: list[int] = []
         firsts: list[int] = []
+        group: list[tuple] = []
         size, now = 0, None
 
         def close() -> pa.RecordBatch:
@@ -315,24 +363,69 @@ def indexed(length: int, index_bytes: int) -> Callable:
             firsts.clear()
             return covers_batch(*found)
 
+        def add() -> int:
+            if len(group) < 2:
+                group.clear()
+                return 0
+            kept = may_match([g[2] for g in group], [g[3] for g in group], anchor, length)
+            for (doc, first, data, _), fits in zip(group, kept, strict=True):
+                if fits:
+                    strings.append(data)
+                    docs.append(doc)
+                    firsts.append(first)
+            added = sum(len(g[2]) + 1 for g, fits in zip(group, kept, strict=True) if fits)
+            group.clear()
+            return added
+
         for batch in batches:
-            for key, doc, first, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != now and size >= index_bytes:
-                    yield close()
-                    size = 0
+            for key, doc, first, data, left in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    size += add()
+                    if size >= index_bytes:
+                        yield close()
+                        size = 0
                 now = key
-                strings.append(data)
-                docs.append(doc)
-                firsts.append(first)
-                size += len(data) + 1
+                group.append((doc, first, data, left))
+        add()
         if strings:
             yield close()
 
     return run
 
 
-def marked(docs: DataFrame, id_col: str, text_col: str, length: int, anchor: int, index_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """(rows with id, text and doc, a number that follows their order; ranges to remove by doc)."""
+def windows(length: int) -> Callable:
+    """Every window of a context: two hashes, doc and where it starts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts: list[tuple] = []
+            for doc, first, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                n = len(data) - length + 1
+                raw = np.frombuffer(data, np.uint8)
+                sums = []
+                for values in (_BYTES[raw], mix(_BYTES[raw])):
+                    prefix = np.concatenate((np.zeros(1, U), np.cumsum(values * powers(_BASE, len(raw)), dtype=U)))
+                    sums.append(mix((prefix[length:] - prefix[:n]) * powers(_INVERSE, n)).view(np.int64))
+                parts.append((*sums, np.full(n, doc, np.int64), np.arange(first, first + n, dtype=np.int64)))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["one", "two", "doc", "first"])
+
+    return run
+
+
+def later_windows(contexts: DataFrame, length: int) -> DataFrame:
+    """doc, first, last of the windows that start earlier elsewhere."""
+    rows = contexts.select("key", "doc", "first", "data").mapInArrow(windows(length), "one long, two long, doc long, first long").distinct()
+    heads = rows.groupBy("one", "two").agg(F.min(F.struct("doc", "first")).alias("head"))
+    later = rows.join(heads, ["one", "two"]).where(F.struct("doc", "first") != F.col("head"))
+    return later.select("doc", F.col("first").cast("int").alias("first"), (F.col("first") + length).cast("int").alias("last"))
+
+
+def marked(docs: DataFrame, id_col: str, text_col: str, length: int, anchor: int, index_bytes: int, hot_contexts: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with id, text and doc, ranges to remove by doc).
+
+    doc is a number that follows the order of documents: the id, or id * most + place.
+    """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     most = own.where("id is not null").groupBy("id").count().agg(F.max("count")).first()[0] or 1
     if most > 1:
@@ -341,6 +434,7 @@ def marked(docs: DataFrame, id_col: str, text_col: str, length: int, anchor: int
         own = cut(own.withColumn("doc", F.when(F.col("id").isNotNull(), F.col("id") * most + place)))
     else:
         own = own.withColumn("doc", F.col("id"))
+    # The same rows, dealt alike, meet their contexts and later their ranges: Spark shuffles them once.
     known = own.where("doc is not null").select(F.col("doc").cast("long").alias("doc"), "text")
     parsed = known.mapInArrow(parse(length, anchor), ROWS).repartition("key").sortWithinPartitions("key", "context", "doc", "first")
     kept = cut(parsed.mapInArrow(gather, ROWS))
@@ -351,7 +445,7 @@ def marked(docs: DataFrame, id_col: str, text_col: str, length: int, anchor: int
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, doc, first, data = [], [], [], []
+            keys, doc, first, data, left = [], [], [], [], []
             for d, text, contexts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = utf8(text)
                 for c in contexts:
@@ -359,17 +453,25 @@ def marked(docs: DataFrame, id_col: str, text_col: str, length: int, anchor: int
                     doc.append(d)
                     first.append(c["first"])
                     data.append(raw[c["first"] : c["last"]])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(doc, pa.int64()), pa.array(first, pa.int32()), pa.array(data, pa.binary())], ["key", "doc", "first", "data"])
-
-    contexts = texts.mapInArrow(sliced, "key long, doc long, first int, data binary").repartition("key").sortWithinPartitions("key", "doc", "first")
-    more = contexts.mapInArrow(indexed(length, index_bytes), ROWS)
-    covers = kept.where(F.col("kind") == COVER).unionByName(more).groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("ranges")).withColumnRenamed("doc", "of")
+                    left.append(length - anchor if c["first"] else c["last"] - length if c["last"] < len(raw) else -1)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(doc, pa.int64()), pa.array(first, pa.int32()), pa.array(data, pa.binary()), pa.array(left, pa.int32())], ["key", "doc", "first", "data", "left"])
+
+    contexts = texts.mapInArrow(sliced, "key long, doc long, first int, data binary, left int")
+    covers = kept.where(F.col("kind") == COVER).select("doc", "first", "last")
+    hot = cut(kept.where(F.col("kind") == FOUND).groupBy("key").count().where(F.col("count") > hot_contexts).select("key"))
+    if hot.limit(1).count():
+        hot = small_side(hot, 100_000)
+        covers = covers.unionByName(later_windows(contexts.join(hot, "key", "left_semi"), length))
+        contexts = contexts.join(hot, "key", "left_anti").select("key", "doc", "first", "data", "left")
+    indexing = contexts.repartition("key").sortWithinPartitions("key", "doc", "first")
+    covers = covers.unionByName(indexing.mapInArrow(indexed(length, anchor, index_bytes), ROWS).select("doc", "first", "last"))
+    covers = covers.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("ranges")).withColumnRenamed("doc", "of")
     return own, covers
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, index_bytes: int = INDEX_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, index_bytes: int = INDEX_BYTES, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """A row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes)."""
-    own, covers = marked(docs, id_col, text_col, length, anchor, index_bytes)
+    own, covers = marked(docs, id_col, text_col, length, anchor, index_bytes, hot_contexts)
     joined = own.join(covers, F.col("doc") == F.col("of"), "left").select(F.col("id").alias(id_col), "text", "ranges")
 
     def make():
