@@ -61,7 +61,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return runindex.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return runindex.remove_repeats(docs, keep_bytes=False)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -421,8 +421,8 @@ def later_windows(contexts: DataFrame, length: int) -> DataFrame:
     return later.select("doc", F.col("first").cast("int").alias("first"), (F.col("first") + length).cast("int").alias("last"))
 
 
-def marked(docs: DataFrame, id_col: str, text_col: str, length: int, anchor: int, index_bytes: int, hot_contexts: int) -> tuple[DataFrame, DataFrame]:
-    """(rows with id, text and doc, ranges to remove by doc).
+def marked(docs: DataFrame, id_col: str, text_col: str, length: int, anchor: int, index_bytes: int, hot_contexts: int) -> tuple[DataFrame, DataFrame, int]:
+    """(doc and text of the rows with an id, ranges to remove by doc, most rows of an id).
 
     doc is a number that follows the order of documents: the id, or id * most + place.
     """
@@ -466,22 +466,25 @@ def marked(docs: DataFrame, id_col: str, text_col: str, length: int, anchor: int
     indexing = contexts.repartition("key").sortWithinPartitions("key", "doc", "first")
     covers = covers.unionByName(indexing.mapInArrow(indexed(length, anchor, index_bytes), ROWS).select("doc", "first", "last"))
     covers = covers.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("ranges")).withColumnRenamed("doc", "of")
-    return own, covers
+    return known, covers, most
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, index_bytes: int = INDEX_BYTES, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
-    """A row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes)."""
-    own, covers = marked(docs, id_col, text_col, length, anchor, index_bytes, hot_contexts)
-    joined = own.join(covers, F.col("doc") == F.col("of"), "left").select(F.col("id").alias(id_col), "text", "ranges")
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, index_bytes: int = INDEX_BYTES, hot_contexts: int = HOT_CONTEXTS, keep_bytes: bool = True) -> DataFrame:
+    """A row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256 and, by choice, kept (the remaining bytes)."""
+    known, covers, most = marked(docs, id_col, text_col, length, anchor, index_bytes, hot_contexts)
+    kind = docs.schema[id_col].dataType
+    joined = known.join(covers, F.col("doc") == F.col("of"), "left").select(F.expr(f"(doc - pmod(doc, {most})) div {most}").cast(kind).alias(id_col), "text", "ranges")
+    without = docs.where(F.col(id_col).isNull()).select(F.col(id_col), F.col(text_col).alias("text"), F.lit(None).cast("array<struct<first:int,last:int>>").alias("ranges"))
 
     def make():
         def fn(batch):
-            out = [removed(utf8(text), ranges) for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            out = [removed(utf8(text), ranges)[: 5 if keep_bytes else 4] for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             return list(zip(*out, strict=True))
 
         return fn
 
-    return append(joined, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", make, drop=("text", "ranges"))
+    ddl = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
+    return append(joined.unionByName(without), ddl, make, drop=("text", "ranges"))
 
 
 def removed(data: bytes, ranges: list[dict] | None) -> tuple[int, int, int, str, bytes]:
