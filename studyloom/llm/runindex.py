@@ -41,7 +41,7 @@ from ._shared import append, cut, small_side, utf8
 
 LENGTH, ANCHOR = 100, 32
 #: Bytes of contexts in one index: groups are added until there are so many.
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 18
 #: Distinct contexts of an anchor beyond which they are dealt by window and not indexed together.
 HOT_CONTEXTS = 50_000
 
@@ -216,10 +216,9 @@ class RunIndex:
         sizes = np.array([len(s) for s in strings])
         self.starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
         symbols = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1
-        self.size = len(symbols)
+        self.size = n = len(symbols)
         symbols[self.starts + sizes] = 0  # an end mark, below all bytes
         order, levels = suffix_order(symbols)
-        common = neighbour_lengths(order, levels)
         # End marks differ from each other, so none of them continues a run.
         before = symbols[order - 1]
         before[before == 0] = -1 - np.arange((before == 0).sum())
@@ -227,8 +226,9 @@ class RunIndex:
         self.runs = len(heads)
         # Samples at run heads: position, the neighbour above and their common length, in text order.
         above = np.where(heads > 0, order[heads - 1], -1)
-        by_text = np.argsort(order[heads], kind="stable")
-        self.position, self.above, self.common = order[heads][by_text], above[by_text], np.where(heads > 0, common[heads], 0)[by_text]
+        common = common_lengths(np.where(heads > 0, order[heads - 1], n), order[heads], levels)
+        by_text = np.argsort(order[heads])
+        self.position, self.above, self.common = order[heads][by_text], above[by_text], common[by_text]
 
     def statistics(self) -> tuple[np.ndarray, np.ndarray]:
         """For each text position, streamed from the samples: its neighbour above in suffix order (or -1) and how
@@ -288,19 +288,17 @@ def suffix_order(symbols: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.nd
     return order, levels
 
 
-def neighbour_lengths(order: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """Common lengths of suffixes that are next to each other in order, from the ranks of the doubling."""
-    n = len(order)
-    a, b = order[:-1].copy(), order[1:].copy()
-    total = np.zeros(n - 1, np.int64)
+def common_lengths(a: np.ndarray, b: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Common lengths of pairs of suffixes, from the ranks of the doubling; a suffix past the end has none."""
+    n = len(levels[0][1])
+    begun, a, b = a, a.copy(), b.copy()
     for step, rank in reversed(levels):
+        ended = np.append(rank, -1 - n)  # past the end: equal to nothing
         for _ in range(PACKED - 1 if step == 1 else 1):
-            inside = np.flatnonzero((a < n) & (b < n))
-            equal = inside[rank[a[inside]] == rank[b[inside]]]
-            total[equal] += step
-            a[equal] += step
-            b[equal] += step
-    return np.concatenate(([0], total))
+            same = (ended[np.minimum(a, n)] == ended[np.minimum(b, n)]) & (a < n)
+            a += step * same
+            b += step * same
+    return a - begun
 
 
 def repeats(strings: list[bytes], docs: np.ndarray, firsts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
