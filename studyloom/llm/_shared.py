@@ -78,11 +78,14 @@ def append(df: DataFrame, ddl: str, make: Callable[[], Callable[[Batch], Sequenc
 
     def run(batches: Iterator[Batch]) -> Iterator[Batch]:
         fn = make()
-        for batch in batches:
-            if batch.num_rows:
-                kept = [batch.column(batch.schema.get_field_index(f.name)) for f in back]
-                made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(fn(batch), types, strict=True)]
-                yield pa.RecordBatch.from_arrays(kept + made, [f.name for f in back + new])
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    kept = [batch.column(batch.schema.get_field_index(f.name)) for f in back]
+                    made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(fn(batch), types, strict=True)]
+                    yield pa.RecordBatch.from_arrays(kept + made, [f.name for f in back + new])
+        finally:  # a worker outlives its task: what the task has gathered goes
+            getattr(fn, "close", int)()
 
     return df.mapInArrow(run, schema)
 

@@ -32,7 +32,7 @@ from ._shared import append
 
 LEAF, WINDOW = 256, 8
 CUT_CHARS = 1 << 16
-CACHE = 300_000
+CACHE = 250_000
 
 #: Characters below U+0250: the letters of this range in lower case, for a pattern without Unicode classes.
 _LOW_LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xffĀ-ɏ"
@@ -109,10 +109,13 @@ class Known(dict):
             self.long.append(pre_token)
         return found
 
+    def empty(self) -> None:
+        self.clear()
+        self.names.clear()
+
     def bounded(self) -> Known:
         if len(self) > CACHE:
-            self.clear()
-            self.names.clear()
+            self.empty()
         return self
 
 
@@ -225,6 +228,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep_text: bool =
             made = [finished(*c.encode(x)) for x in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             return list(zip(*made, strict=True))
 
+        fn.close = c.known.empty
         return fn
 
     is_long = F.coalesce(F.length(text_col) > cut_chars, F.lit(False))
@@ -244,6 +248,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep_text: bool =
             made = [c.encode(x) for x in batch.column(batch.schema.get_field_index("bpe_piece")).to_pylist()]
             return list(zip(*((a, b, n) for a, b, n in made), strict=True))
 
+        fn.close = c.known.empty
         return fn
 
     done = append(spread, "bpe_ids string, bpe_decoded string, bpe_n long", encoded, drop=("bpe_piece",))

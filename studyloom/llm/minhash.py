@@ -33,9 +33,9 @@ from ._shared import append, cut, lower_words
 
 NGRAM, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.99999, 96
 #: Classes of a bucket that meet in one task.
-BLOCK = 256
+BLOCK = 128
 #: Distinct words whose hashes a worker keeps; n-grams hashed at once.
-CACHE, CHUNK = 300_000, 200_000
+CACHE, CHUNK = 200_000, 200_000
 MAX_ROUNDS = 60
 
 U = np.uint64
@@ -142,6 +142,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int, text_col: str) ->
             flush()
             return keys, out
 
+        fn.close = _words.clear
         return fn
 
     return append(docs, "set_key binary, bands array<long>", make, drop=(text_col,))
@@ -159,13 +160,13 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]
     held: list[list] = []
     now = None
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        for row in zip(*columns, strict=True):
-            if row[:keys] != now:
-                if held:
-                    yield held
-                held, now = [], row[:keys]
-            held.append(row)
+        for at in range(0, batch.num_rows, 256):  # a whole batch of sets as Python values would weigh twice
+            for row in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                if row[:keys] != now:
+                    if held:
+                        yield held
+                    held, now = [], row[:keys]
+                held.append(row)
     if held:
         yield held
 
@@ -287,6 +288,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             signs = iter(signer.sign([s for s in own if len(s)]).view(np.int64).tolist() if any(right) else ())
             return [s.tobytes() if r else None for s, r in zip(own, right, strict=True)], [next(signs) if r else None for r in right]
 
+        fn.close = _words.clear
         return fn
 
     sets = append(texts, "grams binary, bands array<long>", with_sets, drop=("text",)).where("grams is not null")

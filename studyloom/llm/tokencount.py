@@ -118,7 +118,7 @@ class Counter:
 
 @functools.cache
 def counter(path: str) -> Counter:
-    """One for each worker process, which keeps its terminals between tasks."""
+    """One for each worker process; terminals go with each task."""
     return Counter(pieces(path))
 
 
@@ -148,6 +148,7 @@ def count(docs: DataFrame, path: str, text_col: str = "text", keep_text: bool =
                 tokens += own.count(split)
             return words, tokens
 
+        fn.close = own.terminals.clear
         return fn
 
     return append(docs, "n_pre_tokens long, n_tokens long", make, drop=() if keep_text else (text_col,))
