@@ -24,7 +24,7 @@ SKETCH_K = 1024
 MIN_GROUP = 50
 FENCE = 3.0
 #: Measures with the least spread that counts as one.
-MEASURES = {"symbol_share": 0.05, "word_length": 2.0, "mark_share": 0.08, "upper_share": 0.1, "dup_line_share": 0.1}
+MEASURES = {"symbol_share": 0.05, "word_length": 2.0, "mark_share": 0.08, "upper_share": 0.1, "dup_line_share": 0.2}
 MAX_BROADCAST_GROUPS = 20_000
 
 _UPPER = bytes(range(65, 91))
