@@ -125,6 +125,11 @@ def doc_freq(spark, sf_dir):
     return corpus.document_frequency(surface.vocabulary(english(spark, sf_dir)))
 
 
+@query
+def corpus_stats(spark, sf_dir):
+    return corpus.documents(surface.vocabulary(english(spark, sf_dir)))
+
+
 @query
 def idf_final(spark, sf_dir):
     vocabulary = surface.vocabulary(english(spark, sf_dir))
@@ -298,6 +303,11 @@ def synonym_antijoin(spark, sf_dir):
     return cards.unreliable(fixtures.relations(spark))
 
 
+@query
+def term_siblings(spark, sf_dir):
+    return cards.siblings(fixtures.relations(spark))
+
+
 @query
 def cosine_band(spark, sf_dir):
     """Vectors next to each other by id whose similarity lies in the band."""

@@ -227,6 +227,8 @@ def all_sql() -> dict[str, str]:
         "plausible_terms": with_(USABLE, f"SELECT doc_id, index, term, {plausible('term')} AS plausible, coalesce(len(string_split(term, ' ')) > 2 AND lower(string_split(term, ' ')[1]) IN ({words(L.PROPERTY_NOUNS)}) AND lower(string_split(term, ' ')[2]) = 'of', false) AS is_property FROM (SELECT doc_id, index, array_to_string(list_slice(w, 1, 3), ' ') AS term FROM usable)"),
         "vocab": with_(VOCAB, "SELECT doc_id, term FROM vocab"),
         "doc_freq": with_(VOCAB, "SELECT term, count(*) AS df FROM vocab GROUP BY term"),
+        "corpus_stats": with_(VOCAB, "SELECT count(DISTINCT doc_id) AS documents FROM vocab"),
+        "term_siblings": f"WITH r(term, relation, other) AS (VALUES {', '.join(map(repr, RELATIONS))}) SELECT DISTINCT a.term, b.term AS sibling FROM r a JOIN r b ON a.other = b.other AND a.term <> b.term WHERE a.relation = 'wider' AND b.relation = 'wider'",
         "idf_final": with_(VOCAB, f"SELECT term, round({idf('n', 'df')}, 6) AS idf FROM (SELECT term, count(*) AS df FROM vocab GROUP BY term), (SELECT count(DISTINCT doc_id) AS n FROM vocab)"),
         "idf_asof": with_(ASOF, f"SELECT doc_id, term, documents, df, round({idf('documents', 'df')}, 6) AS idf FROM df JOIN held USING (doc_id)"),
         "kw_counts": with_(PHRASES, "SELECT doc_id, key, count, term, position, total, most FROM kw"),
