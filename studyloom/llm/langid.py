@@ -26,7 +26,8 @@ from ._grams import CACHE_WORDS, WordSums, counted, grams, minibatches
 from ._shared import append
 
 BUCKETS, LOW, HIGH = 1 << 14, 2, 3
-MAX_DOCS, EPOCHS, BATCH, RATE = 1_500, 4, 32, 600.0
+#: At most 1,000 documents a language, so that Spark limits each task before the shuffle.
+MAX_DOCS, EPOCHS, BATCH = 1_000, 4, 32
 #: Difference of losses, in parts of the number of bits, under which a document is ambiguous.
 CLOSE = 0.1
 #: Languages a model can hold; the rarest beyond are left out, as a model's bound.
