@@ -33,7 +33,7 @@ from ._shared import append, cut, lower_words
 
 NGRAM, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.99999, 96
 #: Classes of a bucket that meet in one task.
-BLOCK = 128
+BLOCK = 256
 #: Distinct words whose hashes a worker keeps; n-grams hashed at once.
 CACHE, CHUNK = 200_000, 200_000
 MAX_ROUNDS = 60
