@@ -32,7 +32,7 @@ from ._shared import append
 
 LEAF, WINDOW = 256, 8
 CUT_CHARS = 1 << 16
-CACHE = 250_000
+CACHE = 120_000
 
 #: Characters below U+0250: the letters of this range in lower case, for a pattern without Unicode classes.
 _LOW_LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xffĀ-ɏ"
