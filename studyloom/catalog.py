@@ -1,7 +1,8 @@
 """Every query of the library by name, and SQL that says the same.
 
 The driver's documents are read whole; the surface annotator serves the English ones, of any size. Operators over
-token trees run on the sentences of fixtures.
+token trees (tree_*, analyse_*) run on all documents, as the rules take any text. Queries of small given tables
+(fx_definitions, fact_*, selection_fold and the lexicon's) are those whose rows SQL states.
 """
 
 from __future__ import annotations
@@ -223,79 +224,103 @@ def quiz(spark, sf_dir):
     return cards.quiz(surface.definitions(english(spark, sf_dir))).select("doc_id", "ord", "prompt", F.array_join("options", "\n").alias("options"), "correct_index")
 
 
-# Token trees
+# Token trees over all documents
 
 
-def annotated(spark):
-    return annotate.annotate(fixtures.sentences(spark))
+def annotated(spark, sf_dir):
+    return annotate.annotate(documents(spark, sf_dir))
+
+
+def analysis(spark, sf_dir):
+    return Analysis(documents(spark, sf_dir))
 
 
 @query
-def fx_tokens(spark, sf_dir):
-    return annotated(spark).select("doc_id", F.explode("tokens").alias("t")).select("doc_id", "t.i", "t.text", "t.lemma", "t.pos", "t.dep", "t.head")
+def tree_tokens(spark, sf_dir):
+    return annotated(spark, sf_dir).select("doc_id", F.explode("tokens").alias("t")).select("doc_id", "t.i", "t.text", "t.lemma", "t.pos", "t.dep", "t.head")
 
 
 @query
-def fx_definitions(spark, sf_dir):
-    rows = annotated(spark)
-    return definitions.extract(annotate.sentences(rows), annotate.chunk_counts(annotate.chunks(rows))).select("doc_id", "term", "definition", "pattern", F.round("confidence", 6).alias("confidence"))
+def tree_definitions(spark, sf_dir):
+    return analysis(spark, sf_dir).definitions.select("doc_id", "rank", "index", "term", "definition", "pattern", F.round("confidence", 6).alias("confidence"))
 
 
 @query
-def fx_facts(spark, sf_dir):
-    return facts.extract(annotate.sentences(annotated(spark))).select("doc_id", "term", "back", "family", "pattern", "confidence", "other")
+def tree_facts(spark, sf_dir):
+    return analysis(spark, sf_dir).facts.select("doc_id", "rank", "index", "term", "back", "family", "pattern", "confidence", "other")
 
 
-def fact_query(pattern: str) -> Query:
-    def run(spark, sf_dir):
-        return facts.candidates(annotate.sentences(annotated(spark))).where(F.col("pattern") == pattern).select("doc_id", "pattern", X.clean_term("words").alias("term"), X.clean_definition("back_text").alias("back"))
+def facts_of(sents: DataFrame, pattern: str) -> DataFrame:
+    return facts.candidates(sents).where(F.col("pattern") == pattern).select("doc_id", "pattern", X.clean_term("words").alias("term"), X.clean_definition("back_text").alias("back"))
 
-    return run
+
+def tree_fact_query(pattern: str) -> Query:
+    return lambda spark, sf_dir: facts_of(annotate.sentences(annotated(spark, sf_dir)), pattern)
 
 
 for _pattern in L.FAMILY:
-    FOUND[f"fact_{_pattern}"] = fact_query(_pattern)
+    FOUND[f"tree_fact_{_pattern}"] = tree_fact_query(_pattern)
 
 
 @query
-def lesson_keywords(spark, sf_dir):
-    return Analysis(fixtures.lesson(spark)).keywords
+def tree_term_distractors(spark, sf_dir):
+    """Wrong answers among the terms that a document defines; the given relations are the lexicon."""
+    terms = analysis(spark, sf_dir).definitions.select("doc_id", "term")
+    return cards.term_distractors(terms, terms, fixtures.relations(spark))
 
 
 @query
-def lesson_cards(spark, sf_dir):
-    return part(fixtures.lesson(spark), "cards", 25)
+def analyse_keywords(spark, sf_dir):
+    return analysis(spark, sf_dir).keywords
 
 
 @query
-def lesson_quiz(spark, sf_dir):
-    return part(fixtures.lesson(spark), "quiz", 10)
+def analyse_cards(spark, sf_dir):
+    return part(documents(spark, sf_dir), "cards", 25)
 
 
 @query
-def lesson_summary(spark, sf_dir):
-    return part(fixtures.lesson(spark), "summary", 3)
+def analyse_quiz(spark, sf_dir):
+    return part(documents(spark, sf_dir), "quiz", 10)
 
 
 @query
-def lesson_result(spark, sf_dir):
-    return Analysis(fixtures.lesson(spark)).result()
+def analyse_summary(spark, sf_dir):
+    return part(documents(spark, sf_dir), "summary", 3)
 
 
 @query
-def lesson_salience(spark, sf_dir):
-    return salience.sentence_salience(Analysis(fixtures.lesson(spark)).ranks)
+def analyse_salience(spark, sf_dir):
+    return salience.sentence_salience(analysis(spark, sf_dir).ranks)
 
 
 @query
-def selection_fold(spark, sf_dir):
-    none = spark.createDataFrame([], "doc_id long, ord int, front string, back string, kind string, confidence double, evidence string")
-    return cards.fact_cards(none, fixtures.fact_rows(spark), 20).select("doc_id", "ord", "front", "back", "kind", "confidence")
+def analyse_result(spark, sf_dir):
+    """The whole plan: a row per document with all parts."""
+    return analysis(spark, sf_dir).result()
+
+
+# Small given tables
+
+
+def fact_query(pattern: str) -> Query:
+    return lambda spark, sf_dir: facts_of(annotate.sentences(annotate.annotate(fixtures.sentences(spark))), pattern)
+
+
+for _pattern in L.FAMILY:
+    FOUND[f"fact_{_pattern}"] = fact_query(_pattern)
 
 
 @query
-def term_distractors(spark, sf_dir):
-    return cards.term_distractors(fixtures.terms(spark), fixtures.terms(spark), fixtures.relations(spark))
+def fx_definitions(spark, sf_dir):
+    rows = annotate.annotate(fixtures.sentences(spark))
+    return definitions.extract(annotate.sentences(rows), annotate.chunk_counts(annotate.chunks(rows))).select("doc_id", "term", "definition", "pattern", F.round("confidence", 6).alias("confidence"))
+
+
+@query
+def selection_fold(spark, sf_dir):
+    none = spark.createDataFrame([], "doc_id long, ord int, front string, back string, kind string, confidence double, evidence string")
+    return cards.fact_cards(none, fixtures.fact_rows(spark), 20).select("doc_id", "ord", "front", "back", "kind", "confidence")
 
 
 @query
@@ -357,6 +382,27 @@ def result_route(spark, sf_dir):
     return jobs.route(parsed.withColumn("error", F.lit(None).cast("string")).withColumn("result", F.lit(None).cast("string"))).select("queue", "correlation", "message")
 
 
+def document_jobs(spark, sf_dir):
+    """Documents as job lines; one without a text is no job."""
+    lines = documents(spark, sf_dir).select(F.to_json(F.struct(F.col("doc_id").cast("string").alias("job_id"), "text", F.col("source").alias("reply_to"))).alias("value"))
+    return jobs.parse(lines)
+
+
+@query
+def document_deadletters(spark, sf_dir):
+    return jobs.dead_letters(document_jobs(spark, sf_dir)).select("value")
+
+
+@query
+def document_routes(spark, sf_dir):
+    """The answer to each document's job: its whole result as JSON, for the queue of its source."""
+    good = document_jobs(spark, sf_dir).where("is_good")
+    docs = good.select(F.col("job_id").cast("long").alias("doc_id"), "text")
+    results = Analysis(docs).result()
+    made = results.select(F.col("doc_id").cast("string").alias("job_id"), F.to_json(F.struct(*(c for c in results.columns if c != "doc_id"))).alias("result"))
+    return jobs.route(good.join(made, "job_id").withColumn("error", F.lit(None).cast("string"))).select("queue", "correlation", "message")
+
+
 @query
 def signed_bodies(spark, sf_dir):
     rows = table(spark, sf_dir, "benchmark").select("item_id", F.to_json(F.struct("item_id", "text")).alias("body"))

@@ -9,16 +9,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+#: Rows that are Python values at once, and values (with those of lists) that a batch of results holds.
+SLICE, FLUSH = 64, 20_000
+
 
 def map_rows(df: DataFrame, ddl: str, fn: Callable[..., Iterator[tuple]]) -> DataFrame:
-    """fn takes a row's values and yields rows of the schema in ddl."""
+    """fn takes a row's values and yields rows of the schema in ddl; they leave in batches of about FLUSH values."""
     schema = T._parse_datatype_string(ddl)
     target = to_arrow_schema(schema)
 
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)], target.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
         for batch in batches:
-            out = [r for row in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in fn(*row)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)], target.names)
+            for at in range(0, batch.num_rows, SLICE):
+                for row in zip(*(c.to_pylist() for c in batch.slice(at, SLICE).columns), strict=True):
+                    for r in fn(*row):
+                        out.append(r)
+                        held += sum(len(x) if isinstance(x, list) else 1 for x in r)
+                        if held >= FLUSH:
+                            yield made(out)
+                            out, held = [], 0
+        if out:
+            yield made(out)
 
     return df.mapInArrow(run, schema)
