@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from studyloom.llm import bpe, decontam, minhash, rules, secret
 from studyloom.llm._shared import shared_dir, table
@@ -35,8 +36,9 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids (decimal, joined by spaces) and the digest of what they decode to."""
-    return bpe.encode(docs.select(COLUMNS), tokenizer_path("word_bpe_49k.json"), keep_text=False)
+    """Documents with their token ids (decimal, joined by spaces), what these decode to, and digests of both."""
+    made = bpe.encode(docs.select(COLUMNS), tokenizer_path("word_bpe_49k.json"), digests=False)
+    return made.withColumns({f"{name}_sha256": F.sha2(F.encode(column, "utf-8"), 256) for name, column in (("ids", "token_ids"), ("decoded", "decoded"))})
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -59,16 +59,17 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
 
 
 Batch = pa.RecordBatch
+PIECE_CHARS = 1 << 20
 
 
 def fields_of(ddl: str) -> list[T.StructField]:
     return T._parse_datatype_string(ddl).fields
 
 
-def append(df: DataFrame, ddl: str, make: Callable[[], Callable[[Batch], Sequence]], drop: Sequence[str] = ()) -> DataFrame:
+def append(df: DataFrame, ddl: str, make: Callable[[], Callable[[Batch], Sequence]], drop: Sequence[str] = (), piece_by: str | None = None) -> DataFrame:
     """df with new columns. make() runs once a task and returns a function from a batch to the new columns.
 
-    A column of df with the name of a new one is replaced. Columns in drop are inputs that don't come back.
+    With piece_by, a text column, batches are worked on in pieces of about PIECE_CHARS characters. A column of df with the name of a new one is replaced. Columns in drop are inputs that don't come back.
     """
     new = fields_of(ddl)
     names = {f.name for f in new}
@@ -79,8 +80,10 @@ def append(df: DataFrame, ddl: str, make: Callable[[], Callable[[Batch], Sequenc
     def run(batches: Iterator[Batch]) -> Iterator[Batch]:
         fn = make()
         try:
-            for batch in batches:
-                if batch.num_rows:
+            for whole in batches:
+                parts = pieces(whole.column(whole.schema.get_field_index(piece_by)).to_pylist(), PIECE_CHARS) if piece_by else [(0, whole.num_rows)]
+                for a, b in parts if whole.num_rows else ():
+                    batch = whole.slice(a, b - a)
                     kept = [batch.column(batch.schema.get_field_index(f.name)) for f in back]
                     made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(fn(batch), types, strict=True)]
                     yield pa.RecordBatch.from_arrays(kept + made, [f.name for f in back + new])

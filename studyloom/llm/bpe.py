@@ -232,7 +232,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep_text: bool =
         return fn
 
     is_long = F.coalesce(F.length(text_col) > cut_chars, F.lit(False))
-    short = append(docs.where(~is_long), ddl, whole, drop=() if keep_text else (text_col,))
+    # Ids and decoded texts are larger than their texts: they leave in pieces of a batch.
+    short = append(docs.where(~is_long), ddl, whole, drop=() if keep_text else (text_col,), piece_by=None if digests else text_col)
 
     # Long texts: pieces go to tasks of their own; keys are a row's number, as ids may repeat.
     key = "bpe_row"
