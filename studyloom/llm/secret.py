@@ -1,7 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are runs of 16 or more characters that keys are made of, with a digit among them, and quoted values
-after an assignment. A forest of decision trees, trained in numpy from labelled findings, judges each from its
+Candidates are runs of 16 or more characters that keys are made of, with a digit among them (a name before = is cut
+off), the values of assignments, quoted or not and of any length, and passwords in URLs. A forest of decision trees, trained in numpy from labelled findings, judges each from its
 length, its character transitions, how much of it a dictionary covers, the path (source) and the neighbouring
 words. Training findings are a bounded table (findings=); without one, `labelled_findings` makes a seeded set of
 known kinds of secrets and of what is mistaken for them. Documents are scanned where they are read, whole, without
@@ -36,12 +36,19 @@ TREES, DEPTH, LEAST = 25, 8, 3
 NEAR = 48
 
 _RUN = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
-_QUOTED = re.compile(r"""[\w.\-]{2,40}\s{0,3}[=:]\s{0,3}(["'])([^"'\s]{8,})\1""")
+#: The name in a run like NAME=value.
+_NAME = re.compile(r"(?:^|[+/])[A-Za-z_][\w\-]*=+(?=[^=])")
+_QUOTED = re.compile(r"""[\w.\-]["']?\s{0,3}[=:]\s{0,3}(["'])([^"'\s]+)\1""")
+#: A value ends before white space, a quote, or a mark that starts the next assignment; :: and // after : are none.
+_BARE = re.compile(r"""[\w.\-]["']?[ \t]{0,3}(?::=|=>|[=:])(?![=:]|//)[ \t]{0,3}((?:(?![&;,?][\w.\-]+[=:])[^\s"'`])+)""")
+_URL = re.compile(r"://[^\s/?#:@]{0,100}:([^\s/?#]+)@")
+_CLOSING = ",;.)]}>"
 _WORD = re.compile(r"[A-Za-z]+")
 _DIGIT = re.compile(r"[0-9]")
 
 #: Words that announce a secret, words that speak against one, parts of paths that do, common words.
 KEY_WORDS = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api", "auth", "authorization", "bearer", "credential", "credentials", "private", "access", "signature")
+PASSWORD_WORDS = ("secret", "password", "passwd", "pwd", "passphrase", "pass")
 SAFE_WORDS = ("commit", "sha", "md5", "checksum", "integrity", "digest", "hash", "uuid", "guid", "id", "version", "revision", "card", "phone", "order", "example", "sample", "dummy", "placeholder", "image", "png", "isbn")
 SAFE_PATHS = ("test", "example", "sample", "fixture", "lock", "doc", "mock", "vendor", "node_modules")
 DICTIONARY = (
@@ -49,7 +56,7 @@ DICTIONARY = (
 ).split()
 _COVER = tuple(sorted({w for w in DICTIONARY if len(w) >= 4}, key=len, reverse=True))
 _COVERED = re.compile("|".join(_COVER))
-FEATURES = ("length", "log_length", "transitions", "digit_share", "upper_share", "other_share", "entropy", "distinct_share", "hex", "digits_only", "cover", "vowel_share", "longest_letters", "longest_same", "key_before", "safe_before", "assigned", "quoted", "key_after", "safe_path", "prefix", "placeholder", "dashes")
+FEATURES = ("length", "log_length", "transitions", "digit_share", "upper_share", "other_share", "entropy", "distinct_share", "hex", "digits_only", "cover", "vowel_share", "longest_letters", "longest_same", "key_before", "safe_before", "assigned", "quoted", "key_after", "safe_path", "prefix", "placeholder", "dashes", "password_before", "in_url", "reference", "followed")
 
 
 def kind(c: str) -> int:
@@ -96,6 +103,10 @@ def describe(value: str, before: str, after: str, path: str) -> list[float]:
         float(bool(re.match(r"AKIA|ASIA|gh[pousr]_|sk_|pk_|xox[bap]-|AIza|eyJ|glpat-", value))),
         float(bool(re.search(r"x{4,}|your|example|placeholder|changeme|1234567|abcdef", low))),
         value.count("-") / n,
+        float(any(w in PASSWORD_WORDS for w in words[-2:])),
+        float(after.startswith("@") and bool(re.search(r"://[^\s/]*:$", before))),
+        float(bool(re.match(r"[$<{%(\[*]|[A-Za-z_.]+[(\[]", value))),
+        float(bool(re.match(r"[ \t]+[a-z]", after))),
     ]
 
 
@@ -103,9 +114,20 @@ def candidates(text: str | None) -> list[tuple[int, int]]:
     """Ranges of the candidates of a whole text, in order, without overlap."""
     if not text:
         return []
-    found = [m.span() for m in _RUN.finditer(text) if _DIGIT.search(m.group())]
+    found = []
+    for m in _RUN.finditer(text):
+        name = _NAME.search(m.group())
+        start = m.start() + (name.end() if name else 0)
+        if _DIGIT.search(text, start, m.end()):
+            found.append((start, m.end()))
     if "=" in text or ":" in text:
         found += [m.span(2) for m in _QUOTED.finditer(text)]
+        urls = [m.span(1) for m in _URL.finditer(text)]
+        # A password inside a URL is a candidate alone, without what surrounds it.
+        bare = [(m.start(1), m.start(1) + len(m.group(1).rstrip(_CLOSING))) for m in _BARE.finditer(text)]
+        found += [x for x in bare if x[0] < x[1]]
+        if urls:
+            found = [x for x in found if not any(x[0] < b and a < x[1] for a, b in urls)] + urls
     out: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if out and a < out[-1][1]:
@@ -143,6 +165,21 @@ def labelled_findings(n: int = 1200, seed: int = 13) -> list[Finding]:
         quote = pick(('"', '"', "'", ""))
         value = value.upper() if rng.random() < 0.15 else value
         head = pick((f"{name} = {quote}", f"{name}={quote}", f"{name}: {quote}", f"{name} := {quote}", f"{name} {quote}"))
+        plain = "".join(words(3).split())
+        short = pick((run(alnum, rng.randint(6, 15)), plain[: rng.randint(4, 8)] + run(string.digits, rng.randint(1, 4)) + plain[:3], run(alnum + "!@#$%&*?", rng.randint(4, 18)), pick((plain[:14], plain[:14].title())), pick((pick(DICTIONARY) + plain[:6], plain[:4] + pick(DICTIONARY) + plain[:2]))))
+        lone = pick(("AKIA" + run(string.ascii_uppercase + string.digits, 16), "ghp_" + run(alnum, 36), "sk_live_" + run(alnum, 24), run(alnum, rng.randint(28, 64))))
+        secret_name = pick(("password", "passwd", "pwd", "secret", "db_password", "client_secret"))
+        secret_name = pick((secret_name, secret_name.upper(), secret_name.title()))
+        end, more = pick(("", "\n", ",", ";", " ")), words(3)
+        out.append((short, f"{words(3)} {secret_name}{pick(('=', ': ', ' = ', ':', ' := '))}{(q := pick(('', '', chr(34), chr(39))))}", q + end + (more if end.strip() or end == "\n" else ""), pick(("src/main.py", "config.yml", "src0", ".env", "")), 1))
+        out.append((short, f"{words(2)} {pick(('https', 'postgres', 'ftp', 'amqp'))}://{pick(('user', 'admin', 'root', words(1)))}:", f"@{pick(('host', 'db', 'localhost', words(1)))}/{pick(DICTIONARY)}", pick(("src0", "config.yml", "")), 1))
+        out.append((lone, f"{words(4)} ", f" {words(3)}", pick(("src0", "src/main.py", "")), 1))
+        other = pick(("name", "color", "note", "time", "size", "timeout", "lang", "mode", "port", "status", words(1), pick(DICTIONARY)))
+        calm = pick((words(1), pick(DICTIONARY), run(string.digits, rng.randint(1, 6)), f"{rng.randint(0, 23)}:{run(string.digits, 2)}", f"{run(string.digits, 1)}.{run(string.digits, 1)}.{run(string.digits, 1)}", words(1).title(), f"{pick(DICTIONARY)}.{pick(('py', 'txt', 'js'))}", f"/{pick(DICTIONARY)}/{pick(DICTIONARY)}", f"{pick(DICTIONARY)}_{pick(DICTIONARY)}", plain[:14] + run(string.digits, 1)))
+        out.append((calm, f"{words(3)} {pick((other, other.title()))}{pick(('=', ': ', ' = ', ':'))}", f"{pick(('', ',', ';', chr(10)))} {words(2)}", pick(("src0", "src/app.js", "config.yml", "")), 0))
+        named = pick((pick(DICTIONARY), pick(DICTIONARY).title(), "${" + pick(DICTIONARY).upper() + "}", "$" + pick(DICTIONARY).upper(), f"<{pick(DICTIONARY)}>", "****", f"os.environ[{pick(DICTIONARY)}]", f"get_{pick(DICTIONARY)}()", "null", "None", "true", "false", "your_password", "changeme", "the", "a", "is", "must"))
+        out.append((named, f"{words(3)} {pick((secret_name, 'token', 'key', 'api_key', 'auth', 'Key'))}{pick(('=', ': ', ' = ', ':'))}", f"{pick(('', ',', ';', chr(10)))} {words(2)}", pick(("src0", "src/main.py", ".env", "")), 0))
+        out.append((words(1), f"{words(3)} {pick(('token', 'key', 'access', 'auth', 'password', 'secret', 'Key'))}: ", f" {words(2)}", pick(("src0", "docs/example.md", "")), 0))
         out.append((value, f"{words(4)} {head}", f"{quote}{pick(('', '!!', '###', ',', ';'))} {words(3)}", pick(("src/main.py", "config.yml", "src0", "src7", ".env", "")), 1))
         kind_no = rng.randrange(9)
         quote = pick(('"', ""))
