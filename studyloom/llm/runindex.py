@@ -1,49 +1,58 @@
 """Removal of repeated byte strings with a run-length index.
 
 A byte goes if a string of 100 bytes that covers it also starts earlier (in a smaller doc_id, or before in the same
-document). Strings are judged on the input. The corpus is taken apart as prefix-free parsing does for repetitive
-texts, so that the index is built over distinct contexts only:
+document). Strings are judged on the input. The corpus is taken apart as prefix-free parsing does before it builds a
+run-length Burrows-Wheeler transform of a repetitive text, so that suffixes of distinct contexts only are sorted:
 
 1. Anchors. Of the hashes of all 32-byte strings in a 100-byte window, the least is the window's anchor, wherever the
-   window occurs. An anchor's context is all that any window with it can hold: 68 bytes before and after it. Equal
-   contexts need no index: all but the first are repeats from end to end. That is decided within each batch before
-   anything is shuffled, so a passage that a third of all documents hold sends a row per batch, and then again by
-   anchor over all batches.
+   window occurs. An anchor's context is all that any window with it can hold: 68 bytes before and after it. Contexts
+   that are equal throughout (same anchor hash, same 128-bit digest) are one phrase of the parse: all but the first are
+   repeats from end to end. That is found out within each batch before anything is shuffled, so a passage that a third
+   of all documents hold sends a row per batch, and then by anchor over all batches.
 2. Index. An anchor that stands in several distinct contexts has repeats that end inside them. The contexts, each
-   with an end mark of its own, are put together; their suffixes are sorted; the Burrows-Wheeler transform is cut into
-   runs, and at each run's first row the index keeps three samples: text position, the position above it in suffix
-   order, and the length they have in common. Matching statistics are then streamed over the text from the samples
-   alone: between sampled positions the neighbour moves along and the common length falls by one. Positions that
-   match 100 bytes or more are linked to their neighbour; in each group of linked positions all but the one that
-   starts earliest in the corpus are marked.
-   An anchor with more contexts than one index should hold is dealt by window instead: its windows' hashes keep their
-   first place by partial aggregation, and all others are marked.
+   with an end mark of its own, are put together and their Burrows-Wheeler transform is kept as runs: symbol, length,
+   where the run's rows go in an LF step, and samples at both ends of the run (the neighbour in suffix order and the
+   length in common). Matching statistics are streamed out of the runs alone: all strings step backwards by LF from
+   their end marks; inside a run the neighbours step along and the lengths grow by one, at a run's end the sample
+   takes over. Positions that match 100 bytes or more are linked to their neighbour; in each group of linked positions
+   all but the one that starts earliest in the corpus are marked.
+   No index holds more than a bounded number of bytes. Two contexts of an anchor that share a window agree in that
+   window's part on the left or on the right of the anchor, so a large group is split exactly by these bytes: windows
+   that start low to high bytes before the anchor all hold low bytes on its left and 68 - high on its right. Halving
+   the range of low and high splits further, down to single windows. A group that a task can hold is split there; a
+   larger one is split by shuffles, and single windows of it are counted like contexts, once a batch.
 3. Removal. The marked ranges of a document meet its text, which is cut in one pass.
 
-Matches are exact up to 64-bit hashes of contexts, which carry their anchor's hash as well. Defined results: null
-text is empty; rows without doc_id lose nothing and count as no earlier text; repeated rows of a doc_id with the
-same text are the same document; with other texts they follow each other in the order of their texts; matches never
-cross documents; texts under 100 bytes stay whole.
+Memory is bounded for texts of any length: anchors are found piece by piece. Matches are exact up to 128-bit digests
+(of contexts, or of windows in the largest groups) beside the 64-bit hash they are grouped by; in the index bytes are
+compared. Defined results: null text is empty; rows without doc_id lose nothing and count as no earlier text; ids of
+any type that has an order are taken in that order; repeated rows of a doc_id with the same text are the same document;
+with other texts they follow each other in the order of their texts; matches never cross documents; texts under 100
+bytes stay whole; only the id and the result come back, so names of other columns can't clash.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._shared import append, cut, small_side, utf8
 
 LENGTH, ANCHOR = 100, 32
-#: Bytes of contexts in one index: groups are added until there are so many.
-INDEX_BYTES = 1 << 18
-#: Distinct contexts of an anchor beyond which they are dealt by window and not indexed together.
-HOT_CONTEXTS = 50_000
+#: Bytes of contexts in one index: groups are added until there are so many. A group of more bytes is split.
+INDEX_BYTES, GROUP_BYTES = 1 << 18, 1 << 17
+#: Contexts of a group that a task holds; a larger group is split by shuffles.
+HOT_CONTEXTS = 20_000
+#: Bytes of a text in which anchors are found at once; rows that are gathered before they are handed on.
+PIECE, GATHERED = 1 << 18, 1 << 20
 
 U = np.uint64
 _rng = np.random.default_rng(20)
@@ -81,22 +90,28 @@ def sliding(values: np.ndarray, size: int, of: Callable) -> np.ndarray:
     return of(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def anchors(data: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """(positions, anchor hashes, context starts, context ends, context hashes) of a text."""
-    n, wide = len(data), length - anchor
-    if n < length:
-        return (np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U))
-    values = _BYTES[np.frombuffer(data, np.uint8)]
-    hashes = string_hashes(values, anchor)
-    least = sliding(hashes, wide + 1, np.minimum)
-    # A position is an anchor if some window that holds it has no smaller hash.
-    padded = np.concatenate((np.zeros(wide, U), least, np.zeros(wide, U)))
-    at = np.flatnonzero(sliding(padded, wide + 1, np.maximum)[: len(hashes)] == hashes)
-    starts, ends = np.maximum(at - wide, 0), np.minimum(at + anchor + wide, n)
-    prefix = np.concatenate((np.zeros(1, U), np.cumsum(values * powers(_BASE, n), dtype=U)))
-    own = (prefix[ends] - prefix[starts]) * powers(_INVERSE, n)[starts]
-    context = mix(own + (at - starts).astype(U) * U(0x632BE59BD9B4E019) + (ends - starts).astype(U) * U(0x85157AF5))
-    return at, hashes[at], starts, ends, context
+def anchors(data: bytes, length: int = LENGTH, anchor: int = ANCHOR, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, hashes) of a text's anchors, piece by piece."""
+    raw, wide = np.frombuffer(data, np.uint8), length - anchor
+    before = np.zeros(0, np.int64)
+    for start in range(0, len(raw) - length + 1, piece):
+        hashes = string_hashes(_BYTES[raw[start : start + piece + length - 1]], anchor)
+        least = sliding(hashes, wide + 1, np.minimum)
+        # A position is an anchor if some window that holds it has no smaller hash.
+        padded = np.concatenate((np.zeros(wide, U), least, np.zeros(wide, U)))
+        at = np.flatnonzero(sliding(padded, wide + 1, np.maximum)[: len(hashes)] == hashes)
+        key = hashes[at]
+        at += start
+        # Windows of two pieces may have the same anchor.
+        new = ~np.isin(at, before)
+        before = at[at >= start + piece]
+        yield at[new], key[new]
+
+
+def digests(strings: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The halves of 128-bit digests."""
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, strings)), U).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,123 +137,176 @@ def by_document(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     return docs[firsts[a // step]], a % step, b - a // step * step
 
 
-ROWS = "kind byte, key long, context long, doc long, first int, last int"
-COVER, FOUND = 0, 1
+#: place holds first, size and left (bytes before the anchor) of a context, or, below 0, a range to remove.
+ROWS = "key long, one long, two long, doc long, place long"
+
 
+def placed(first: np.ndarray, size: np.ndarray, left: np.ndarray) -> np.ndarray:
+    return first << 32 | size << 16 | left
 
-def rows_batch(kind: int, key, context, doc, first, last) -> pa.RecordBatch:
-    columns = [pa.array(np.full(len(doc), kind, np.int8)), pa.array(np.asarray(key).view(np.int64)), pa.array(np.asarray(context).view(np.int64)), pa.array(np.asarray(doc, np.int64)), *(pa.array(np.asarray(x).astype(np.int32)) for x in (first, last))]
-    return pa.RecordBatch.from_arrays(columns, ["kind", "key", "context", "doc", "first", "last"])
+
+def found_batch(key, one, two, doc, place) -> pa.RecordBatch:
+    columns = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (key, one, two, doc, place)]
+    return pa.RecordBatch.from_arrays(columns, ["key", "one", "two", "doc", "place"])
 
 
 def covers_batch(docs, starts, ends) -> pa.RecordBatch:
     """Ranges to remove; the key deals them evenly."""
     docs, starts, ends = by_document(docs, starts, ends)
-    key = mix(docs.astype(np.int64).view(U) * U(0xD1342543DE82EF95) + starts.astype(U))
-    return rows_batch(COVER, key, np.zeros(len(docs), U), docs, starts, ends)
+    key = mix(docs.view(U) * U(0xD1342543DE82EF95) + starts.astype(U))
+    none = np.zeros(len(docs), np.int64)
+    return found_batch(key, none, none, docs, -1 - (starts << 31 | ends))
+
 
+def cover_columns(place: str = "place") -> list:
+    packed = -1 - F.col(place)
+    return [F.shiftright(packed, 31).cast("int").alias("first"), packed.bitwiseAND((1 << 31) - 1).cast("int").alias("last")]
 
-def first_of_each(key: np.ndarray, context: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by (key, context, doc, start) and, in it, whether a row is a later occurrence of its context."""
-    order = np.lexsort((start, doc, context, key))
-    k, c, d, s = key[order], context[order], doc[order], start[order]
-    new = np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])))
+
+def firsts_only(key: np.ndarray, one: np.ndarray, two: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of the contexts of a batch, the first occurrence of each; later ones as ranges to remove."""
+    order = np.lexsort((place, doc, one))
+    for _ in range(2):
+        k, a, b, d, p = key[order], one[order], two[order], doc[order], place[order]
+        same = a[1:] == a[:-1]
+        equal = same & (b[1:] == b[:-1]) & (k[1:] == k[:-1])
+        if (same == equal).all():
+            break
+        order = np.lexsort((place, doc, two, one, key))
+    new = np.concatenate(([True], ~equal))
     head = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
-    return order, (d != d[head]) | (s != s[head])
+    yield found_batch(k[new], a[new], b[new], d[new], p[new])
+    # Repeated rows of one document are as early as the first.
+    later = (d != d[head]) | (p >> 32 != p[head] >> 32)
+    if later.any():
+        first = p[later] >> 32
+        yield covers_batch(d[later], first, first + (p[later] >> 16 & 0xFFFF))
 
 
 def parse(length: int, anchor: int) -> Callable:
     """Anchors of documents; within a batch, later occurrences of a context become ranges to remove."""
+    wide = length - anchor
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            found: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at, key, first, last, context = anchors(utf8(text), length, anchor)
-                if len(at):
-                    found.append((np.full(len(at), doc, np.int64), key, context, first, last))
-            if not found:
-                continue
-            doc, key, context, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
-            order, later = first_of_each(key, context, doc, first)
-            head, rest = order[~later], order[later]
-            # Repeated rows of one document are as early as the first: one of them is enough.
-            once = np.concatenate(([True], (key[head][1:] != key[head][:-1]) | (context[head][1:] != context[head][:-1]))) if len(head) else np.zeros(0, bool)
-            head = head[once]
-            yield rows_batch(FOUND, key[head], context[head], doc[head], first[head], last[head])
-            if len(rest):
-                yield covers_batch(doc[rest], first[rest], last[rest])
+                data = utf8(text)
+                for at, key in anchors(data, length, anchor):
+                    starts, ends = np.maximum(at - wide, 0), np.minimum(at + anchor + wide, len(data))
+                    one, two = digests(data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+                    yield key, one, two, np.full(len(at), doc, np.int64), placed(starts, ends - starts, at - starts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from in_batches(rows(batches), firsts_only)
 
     return run
 
 
+def in_batches(parts: Iterator[tuple], of: Callable) -> Iterator[pa.RecordBatch]:
+    """of(columns) for parts put together until they are many."""
+    held: list[tuple] = []
+    size = 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size >= GATHERED:
+            yield from of(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held, size = [], 0
+    if size:
+        yield from of(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
 def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of (key, context, doc, first): later occurrences become ranges to remove, and the first ones
+    """Rows in the order of (key, one, two, doc, place): later occurrences become ranges to remove, and the first ones
     of contexts whose anchor has several go on. Between batches only the last first one is held."""
-    held = None  # (key, context, doc, first, last) of the last first one, and whether it has gone on
+    held = None  # (key, one, two, doc, place) of the last first one, and whether it has gone on
     gone = False
     for batch in batches:
-        kind, key, context, doc, first, last = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-        cover = kind == COVER
+        key, one, two, doc, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        cover = place < 0
         if cover.any():
-            yield covers_batch(doc[cover], first[cover], last[cover])
+            packed = -1 - place[cover]
+            yield covers_batch(doc[cover], packed >> 31, packed & (1 << 31) - 1)
         mine = ~cover
         if not mine.any():
             continue
-        key, context, doc, first, last = (x[mine] for x in (key, context, doc, first, last))
+        key, one, two, doc, place = (x[mine] for x in (key, one, two, doc, place))
         if held is not None:
-            key, context, doc, first, last = (np.concatenate(([h], x)) for h, x in zip(held, (key, context, doc, first, last), strict=True))
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (context[1:] != context[:-1])))
+            key, one, two, doc, place = (np.concatenate(([h], x)) for h, x in zip(held, (key, one, two, doc, place), strict=True))
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
         head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-        later = (doc != doc[head]) | (first != first[head])
+        later = (doc != doc[head]) | (place >> 32 != place[head] >> 32)
         if later.any():
-            yield covers_batch(doc[later], first[later], last[later])
+            first = place[later] >> 32
+            yield covers_batch(doc[later], first, first + (place[later] >> 16 & 0xFFFF))
         heads = np.flatnonzero(new)
         k = key[heads]
         several = np.zeros(len(heads), bool)
         several[1:] |= k[1:] == k[:-1]
         several[:-1] |= k[1:] == k[:-1]
-        was_gone, gone = gone and held is not None, False
-        if len(heads) == 1 and was_gone or several[-1]:
-            gone = True
+        was_gone = gone
+        gone = bool(several[-1]) or len(heads) == 1 and was_gone
         if was_gone:
             several[0] = False  # it went on before
         out = heads[several]
         if len(out):
-            yield rows_batch(FOUND, key[out], context[out], doc[out], first[out], last[out])
-        held = tuple(x[heads[-1]] for x in (key, context, doc, first, last))
+            yield found_batch(key[out], one[out], two[out], doc[out], place[out])
+        held = tuple(x[heads[-1]] for x in (key, one, two, doc, place))
 
 
 class RunIndex:
-    """Run-compressed Burrows-Wheeler transform of strings, with samples at the first row of each run."""
+    """Burrows-Wheeler transform of strings as runs of equal symbols, with samples at both ends of each run."""
 
     def __init__(self, strings: list[bytes]) -> None:
         sizes = np.array([len(s) for s in strings])
         self.starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
+        self.ends = self.starts + sizes
         symbols = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1
         self.size = n = len(symbols)
-        symbols[self.starts + sizes] = 0  # an end mark, below all bytes
+        symbols[self.ends] = 0  # an end mark, below all bytes
         order, levels = suffix_order(symbols)
-        # End marks differ from each other, so none of them continues a run.
         before = symbols[order - 1]
-        before[before == 0] = -1 - np.arange((before == 0).sum())
-        heads = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
-        self.runs = len(heads)
-        # Samples at run heads: position, the neighbour above and their common length, in text order.
-        above = np.where(heads > 0, order[heads - 1], -1)
-        common = common_lengths(np.where(heads > 0, order[heads - 1], n), order[heads], levels)
-        by_text = np.argsort(order[heads])
-        self.position, self.above, self.common = order[heads][by_text], above[by_text], common[by_text]
-
-    def statistics(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each text position, streamed from the samples: its neighbour above in suffix order (or -1) and how
-        many bytes they have in common."""
-        sampled = np.zeros(self.size, np.int64)
-        sampled[self.position] = np.arange(len(self.position))
-        sample = np.maximum.accumulate(sampled)
-        moved = np.arange(self.size) - self.position[sample]
-        length = self.common[sample] - moved
-        return np.where((self.above[sample] >= 0) & (length > 0), self.above[sample] + moved, -1), np.maximum(length, 0)
+        # The first symbol of a string has an end mark before it, which ends its run.
+        self.head = np.flatnonzero(np.concatenate(([True], (before[1:] != before[:-1]) | (before[1:] == 0))))
+        self.symbol = before[self.head]
+        self.length = np.diff(np.append(self.head, n))
+        self.runs = len(self.head)
+        # LF: rows of a symbol keep their order.
+        by_symbol = np.argsort(self.symbol, kind="stable")
+        self.to = np.empty(len(self.head), np.int64)
+        self.to[by_symbol] = np.cumsum(self.length[by_symbol]) - self.length[by_symbol]
+        # Samples: the neighbour, and the length in common with it, of the rows that a run's two ends go to.
+        top, bottom = self.to, self.to + self.length - 1
+        self.above, self.common_above = sampled(order, levels, top, -1)
+        self.below, self.common_below = sampled(order, levels, bottom, 1)
+
+    def statistics(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text position: its neighbour above in suffix order, the length in common with it, and the one
+        with the neighbour below; streamed from the runs, all strings at once, by LF from their end marks."""
+        neighbour, up, down = np.full(self.size, -1), np.zeros(self.size, np.int64), np.zeros(self.size, np.int64)
+        # Row i is the end mark of string i; end marks have nothing in common.
+        row, at = np.arange(len(self.ends)), self.ends
+        above, common_above, common_below = np.roll(self.ends, 1), np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+        while len(row):
+            run = np.searchsorted(self.head, row, "right") - 1
+            inside = self.symbol[run] > 0
+            row, at, run, above, common_above, common_below = (x[inside] for x in (row, at, run, above, common_above, common_below))
+            place = row - self.head[run]
+            first, last = place == 0, place == self.length[run] - 1
+            above = np.where(first, self.above[run], above - 1)
+            common_above = np.where(first, self.common_above[run], common_above + 1)
+            common_below = np.where(last, self.common_below[run], common_below + 1)
+            row, at = self.to[run] + place, at - 1
+            neighbour[at], up[at], down[at] = above, common_above, common_below
+        return neighbour, up, down
+
+
+def sampled(order: np.ndarray, levels: list, rows: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """The neighbours of rows and the lengths in common; no row lies beyond the first and the last."""
+    n = len(order)
+    there = (rows + step >= 0) & (rows + step < n)
+    other = np.where(there, order[np.clip(rows + step, 0, n - 1)], n)
+    return np.where(there, other, -1), common_lengths(other, order[rows], levels)
 
 
 #: Symbols that one sort key holds: 9 bits each.
@@ -266,7 +334,7 @@ def suffix_order(symbols: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.nd
     rank[order] = np.cumsum(np.concatenate(([0], (ordered[1:] != ordered[:-1]) | ~open_yet[order][1:])))
     step, levels = PACKED, [(1, np.where(symbols > 0, symbols, -1 - np.arange(n)))]
     while rank[order[-1]] != n - 1:
-        levels.append((step, rank))
+        levels.append((step, rank.astype(np.int32)))
         # Only suffixes that share their rank are sorted on.
         size = np.bincount(rank, minlength=n)
         left = np.flatnonzero(size[rank] > 1)
@@ -307,17 +375,16 @@ def repeats(strings: list[bytes], docs: np.ndarray, firsts: np.ndarray, length:
     strings[i] starts at firsts[i] of docs[i].
     """
     index = RunIndex(strings)
-    neighbour, common = index.statistics()
-    linked = common >= length
+    neighbour, up, down = index.statistics()
     n = index.size
     # Positions that are linked, directly or not, hold the same window: root is the one above all of them.
-    root = np.where(linked, neighbour, np.arange(n))
+    root = np.where(up >= length, neighbour, np.arange(n))
     while True:
         further = root[root]
         if np.array_equal(further, root):
             break
         root = further
-    part = np.flatnonzero(linked | (np.bincount(root[linked], minlength=n) > 0))
+    part = np.flatnonzero((up >= length) | (down >= length))
     if not len(part):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     owner = np.searchsorted(index.starts, part, side="right") - 1
@@ -329,149 +396,222 @@ def repeats(strings: list[bytes], docs: np.ndarray, firsts: np.ndarray, length:
     return d[later], s[later], s[later] + length
 
 
-def may_match(strings: list[bytes], lefts: list[int], anchor: int, length: int) -> list[bool]:
-    """Whether a context of an anchor can share a window with another one of the same anchor.
+#: A context: doc, where it starts, its bytes, how many of them stand before the anchor.
+Context = tuple[int, int, bytes, int]
+
+
+def may_match(group: list[Context], anchor: int, length: int) -> list[Context]:
+    """The contexts of an anchor that can share a window with another one.
 
     A window holds at least half of what it has besides the anchor on one side; so some other context must have the
-    same bytes there, on the left or on the right. A place of the anchor that isn't known (-1) lets all pass.
+    same bytes there, on the left or on the right.
     """
-    if min(lefts) < 0:
-        return [True] * len(strings)
     half = (length - anchor) // 2
-    before = [s[a - half : a] if a >= half else b"" for s, a in zip(strings, lefts, strict=True)]
-    after = [s[a + anchor : a + anchor + half] if len(s) >= a + anchor + half else b"" for s, a in zip(strings, lefts, strict=True)]
+    before = [s[a - half : a] if a >= half else b"" for _, _, s, a in group]
+    after = [s[a + anchor : a + anchor + half] if len(s) >= a + anchor + half else b"" for _, _, s, a in group]
     one, two = Counter(before), Counter(after)
-    return [(bool(x) and one[x] > 1) or (bool(y) and two[y] > 1) for x, y in zip(before, after, strict=True)]
+    return [g for g, x, y in zip(group, before, after, strict=True) if x and one[x] > 1 or y and two[y] > 1]
+
+
+def core(data: bytes, left: int, low: int, high: int, anchor: int, wide: int) -> bytes | None:
+    """What all windows hold that start low to high bytes before the anchor; None if the context has no such window."""
+    a, b = left - low, left + anchor + wide - high
+    return data[a:b] if a >= 0 and b <= len(data) else None
+
 
+def halves(low: int, high: int) -> tuple[tuple[int, int], ...]:
+    middle = (low + high) // 2
+    return (low, middle), (middle + 1, high)
 
-def indexed(length: int, anchor: int, index_bytes: int) -> Callable:
-    """Contexts in the order of their anchors: groups are put together until an index is full."""
+
+def split(group: list[Context], low: int, high: int, anchor: int, wide: int, most: int) -> Iterator[tuple[list[Context], int]]:
+    """Groups of at most so many bytes in which all contexts meet that share a window which starts low to high bytes
+    before the anchor; and, for a larger group with the same window in all, that window's distance, else -1."""
+    if sum(len(g[2]) for g in group) <= most:
+        yield group, -1
+    elif low == high:
+        yield group, low
+    else:
+        for a, b in halves(low, high):
+            parts: dict[bytes, list[Context]] = defaultdict(list)
+            for g in group:
+                if (own := core(g[2], g[3], a, b, anchor, wide)) is not None:
+                    parts[own].append(g)
+            for part in parts.values():
+                if len(part) > 1:
+                    yield from split(part, a, b, anchor, wide, most)
+
+
+def indexed(length: int, anchor: int, index_bytes: int, group_bytes: int) -> Callable:
+    """Contexts in the order of their groups: groups are put together until an index is full."""
+    wide = length - anchor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings: list[bytes] = []
-        docs: list[int] = []
-        firsts: list[int] = []
-        group: list[tuple] = []
+        held: list[Context] = []
+        group: list[Context] = []
         size, now = 0, None
 
         def close() -> pa.RecordBatch:
-            found = repeats(strings, np.array(docs, np.int64), np.array(firsts, np.int64), length)
-            strings.clear()
-            docs.clear()
-            firsts.clear()
+            docs, firsts = np.array([g[0] for g in held], np.int64), np.array([g[1] for g in held], np.int64)
+            found = repeats([g[2] for g in held], docs, firsts, length)
+            held.clear()
             return covers_batch(*found)
 
-        def add() -> int:
-            if len(group) < 2:
-                group.clear()
-                return 0
-            kept = may_match([g[2] for g in group], [g[3] for g in group], anchor, length)
-            for (doc, first, data, _), fits in zip(group, kept, strict=True):
-                if fits:
-                    strings.append(data)
-                    docs.append(doc)
-                    firsts.append(first)
-            added = sum(len(g[2]) + 1 for g, fits in zip(group, kept, strict=True) if fits)
+        def add() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            own = may_match(group, anchor, length) if len(group) > 1 else []
             group.clear()
-            return added
+            for part, same in split(own, 0, wide, anchor, wide, group_bytes) if own else ():
+                if same >= 0:
+                    starts = sorted((g[0], g[1] + g[3] - same) for g in part)
+                    docs, firsts = (np.array(x, np.int64) for x in zip(*(x for x in starts[1:] if x != starts[0]), strict=True))
+                    yield covers_batch(docs, firsts, firsts + length)
+                    continue
+                held.extend(part)
+                size += sum(len(g[2]) + 1 for g in part)
+                if size >= index_bytes:
+                    size = 0
+                    yield close()
 
         for batch in batches:
             for key, doc, first, data, left in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != now:
-                    size += add()
-                    if size >= index_bytes:
-                        yield close()
-                        size = 0
+                    yield from add()
                 now = key
                 group.append((doc, first, data, left))
-        add()
-        if strings:
+        yield from add()
+        if held:
             yield close()
 
     return run
 
 
-def windows(length: int) -> Callable:
-    """Every window of a context: two hashes, doc and where it starts."""
+CONTEXTS = "key long, doc long, first int, data binary, left int"
+
+
+def halved(length: int, anchor: int) -> Callable:
+    """Contexts of large groups, with low and high, once for each half of that range and with the key of its bytes."""
+    wide = length - anchor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts: list[tuple] = []
-            for doc, first, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                n = len(data) - length + 1
-                raw = np.frombuffer(data, np.uint8)
-                sums = []
-                for values in (_BYTES[raw], mix(_BYTES[raw])):
-                    prefix = np.concatenate((np.zeros(1, U), np.cumsum(values * powers(_BASE, len(raw)), dtype=U)))
-                    sums.append(mix((prefix[length:] - prefix[:n]) * powers(_INVERSE, n)).view(np.int64))
-                parts.append((*sums, np.full(n, doc, np.int64), np.arange(first, first + n, dtype=np.int64)))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["one", "two", "doc", "first"])
+            out: list[tuple] = []
+            for doc, first, data, left, low, high in zip(*(batch.column(i).to_pylist() for i in range(1, 7)), strict=True):
+                for a, b in halves(low, high):
+                    if (own := core(data, left, a, b, anchor, wide)) is not None:
+                        key = xxhash.xxh3_64_intdigest(own, a << 8 | b)
+                        out.append((key - (1 << 63), doc, first, data, left, a, b))
+            if out:
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "doc", "first", "data", "left", "low", "high"])
 
     return run
 
 
-def later_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """doc, first, last of the windows that start earlier elsewhere."""
-    rows = contexts.select("key", "doc", "first", "data").mapInArrow(windows(length), "one long, two long, doc long, first long").distinct()
-    heads = rows.groupBy("one", "two").agg(F.min(F.struct("doc", "first")).alias("head"))
-    later = rows.join(heads, ["one", "two"]).where(F.struct("doc", "first") != F.col("head"))
-    return later.select("doc", F.col("first").cast("int").alias("first"), (F.col("first") + length).cast("int").alias("last"))
+def single_windows(length: int) -> Callable:
+    """The one window that each context is down to, as rows of the parse."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            key, doc, first, left, low = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 2, 4, 5))
+            skip = left - low
+            one, two = digests(data[a : a + length] for data, a in zip(batch.column(3).to_pylist(), skip.tolist(), strict=True))
+            yield key, one.view(np.int64), two.view(np.int64), doc, placed(first + skip, np.full(len(doc), length), low)
 
-def marked(docs: DataFrame, id_col: str, text_col: str, length: int, anchor: int, index_bytes: int, hot_contexts: int) -> tuple[DataFrame, DataFrame, int]:
-    """(doc and text of the rows with an id, ranges to remove by doc, most rows of an id).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from in_batches(rows(batches), firsts_only)
 
-    doc is a number that follows the order of documents: the id, or id * most + place.
+    return run
+
+
+def together(rows: DataFrame) -> DataFrame:
+    """Rows of the parse over all batches: later occurrences as ranges, first ones of keys with several contexts."""
+    return cut(rows.repartition("key").sortWithinPartitions("key", "one", "two", "doc", "place").mapInArrow(gather, ROWS))
+
+
+def split_large(contexts: DataFrame, large: DataFrame, length: int, anchor: int, held: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(contexts in groups of at most held, ranges to remove): the groups named in large are split exactly."""
+    wide, ranges = length - anchor, []
+    ready = contexts.join(small_side(large, 100_000), "key", "left_anti").select("key", "doc", "first", "data", "left")
+    todo = contexts.join(small_side(large, 100_000), "key", "left_semi").withColumns({"low": F.lit(0), "high": F.lit(wide)})
+    while True:
+        parts = cut(todo.select("key", "doc", "first", "data", "left", "low", "high").mapInArrow(halved(length, anchor), CONTEXTS + ", low int, high int"))
+        windows = together(parts.where("low = high").mapInArrow(single_windows(length), ROWS))
+        ranges.append(windows.where("place < 0").select("doc", *cover_columns()))
+        parts = parts.where("low < high")
+        sizes = cut(parts.groupBy("key").count().where("count > 1"))
+        large = sizes.where(F.col("count") > held).select("key")
+        small = sizes.where(F.col("count") <= held).select("key")
+        ready = ready.unionByName(parts.join(small, "key", "left_semi").select("key", "doc", "first", "data", "left"))
+        if not large.limit(1).count():
+            return ready, ranges
+        todo = parts.join(small_side(large, 100_000), "key", "left_semi")
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """(doc, text and, if doc is not the id itself, id of the rows with an id; whether a doc may have several rows).
+
+    doc numbers the documents in order. Whole numbers that don't repeat are doc numbers themselves; other ids are
+    sorted with their texts.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    most = own.where("id is not null").groupBy("id").count().agg(F.max("count")).first()[0] or 1
-    if most > 1:
-        # Rows that share an id: the same text is the same document, other texts follow each other.
-        place = F.dense_rank().over(Window.partitionBy("id").orderBy("text")) - 1
-        own = cut(own.withColumn("doc", F.when(F.col("id").isNotNull(), F.col("id") * most + place)))
-    else:
-        own = own.withColumn("doc", F.col("id"))
-    # The same rows, dealt alike, meet their contexts and later their ranges: Spark shuffles them once.
-    known = own.where("doc is not null").select(F.col("doc").cast("long").alias("doc"), "text")
-    parsed = known.mapInArrow(parse(length, anchor), ROWS).repartition("key").sortWithinPartitions("key", "context", "doc", "first")
-    kept = cut(parsed.mapInArrow(gather, ROWS))
-
-    wanted = kept.where(F.col("kind") == FOUND).groupBy("doc").agg(F.collect_list(F.struct("key", "first", "last")).alias("contexts")).withColumnRenamed("doc", "of")
-    once = known.dropDuplicates(["doc"]) if most > 1 else known
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if isinstance(docs.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        if (own.groupBy("id").count().agg(F.max("count")).first()[0] or 1) == 1:
+            return own.select(F.col("id").cast("long").alias("doc"), "text"), False
+    own = own.withColumn("text", F.coalesce("text", F.lit("")))
+    in_order = own.distinct().repartitionByRange(F.col("id"), F.substring("text", 1, 64)).sortWithinPartitions("id", "text")
+    numbers = cut(in_order.select(F.col("id").alias("n_id"), F.col("text").alias("n_text"), F.monotonically_increasing_id().alias("doc")))
+    return own.join(numbers, (F.col("id") == F.col("n_id")) & (F.col("text") == F.col("n_text"))).select("id", "text", "doc"), True
+
+
+def marked(known: DataFrame, repeated: bool, length: int, anchor: int, index_bytes: int, group_bytes: int, hot_contexts: int) -> DataFrame:
+    """Ranges to remove by document: of, ranges."""
+    rows = known.select("doc", "text")
+    kept = together(rows.mapInArrow(parse(length, anchor), ROWS))
+
+    contexts_of = F.collect_list(F.struct("key", "place")).alias("contexts")
+    wanted = kept.where("place >= 0").groupBy("doc").agg(contexts_of).withColumnRenamed("doc", "of")
+    once = rows.dropDuplicates(["doc"]) if repeated else rows
     texts = once.join(wanted, F.col("doc") == F.col("of")).select("doc", "text", "contexts")
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, doc, first, data, left = [], [], [], [], []
-            for d, text, contexts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out: list[tuple] = []
+            for doc, text, contexts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = utf8(text)
                 for c in contexts:
-                    keys.append(c["key"])
-                    doc.append(d)
-                    first.append(c["first"])
-                    data.append(raw[c["first"] : c["last"]])
-                    left.append(length - anchor if c["first"] else c["last"] - length if c["last"] < len(raw) else -1)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(doc, pa.int64()), pa.array(first, pa.int32()), pa.array(data, pa.binary()), pa.array(left, pa.int32())], ["key", "doc", "first", "data", "left"])
-
-    contexts = texts.mapInArrow(sliced, "key long, doc long, first int, data binary, left int")
-    covers = kept.where(F.col("kind") == COVER).select("doc", "first", "last")
-    hot = cut(kept.where(F.col("kind") == FOUND).groupBy("key").count().where(F.col("count") > hot_contexts).select("key"))
-    if hot.limit(1).count():
-        hot = small_side(hot, 100_000)
-        covers = covers.unionByName(later_windows(contexts.join(hot, "key", "left_semi"), length))
-        contexts = contexts.join(hot, "key", "left_anti").select("key", "doc", "first", "data", "left")
+                    first, size, left = c["place"] >> 32, c["place"] >> 16 & 0xFFFF, c["place"] & 0xFFFF
+                    out.append((c["key"], doc, first, raw[first : first + size], left))
+                if len(out) >= 20_000:
+                    yield contexts_batch(out)
+                    out = []
+            if out:
+                yield contexts_batch(out)
+
+    contexts = texts.mapInArrow(sliced, CONTEXTS)
+    covers = kept.where("place < 0").select("doc", *cover_columns())
+    large = cut(kept.where("place >= 0").groupBy("key").count().where(F.col("count") > hot_contexts).select("key"))
+    if large.limit(1).count():
+        contexts, more = split_large(contexts, large, length, anchor, hot_contexts)
+        for ranges in more:
+            covers = covers.unionByName(ranges)
     indexing = contexts.repartition("key").sortWithinPartitions("key", "doc", "first")
-    covers = covers.unionByName(indexing.mapInArrow(indexed(length, anchor, index_bytes), ROWS).select("doc", "first", "last"))
-    covers = covers.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("ranges")).withColumnRenamed("doc", "of")
-    return known, covers, most
+    covers = covers.unionByName(indexing.mapInArrow(indexed(length, anchor, index_bytes, group_bytes), ROWS).select("doc", *cover_columns()))
+    return covers.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("ranges")).withColumnRenamed("doc", "of")
+
+
+def contexts_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "doc", "first", "data", "left"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, index_bytes: int = INDEX_BYTES, hot_contexts: int = HOT_CONTEXTS, keep_bytes: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, index_bytes: int = INDEX_BYTES, group_bytes: int = GROUP_BYTES, hot_contexts: int = HOT_CONTEXTS, keep_bytes: bool = True) -> DataFrame:
     """A row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256 and, by choice, kept (the remaining bytes)."""
-    known, covers, most = marked(docs, id_col, text_col, length, anchor, index_bytes, hot_contexts)
-    kind = docs.schema[id_col].dataType
-    joined = known.join(covers, F.col("doc") == F.col("of"), "left").select(F.expr(f"(doc - pmod(doc, {most})) div {most}").cast(kind).alias(id_col), "text", "ranges")
+    known, repeated = numbered(docs, id_col, text_col)
+    covers = marked(known, repeated, length, anchor, index_bytes, group_bytes, hot_contexts)
+    # The same rows, dealt alike, have met their contexts: Spark shuffles them once.
+    own_id = F.col("id") if repeated else F.col("doc").cast(docs.schema[id_col].dataType)
+    joined = known.join(covers, F.col("doc") == F.col("of"), "left").select(own_id.alias(id_col), "text", "ranges")
     without = docs.where(F.col(id_col).isNull()).select(F.col(id_col), F.col(text_col).alias("text"), F.lit(None).cast("array<struct<first:int,last:int>>").alias("ranges"))
 
     def make():

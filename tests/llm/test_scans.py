@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from studyloom.llm import decontam, minhash, rules, runindex, secret
 from studyloom.llm._shared import lower_words
@@ -58,7 +59,7 @@ def test_run_index_statistics_are_the_plain_ones():
     rng = random.Random(5)
     strings = [bytes(rng.choice(b"ab\x00") for _ in range(rng.randint(0, 25))) for _ in range(9)]
     index = runindex.RunIndex(strings)
-    neighbour, common = index.statistics()
+    neighbour, common, below = index.statistics()
     text = b"".join(s + b"|" for s in strings)
     best = np.zeros(index.size, int)
     for i, s in enumerate(strings):
@@ -73,7 +74,7 @@ def test_run_index_statistics_are_the_plain_ones():
     down = np.zeros(index.size, int)
     for p in np.flatnonzero(neighbour >= 0):
         down[neighbour[p]] = max(down[neighbour[p]], common[p])
-    assert (np.maximum(up, down) == best).all() and len(text) == index.size and index.runs < index.size
+    assert (np.maximum(up, down) == best).all() and (down == below).all() and len(text) == index.size and index.runs < index.size
 
 
 def test_repeats_of_odd_rows(spark, odd, none):
@@ -89,6 +90,46 @@ def test_repeats_of_odd_rows(spark, odd, none):
     assert sorted((r.n_bytes, r.n_removed) for r in runindex.remove_repeats(twice).collect()) == [(150, 0), (151, 0), (151, 150), (151, 150)]
 
 
+@pytest.mark.parametrize("hot", [100, 50_000])
+def test_repeats_around_an_anchor_in_very_many_contexts(spark, hot):
+    """A phrase of 110 bytes stands in 1,500 different surroundings, some of which share bytes with others."""
+    rng = random.Random(9)
+    phrase = "".join(rng.choice("abcdefghij ") for _ in range(110))
+    sides = ["".join(rng.choice("uvwxyz ") for _ in range(80)) for _ in range(300)]
+    texts = [rng.choice(sides)[rng.randint(0, 80) :] + str(i)[:: rng.choice((1, -1))] + phrase[rng.choice((0, 0, 20)) :] + rng.choice(sides)[: rng.randint(0, 80)] for i in range(1500)]
+    found = runindex.remove_repeats(documents(spark, texts).repartition(5), index_bytes=20_000, group_bytes=4_000, hot_contexts=hot)
+    rows = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in found.collect()}
+    assert [rows[i] for i in range(len(texts))] == kept_by_brute_force(texts, runindex.LENGTH)
+
+
+def test_an_anchor_of_60000_contexts_is_indexed_in_bounded_pieces():
+    rng = random.Random(3)
+    anchor, shared = rng.randbytes(32), rng.randbytes(60)
+    group = [(i, 0, rng.randbytes(8) + shared + anchor + i.to_bytes(3, "big") + rng.randbytes(65), 68) for i in range(60_000)]
+    parts = list(runindex.split(group, 0, 68, 32, 68, 1 << 17))
+    assert all(sum(len(g[2]) for g in part) <= 1 << 17 or same >= 0 for part, same in parts)
+    # Windows that end three bytes or less behind the anchor repeat: those of 60 bytes before it don't reach 100.
+    assert all(runindex.repeats([g[2] for g in part], np.array([g[0] for g in part]), np.zeros(len(part), np.int64), 100)[0].size == 0 for part, same in parts[:3] if same < 0)
+
+
+@pytest.mark.parametrize("kind", ["string", "long", "date"])
+def test_repeats_in_the_order_of_any_ids(spark, kind):
+    texts = repetitive(4, 25)
+    ids = {"string": [f"d{i:04}" for i in range(len(texts))], "long": [(1 << 62) + i for i in range(len(texts))], "date": None}[kind]
+    df = spark.createDataFrame([(ids[i] if ids else i, t, i) for i, t in enumerate(texts)], f"doc_id {kind if ids else 'int'}, text string, n_bytes long")
+    df = df if ids else df.withColumn("doc_id", F.date_add(F.lit("2020-01-01").cast("date"), F.col("doc_id")))
+    rows = sorted(runindex.remove_repeats(df.repartition(5)).collect())
+    assert [(r.n_removed, r.n_spans, r.kept_sha256) for r in rows] == kept_by_brute_force(texts, runindex.LENGTH)
+    twice = runindex.remove_repeats(df.unionByName(df)).collect()
+    assert sorted({(r.doc_id, r.n_removed, r.kept_sha256) for r in twice}) == [(r.doc_id, r.n_removed, r.kept_sha256) for r in rows]
+
+
+def test_anchors_of_long_texts_are_those_of_short_pieces():
+    data = random.Random(1).randbytes(5000) + b"a" * 3000 + b"xyz" * 700
+    whole, by_piece = (np.concatenate([a for a, _ in runindex.anchors(data, piece=n)]) for n in (1 << 18, 300))
+    assert (whole == np.sort(by_piece)).all() and len(set(by_piece.tolist())) == len(by_piece)
+
+
 # Near-duplicates
 
 
