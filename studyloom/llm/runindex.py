@@ -5,7 +5,7 @@ document). Strings are judged on the input. The corpus is taken apart as prefix-
 run-length Burrows-Wheeler transform of a repetitive text, so that suffixes of distinct contexts only are sorted:
 
 1. Anchors. Of the hashes of all 32-byte strings in a 100-byte window, the least is the window's anchor, wherever the
-   window occurs. An anchor's context is all that any window with it can hold: 68 bytes before and after it. Contexts
+   window occurs. An anchor's context is all that its windows hold, at most 68 bytes before and after it. Contexts
    that are equal throughout (same anchor hash, same 128-bit digest) are one phrase of the parse: all but the first are
    repeats from end to end. That is found out within each batch before anything is shuffled, so a passage that a third
    of all documents hold sends a row per batch, and then by anchor over all batches.
@@ -48,9 +48,11 @@ from ._shared import append, cut, small_side, utf8
 
 LENGTH, ANCHOR = 100, 32
 #: Bytes of contexts in one index: groups are added until there are so many. A group of more bytes is split.
-INDEX_BYTES, GROUP_BYTES = 1 << 18, 1 << 17
+INDEX_BYTES, GROUP_BYTES = 1 << 18, 1 << 18
+#: Parts of the distances from a window's start to its anchor by which contexts are trimmed.
+QUARTERS = 4
 #: Contexts of a group that a task holds; a larger group is split by shuffles.
-HOT_CONTEXTS = 20_000
+HOT_CONTEXTS = 100_000
 #: Bytes of a text in which anchors are found at once; rows that are gathered before they are handed on.
 PIECE, GATHERED = 1 << 18, 1 << 20
 
@@ -90,22 +92,22 @@ def sliding(values: np.ndarray, size: int, of: Callable) -> np.ndarray:
     return of(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def anchors(data: bytes, length: int = LENGTH, anchor: int = ANCHOR, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions, hashes) of a text's anchors, piece by piece."""
+def anchors(data: bytes, length: int = LENGTH, anchor: int = ANCHOR, piece: int = PIECE) -> Iterator[tuple[np.ndarray, ...]]:
+    """(positions, hashes, first window starts, last window starts) of a text's anchors, for a piece's windows at a time."""
     raw, wide = np.frombuffer(data, np.uint8), length - anchor
-    before = np.zeros(0, np.int64)
     for start in range(0, len(raw) - length + 1, piece):
         hashes = string_hashes(_BYTES[raw[start : start + piece + length - 1]], anchor)
         least = sliding(hashes, wide + 1, np.minimum)
         # A position is an anchor if some window that holds it has no smaller hash.
         padded = np.concatenate((np.zeros(wide, U), least, np.zeros(wide, U)))
         at = np.flatnonzero(sliding(padded, wide + 1, np.maximum)[: len(hashes)] == hashes)
-        key = hashes[at]
-        at += start
-        # Windows of two pieces may have the same anchor.
-        new = ~np.isin(at, before)
-        before = at[at >= start + piece]
-        yield at[new], key[new]
+        # Its windows lie in one run of windows with that least hash, among the runs that it can reach.
+        opens = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+        closes = np.append(opens[1:], len(least)) - 1
+        run, last = (np.searchsorted(opens, x, "right") - 1 for x in (np.maximum(at - wide, 0), at))
+        while (other := (least[opens[run]] != hashes[at]) & (run < last)).any():
+            run[other] += 1
+        yield at + start, hashes[at], np.maximum(opens[run], at - wide) + start, np.minimum(closes[run], at) + start
 
 
 def digests(strings: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -185,14 +187,13 @@ def firsts_only(key: np.ndarray, one: np.ndarray, two: np.ndarray, doc: np.ndarr
 
 def parse(length: int, anchor: int) -> Callable:
     """Anchors of documents; within a batch, later occurrences of a context become ranges to remove."""
-    wide = length - anchor
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = utf8(text)
-                for at, key in anchors(data, length, anchor):
-                    starts, ends = np.maximum(at - wide, 0), np.minimum(at + anchor + wide, len(data))
+                for at, key, starts, ends in anchors(data, length, anchor):
+                    ends += length
                     one, two = digests(data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
                     yield key, one, two, np.full(len(at), doc, np.int64), placed(starts, ends - starts, at - starts)
 
@@ -329,31 +330,26 @@ def suffix_order(symbols: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.nd
     order = np.argsort(key)
     ended = order[~open_yet[order]]
     order[~open_yet[order]] = ended[np.lexsort((ended, key[ended]))]
-    ordered = key[order]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(np.concatenate(([0], (ordered[1:] != ordered[:-1]) | ~open_yet[order][1:])))
-    step, levels = PACKED, [(1, np.where(symbols > 0, symbols, -1 - np.arange(n)))]
-    while rank[order[-1]] != n - 1:
+    key = key[order]
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | ~open_yet[order][1:]))
+    step, levels = PACKED, [(1, np.where(symbols > 0, symbols, -1 - np.arange(n)).astype(np.int32))]
+    # A rank is the place of the first suffix that is equal so far; only suffixes that share theirs are sorted on.
+    rank, place = np.empty(n, np.int64), np.arange(n)
+    left, own = order, np.maximum.accumulate(np.where(new, place, 0))
+    while True:
+        rank[left] = own
         levels.append((step, rank.astype(np.int32)))
-        # Only suffixes that share their rank are sorted on.
-        size = np.bincount(rank, minlength=n)
-        left = np.flatnonzero(size[rank] > 1)
-        key = rank[left] * (n + 1) + np.where(left + step < n, rank[np.minimum(left + step, n - 1)] + 1, 0)
+        shared = ~(new & np.append(new[1:], True))
+        left, own, place = left[shared], own[shared], place[shared]
+        if not len(left):
+            return order, levels
+        # The first symbols of these hold no end mark, so what follows them is inside the text.
+        key = own * n + rank[left + step]
         by = np.argsort(key)
         left, key = left[by], key[by]
-        # A group's place is the number of suffixes before it; ranks inside follow the new keys.
-        place = np.concatenate(([0], np.cumsum(size)))[rank[left]]
-        group = np.concatenate(([True], rank[left][1:] != rank[left][:-1]))
-        first = np.maximum.accumulate(np.where(group, np.arange(len(left)), 0))
-        order[place + np.arange(len(left)) - first] = left
-        fresh = np.zeros(n, np.int64)
-        fresh[order] = 1
-        again = np.concatenate(([True], (key[1:] != key[:-1])))
-        starts = np.ones(n, bool)
-        starts[place + np.arange(len(left)) - first] = again
-        fresh[order] = np.cumsum(starts) - 1
-        rank, step = fresh, 2 * step
-    return order, levels
+        order[place] = left
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        own, step = np.maximum.accumulate(np.where(new, place, 0)), 2 * step
 
 
 def common_lengths(a: np.ndarray, b: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np.ndarray:
@@ -400,25 +396,31 @@ def repeats(strings: list[bytes], docs: np.ndarray, firsts: np.ndarray, length:
 Context = tuple[int, int, bytes, int]
 
 
-def may_match(group: list[Context], anchor: int, length: int) -> list[Context]:
-    """The contexts of an anchor that can share a window with another one.
-
-    A window holds at least half of what it has besides the anchor on one side; so some other context must have the
-    same bytes there, on the left or on the right.
-    """
-    half = (length - anchor) // 2
-    before = [s[a - half : a] if a >= half else b"" for _, _, s, a in group]
-    after = [s[a + anchor : a + anchor + half] if len(s) >= a + anchor + half else b"" for _, _, s, a in group]
-    one, two = Counter(before), Counter(after)
-    return [g for g, x, y in zip(group, before, after, strict=True) if x and one[x] > 1 or y and two[y] > 1]
-
-
 def core(data: bytes, left: int, low: int, high: int, anchor: int, wide: int) -> bytes | None:
     """What all windows hold that start low to high bytes before the anchor; None if the context has no such window."""
     a, b = left - low, left + anchor + wide - high
     return data[a:b] if a >= 0 and b <= len(data) else None
 
 
+def trimmed(group: list[Context], anchor: int, wide: int) -> list[Context]:
+    """What can match of the contexts of an anchor: those that share the bytes of a quarter of the distances with
+    another one, down to the windows of such quarters."""
+    ranges: dict[int, tuple[int, int]] = {}
+    for i in range(QUARTERS):
+        low, high = i * (wide + 1) // QUARTERS, (i + 1) * (wide + 1) // QUARTERS - 1
+        cores = [core(g[2], g[3], low, high, anchor, wide) for g in group]
+        times = Counter(cores)
+        for j, own in enumerate(cores):
+            if own is not None and times[own] > 1:
+                ranges[j] = (ranges.get(j, (low, 0))[0], high)
+    out = []
+    for j, (low, high) in sorted(ranges.items()):
+        doc, first, data, left = group[j]
+        skip = max(0, left - high)
+        out.append((doc, first + skip, data[skip : left + anchor + wide - low], left - skip))
+    return out
+
+
 def halves(low: int, high: int) -> tuple[tuple[int, int], ...]:
     middle = (low + high) // 2
     return (low, middle), (middle + 1, high)
@@ -459,7 +461,7 @@ def indexed(length: int, anchor: int, index_bytes: int, group_bytes: int) -> Cal
 
         def add() -> Iterator[pa.RecordBatch]:
             nonlocal size
-            own = may_match(group, anchor, length) if len(group) > 1 else []
+            own = trimmed(group, anchor, wide) if len(group) > 1 else []
             group.clear()
             for part, same in split(own, 0, wide, anchor, wide, group_bytes) if own else ():
                 if same >= 0:

@@ -124,10 +124,18 @@ def test_repeats_in_the_order_of_any_ids(spark, kind):
     assert sorted({(r.doc_id, r.n_removed, r.kept_sha256) for r in twice}) == [(r.doc_id, r.n_removed, r.kept_sha256) for r in rows]
 
 
-def test_anchors_of_long_texts_are_those_of_short_pieces():
-    data = random.Random(1).randbytes(5000) + b"a" * 3000 + b"xyz" * 700
-    whole, by_piece = (np.concatenate([a for a, _ in runindex.anchors(data, piece=n)]) for n in (1 << 18, 300))
-    assert (whole == np.sort(by_piece)).all() and len(set(by_piece.tolist())) == len(by_piece)
+@pytest.mark.parametrize("piece", [1 << 18, 300])
+def test_each_window_has_its_anchors(piece):
+    data = random.Random(1).randbytes(2000) + b"a" * 900 + b"xyz" * 300
+    windows = [[] for _ in range(len(data) - 99)]
+    for found in runindex.anchors(data, piece=piece):
+        for at, key, first, last in zip(*(x.tolist() for x in found), strict=True):
+            for w in range(first, last + 1):
+                windows[w].append((at - w, key))
+    hashes = runindex.string_hashes(runindex._BYTES[np.frombuffer(data, np.uint8)], 32).tolist()
+    for w, own in enumerate(windows):
+        inside = hashes[w : w + 69]
+        assert sorted(set(own)) == [(i, h) for i, h in enumerate(inside) if h == min(inside)]
 
 
 # Near-duplicates
