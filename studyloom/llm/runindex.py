@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import append, cut, small_side, utf8
+from ._shared import append, cut, small_side, utf8, written
 
 LENGTH, ANCHOR = 100, 32
 #: Bytes of contexts in one index: groups are added until there are so many. A group of more bytes is split.
@@ -152,11 +152,11 @@ def found_batch(key, one, two, doc, place) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["key", "one", "two", "doc", "place"])
 
 
-def covers_batch(docs, starts, ends) -> pa.RecordBatch:
-    """Ranges to remove; the key deals them evenly."""
+def covers_batch(docs, starts, ends, spread: bool = True) -> pa.RecordBatch:
+    """Ranges to remove; for a shuffle by key, one that deals them evenly."""
     docs, starts, ends = by_document(docs, starts, ends)
-    key = mix(docs.view(U) * U(0xD1342543DE82EF95) + starts.astype(U))
     none = np.zeros(len(docs), np.int64)
+    key = mix(docs.view(U) * U(0xD1342543DE82EF95) + starts.astype(U)) if spread else none
     return found_batch(key, none, none, docs, -1 - (starts << 31 | ends))
 
 
@@ -177,7 +177,9 @@ def firsts_only(key: np.ndarray, one: np.ndarray, two: np.ndarray, doc: np.ndarr
         order = np.lexsort((place, doc, two, one, key))
     new = np.concatenate(([True], ~equal))
     head = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
-    yield found_batch(k[new], a[new], b[new], d[new], p[new])
+    # In the order of the text again, in which neighbouring rows compress better.
+    kept = np.sort(order[new])
+    yield found_batch(key[kept], one[kept], two[kept], doc[kept], place[kept])
     # Repeated rows of one document are as early as the first.
     later = (d != d[head]) | (p >> 32 != p[head] >> 32)
     if later.any():
@@ -227,7 +229,7 @@ def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cover = place < 0
         if cover.any():
             packed = -1 - place[cover]
-            yield covers_batch(doc[cover], packed >> 31, packed & (1 << 31) - 1)
+            yield covers_batch(doc[cover], packed >> 31, packed & (1 << 31) - 1, spread=False)
         mine = ~cover
         if not mine.any():
             continue
@@ -239,7 +241,7 @@ def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         later = (doc != doc[head]) | (place >> 32 != place[head] >> 32)
         if later.any():
             first = place[later] >> 32
-            yield covers_batch(doc[later], first, first + (place[later] >> 16 & 0xFFFF))
+            yield covers_batch(doc[later], first, first + (place[later] >> 16 & 0xFFFF), spread=False)
         heads = np.flatnonzero(new)
         k = key[heads]
         several = np.zeros(len(heads), bool)
@@ -528,7 +530,7 @@ def single_windows(length: int) -> Callable:
 
 def together(rows: DataFrame) -> DataFrame:
     """Rows of the parse over all batches: later occurrences as ranges, first ones of keys with several contexts."""
-    return cut(rows.repartition("key").sortWithinPartitions("key", "one", "two", "doc", "place").mapInArrow(gather, ROWS))
+    return written(rows.repartition("key").sortWithinPartitions("key", "one", "two", "doc", "place").mapInArrow(gather, ROWS))
 
 
 def split_large(contexts: DataFrame, large: DataFrame, length: int, anchor: int, held: int) -> tuple[DataFrame, list[DataFrame]]:
