@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from studyloom.llm import bpe, chat, langid, quality, tokencount
 from studyloom.llm._shared import bucket_of
@@ -62,7 +63,32 @@ def test_cut_texts_are_encoded_as_whole_ones(spark, library):
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("size", [9, 31])
+def test_pieces_cut_anywhere_give_the_library_s_ids(library, size):
+    c = bpe.codec(PATH)
+    rng = random.Random(4)
+    letters = ["".join(rng.choice(x) for _ in range(400)) for x in ("x", "ab", "中", "наоеит", "한국어", "theinroa", "'s", "!'", "...,", "é́ー", "a1", "ΣσςİI")]
+    for text in [*letters, *(" ".join(random_texts(8, s)) for s in range(60)), "".join(rng.choice(["don't", "'ll", "ß", "X", " ", "…"]) for _ in range(300))]:
+        cuts = [(0, bpe.APART), *c.cuts(text, size), (len(text), bpe.APART)]
+        out = bpe.Streamed(c, False)
+        for (a, x), (b, y) in zip(cuts, cuts[1:], strict=False):
+            out.add(dict(zip(("head", "ids", "names", "n", "tail", "single"), c.piece(text[a:b], x == bpe.JOINED, y == bpe.JOINED), strict=True)))
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert out.finish() == (len(ids), " ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False)), text
+    assert all(len(c.cuts(x * 600 + " ", 50)) >= 8 for x in ("x", "中", "при ", "A, b. "))
+
+
+def test_a_text_without_spaces_is_cut_in_linear_time():
+    c = bpe.codec(PATH)
+    for text in ("x" * 4_000_000, "中文字" * 1_000_000, "Привет мир" * 300_000, "A, b. " * 500_000):
+        assert len(text) / bpe.CUT_CHARS - 2 <= len(c.cuts(text, bpe.CUT_CHARS)) <= len(text) / bpe.CUT_CHARS
+
+
 def test_bpe_of_odd_rows(odd, none):
+    clash = odd.withColumnsRenamed({"source": "row", "lang": "no"}).withColumn("piece", F.lit(1))
+    back = bpe.encode(clash, PATH, cut_chars=100)
+    assert set(clash.columns) < set(back.columns) and back.count() == odd.count()
+    assert {(r.doc_id, r.no, r.row, r.piece) for r in back.collect()} == {(r.doc_id, r.no, r.row, 1) for r in clash.collect()}
     assert bpe.encode(odd, PATH).count() == odd.count()
     assert bpe.encode(none, PATH, digests=False).count() == 0
 
