@@ -5,8 +5,9 @@ the bit. Decoding adds up the logistic loss of every bit's margin against each c
 the least loss; a document whose two best languages are close in loss is flagged as ambiguous. Up to seven
 languages have the exhaustive code; more have a seeded random code of many bits with the largest least distance.
 
-Training takes at most max_docs documents a language (those with the smallest hash of their id), which tasks turn
-into bucket counts. Scoring is one pass without a shuffle; each word's contribution is summed once per task.
+Training takes at most max_docs documents a language and max_total in all (those with the smallest hash of their id),
+which tasks turn into bucket counts; every language takes part. Counts of the languages come first, so only rows whose
+hash is below a language's threshold, about twice as many as are wanted, are ever ranked. Scoring is one pass without a shuffle; each word's contribution is summed once per task.
 
 Defined results: null text or text without a letter is `und` with score 0; rows without lang don't train; with no
 learned language every row is `und`; repeated rows are judged one by one.
@@ -23,15 +24,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._grams import CACHE_WORDS, WordSums, counted, grams, minibatches
-from ._shared import append
+from ._shared import append, cut, small_side
 
 BUCKETS, LOW, HIGH = 1 << 14, 2, 3
 #: At most 1,000 documents a language, so that Spark limits each task before the shuffle.
 MAX_DOCS, EPOCHS, BATCH = 1_000, 4, 32
 #: Difference of losses, in parts of the number of bits, under which a document is ambiguous.
 CLOSE = 0.1
-#: Languages a model can hold; the rarest beyond are left out, as a model's bound.
-MAX_LANGS = 500
+#: Documents of all languages together: with many languages, each gives fewer.
+MAX_TOTAL = 8_000
 UNKNOWN = "und"
 #: Words that are looked up at once.
 STEP = 8192
@@ -131,13 +132,23 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], seed: int
     return Model(languages, words, weights.astype(np.float64), bias.astype(np.float64))
 
 
-def fit(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, max_langs: int = MAX_LANGS) -> Model:
-    """Trains on at most max_docs documents of each language for which allowed holds."""
-    ids = docs.where(F.coalesce(allowed, F.lit(False)) & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("sample_id"), F.col(lang_col).alias("sample_lang"))
-    common = ids.groupBy("sample_lang").count().orderBy(F.desc("count"), "sample_lang").limit(max_langs).select("sample_lang")
-    order = Window.partitionBy("sample_lang").orderBy(F.xxhash64("sample_id"), "sample_id")
-    chosen = ids.join(F.broadcast(common), "sample_lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_docs)
-    sample = docs.select(F.col(id_col).alias("sample_id"), F.col(text_col).alias("sample_text")).join(F.broadcast(chosen.select("sample_id", "sample_lang").distinct()), "sample_id")
+def sampled(docs: DataFrame, allowed: Column, id_col: str, lang_col: str, max_docs: int, max_total: int) -> DataFrame:
+    """(sample_id, sample_lang) of the documents to train on."""
+    ids = docs.where(F.coalesce(allowed, F.lit(False)) & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("sample_id"), F.col(lang_col).alias("sample_lang"), F.xxhash64(F.col(id_col)).alias("hash"))
+    sizes = cut(ids.groupBy("sample_lang").agg(F.count(F.lit(1)).alias("n")))
+    wanted = F.least(F.lit(max_docs), F.greatest(F.lit(1), F.floor(F.lit(max_total) / F.lit(max(1, sizes.count())))))
+    # In parts of 2^32: a language's rows below it are more than are wanted, but for a chance of nothing.
+    limits = sizes.select(F.col("sample_lang").alias("of"), wanted.alias("wanted"), (F.lit(float(1 << 32)) * (2 * wanted + 100) / F.col("n")).alias("limit"))
+    near = ids.join(small_side(limits, 10_000), F.col("sample_lang") == F.col("of")).where(F.pmod("hash", F.lit(1 << 32)) < F.col("limit"))
+    order = Window.partitionBy("sample_lang").orderBy(F.pmod("hash", F.lit(1 << 32)), "hash", "sample_id")
+    return cut(near.withColumn("rank", F.row_number().over(order)).where("rank <= wanted").select("sample_id", "sample_lang").distinct())
+
+
+def fit(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, max_total: int = MAX_TOTAL) -> Model:
+    """Trains on documents of every language for which allowed holds, at most max_docs of each and max_total in all."""
+    chosen = sampled(docs, allowed, id_col, lang_col, max_docs, max_total)
+    # The chosen are max_total rows at most (a row for each language, if there are more of these).
+    sample = docs.select(F.col(id_col).alias("sample_id"), F.col(text_col).alias("sample_text")).join(small_side(chosen, 2 * MAX_TOTAL), "sample_id")
 
     def make():
         def fn(batch):
