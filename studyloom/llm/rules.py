@@ -6,16 +6,20 @@ shuffled. Groups that are too small to trust take the merged sketch of their lan
 The fence of a measure is q75 + 3 * max(q75 - q25, least spread): what stands far outside of its own group fails.
 
 Defined results: null text counts as empty and fails the base rules; null languages and sources are groups of
-their own; repeated rows are judged one by one; an empty table gives an empty result.
+their own; repeated rows are judged one by one; an empty table gives an empty result; columns of any name come back,
+those named like a count or a verdict are replaced by it. The step from a group's own sketch to its language's is a
+rule for small groups, not for small tables: below min_group base-passing rows quartiles are too uncertain to reject by.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import append, cut, small_side, utf8
+from ._shared import append, cut, small_side, utf8, written
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 20, 8, 30
@@ -99,14 +103,14 @@ def counted(docs: DataFrame, text_col: str = "text", keep_text: bool = True) ->
     return append(docs, COUNTS, make, drop=() if keep_text else (text_col,))
 
 
-def shares() -> dict[str, Column]:
-    words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
+def shares(of: Callable[[str], Column] = F.col) -> dict[str, Column]:
+    words, chars = F.greatest(of("n_words"), F.lit(1)), F.greatest(of("word_chars"), F.lit(1))
     return {
-        "symbol_share": F.col("n_symbols") / words,
-        "word_length": F.col("word_chars") / words,
-        "mark_share": F.col("n_marks") / chars,
-        "upper_share": F.col("n_upper") / chars,
-        "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
+        "symbol_share": of("n_symbols") / words,
+        "word_length": of("word_chars") / words,
+        "mark_share": of("n_marks") / chars,
+        "upper_share": of("n_upper") / chars,
+        "dup_line_share": of("n_dup_lines") / F.greatest(of("n_lines"), F.lit(1)),
     }
 
 
@@ -141,20 +145,24 @@ def thresholds(counts: DataFrame, lang_col: str = "lang", source_col: str = "sou
     return joined.select("g_lang", "g_source", *(fence(m, x) for m, x in MEASURES.items()))
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+def base_failed(of: Callable[[str], Column] = F.col) -> Column:
+    return (of("n_words") < MIN_WORDS) | (100 * of("n_repeat_words") > REPEAT_PERCENT * of("n_words"))
 
 
 def judge(counts: DataFrame, limits: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """counts with base_failed, failed_rules and kept."""
     own = [c for c in counts.columns if c not in ("base_failed", "failed_rules", "kept")]
-    joined = counts.select(own).join(limits, F.col(lang_col).eqNullSafe(F.col("g_lang")) & F.col(source_col).eqNullSafe(F.col("g_source")), "left")
-    failed = F.array_compact(F.array(*(F.when(x > F.col(f"max_{m}"), F.lit(m)) for m, x in shares().items())))
-    return joined.select(*own, base_failed().alias("base_failed"), failed.alias("failed_rules")).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    # All columns of a row travel as one, so none of them can clash with those of the limits.
+    rows = counts.select(F.struct(*(F.col(c) for c in own)).alias("row"))
+    of = F.col("row").getField
+    joined = rows.join(limits, of(lang_col).eqNullSafe(F.col("g_lang")) & of(source_col).eqNullSafe(F.col("g_source")), "left")
+    failed = F.array_compact(F.array(*(F.when(x > F.col(f"max_{m}"), F.lit(m)) for m, x in shares(of).items())))
+    return joined.select(*(of(c).alias(c) for c in own), base_failed(of).alias("base_failed"), failed.alias("failed_rules")).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep_text: bool = True) -> DataFrame:
-    """docs with their counts, failed rules and verdict. The counts for the thresholds are gathered in a pass of its own."""
-    narrow = counted(docs.select(F.col(text_col), F.col(lang_col), F.col(source_col)), text_col, keep_text=False)
-    limits = small_side(cut(thresholds(narrow, lang_col, source_col)), MAX_BROADCAST_GROUPS)
-    return judge(counted(docs, text_col, keep_text), limits, lang_col, source_col)
+    """docs with their counts, failed rules and verdict. Texts are counted once; the counted rows are kept in the shared
+    folder, as thresholds and verdicts read them."""
+    counts = written(counted(docs, text_col, keep_text))
+    limits = small_side(cut(thresholds(counts, lang_col, source_col)), MAX_BROADCAST_GROUPS)
+    return judge(counts, limits, lang_col, source_col)
