@@ -70,6 +70,13 @@ Batch = pa.RecordBatch
 PIECE_CHARS = 1 << 20
 
 
+def unused(name: str, taken: Sequence[str]) -> str:
+    """name, or with marks behind it, such that no column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def fields_of(ddl: str) -> list[T.StructField]:
     return T._parse_datatype_string(ddl).fields
 

@@ -4,8 +4,9 @@ Band and row counts are chosen for a target recall at the threshold; documents m
 pair that meets is verified on the full n-gram sets. Nothing ever holds all pairs of a group:
 
 1. Documents with equal n-gram sets are one class; a class is counted, not expanded.
-2. Band hashes of classes are shuffled; only buckets with two classes or more go on. A bucket is dealt in blocks, and
-   tasks compare one block with itself or another, so no bucket lands whole in one task.
+2. Band hashes of classes are shuffled; only buckets with two classes or more go on. A bucket is dealt in blocks by
+   hash, and tasks compare one block with itself or another. Sizes are partial sums that are joined back, which lets
+   Spark split a skewed bucket: no bucket lands whole in one task.
 3. A pair that shares several bands is verified in the first of them only. The first pass, on band hashes alone,
    finds out which classes of a bucket have such a pair; only these fetch their n-gram sets for the second pass.
 4. The second pass yields, per class, the number of documents it links to there and the least class it is connected
@@ -26,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import append, cut, lower_words
+from ._shared import append, cut, lower_words, unused
 
 NGRAM, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.99999, 96
 #: Classes of a bucket that meet in one task.
@@ -149,10 +150,10 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int, text_col: str) ->
 
 
 def block_pairs(rows: DataFrame, block: int) -> DataFrame:
-    """rows (bucket, n, idx, …) once for each pair of blocks that their block is part of, with lo and hi."""
+    """rows (set_key, bucket, n, …) once for each pair of blocks that their block is part of, with lo and hi."""
     blocks = F.ceil(F.col("n") / block).cast("int")
-    mine = F.floor((F.col("idx") - 1) / block).cast("int")
-    return rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other")).drop("other", "idx", "n")
+    mine = F.pmod(F.xxhash64("set_key"), blocks).cast("int")
+    return rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other")).drop("other", "n")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
@@ -246,11 +247,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = cut(signatures(ids, bands, rows, n, "text"))
     classes = cut(signed.where("doc is not null and set_key is not null").groupBy("set_key").agg(F.min("doc").alias("head"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands")))
 
-    # Buckets with two classes or more, each in blocks.
+    # Buckets with two classes or more, each in blocks by hash; sizes are counted with partial aggregation.
     met = classes.select("set_key", F.posexplode("bands").alias("band", "bucket"))
-    bucket = Window.partitionBy("band", "bucket")
-    met = met.withColumn("n", F.count(F.lit(1)).over(bucket)).where("n > 1").withColumn("idx", F.row_number().over(bucket.orderBy("set_key")))
-    candidates = cut(block_pairs(met, block).join(classes.select("set_key", "head", "copies", "bands"), "set_key"))
+    sizes = met.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    candidates = cut(block_pairs(met.join(sizes, ["band", "bucket"]), block).join(classes.select("set_key", "head", "copies", "bands"), "set_key"))
 
     # First pass, on band hashes: who has a pair whose first common band is this bucket's?
     order = ["band", "bucket", "lo", "hi"]
@@ -347,5 +347,6 @@ def verified_batch(rows: list[tuple]) -> pa.RecordBatch:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs of which one of each group of near-duplicates stays: the one with the least id (rows that repeat it stay too)."""
     found = near_duplicates(docs, id_col, text_col)
-    gone = cut(found.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("gone_id")).distinct())
-    return docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
+    # A left anti join gives back the left side only; its condition names the sides, so no column can clash.
+    gone = cut(found.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias(unused("gone", docs.columns))).distinct())
+    return docs.join(gone, F.col(id_col) == F.col(gone.columns[0]), "left_anti")
