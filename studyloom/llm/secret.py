@@ -1,27 +1,33 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 Candidates are runs of 16 or more characters that keys are made of, with a digit among them (a name before = is cut
-off), the values of assignments, quoted or not and of any length, and passwords in URLs. A forest of decision trees, trained in numpy from labelled findings, judges each from its
-length, its character transitions, how much of it a dictionary covers, the path (source) and the neighbouring
-words. Training findings are a bounded table (findings=); without one, `labelled_findings` makes a seeded set of
-known kinds of secrets and of what is mistaken for them. Documents are scanned where they are read, whole, without
+off), the values of assignments, quoted or not and of any length, passwords in URLs, and, as one each, signed web
+tokens of three parts and armoured blocks. A forest of decision trees, trained in numpy from labelled findings, judges
+each from its length, its character transitions, how much of it a dictionary covers, the path (source) and the
+neighbouring words. The dictionary is the whole words of a tokenizer's vocabulary file, or a short list. Training
+findings are a bounded table (findings=); without one, `labelled_findings` makes a seeded set of known kinds of secrets
+and of what is mistaken for them. Documents are scanned where they are read, whole, without
 a shuffle.
 
 Defined results: null and empty texts have no candidates; repeated rows are scanned one by one; a null path is an
-empty one; candidates of any length are judged; redaction replaces each secret by a mark and nothing else.
+empty one; candidates of any length are judged; redaction replaces each secret by a mark and nothing else, in time in
+proportion to the text; a column named findings is replaced, all others come back.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
+import functools
 import hashlib
+import json
 import math
 import random
 import re
 import string
 import uuid
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -42,6 +48,8 @@ _QUOTED = re.compile(r"""[\w.\-]["']?\s{0,3}[=:]\s{0,3}(["'])([^"'\s]+)\1""")
 #: A value ends before white space, a quote, or a mark that starts the next assignment; :: and // after : are none.
 _BARE = re.compile(r"""[\w.\-]["']?[ \t]{0,3}(?::=|=>|[=:])(?![=:]|//)[ \t]{0,3}((?:(?![&;,?][\w.\-]+[=:])[^\s"'`])+)""")
 _URL = re.compile(r"://[^\s/?#:@]{0,100}:([^\s/?#]+)@")
+_TOKEN = re.compile(r"eyJ[\w\-]{8,}\.[\w\-]{4,}(?:\.[\w\-]+)?")
+_ARMOUR = re.compile(r"-----BEGIN ([A-Z ]{1,40})-----[^-]+-----END \1-----")
 _CLOSING = ",;.)]}>"
 _WORD = re.compile(r"[A-Za-z]+")
 _DIGIT = re.compile(r"[0-9]")
@@ -54,9 +62,38 @@ SAFE_PATHS = ("test", "example", "sample", "fixture", "lock", "doc", "mock", "ve
 DICTIONARY = (
     "able about access account action address after alert array base before build button call change char class click client close code color come config connect content control count create data date default delete description different document domain enable entry error event example false field file filter first follow font form format from function get group handle have header height help here home host image import index info input insert int internal item java just key label language last layout length level line link list load local login long main make manager map message method mode model module more name network new next node none not null number object only open option order other output package page param parent password path people place port post process property public query read ready release remove report request reset response result return root route sample save schema script search section select server service session set should show size some source start state static status step stop string style support switch system table target task test text that their there these they this time title true type under update upload user using value version view void when where which width will window with word work world would write your"
 ).split()
-_COVER = tuple(sorted({w for w in DICTIONARY if len(w) >= 4}, key=len, reverse=True))
-_COVERED = re.compile("|".join(_COVER))
-FEATURES = ("length", "log_length", "transitions", "digit_share", "upper_share", "other_share", "entropy", "distinct_share", "hex", "digits_only", "cover", "vowel_share", "longest_letters", "longest_same", "key_before", "safe_before", "assigned", "quoted", "key_after", "safe_path", "prefix", "placeholder", "dashes", "password_before", "in_url", "reference", "followed")
+#: Words that count for coverage have so many letters at least.
+LEAST_WORD = 4
+FEATURES = ("length", "log_length", "transitions", "digit_share", "upper_share", "other_share", "entropy", "distinct_share", "hex", "digits_only", "cover", "vowel_share", "longest_letters", "longest_same", "key_before", "safe_before", "assigned", "quoted", "key_after", "safe_path", "prefix", "placeholder", "dashes", "password_before", "in_url", "reference", "followed", "armoured")
+
+
+class Dictionary:
+    """Words by which a candidate's coverage is measured."""
+
+    def __init__(self, words: Iterable[str]) -> None:
+        self.words = frozenset(w for w in words if len(w) >= LEAST_WORD)
+        self.longest = max(map(len, self.words), default=0)
+
+    def covered(self, low: str) -> int:
+        """Characters that words cover, from the left, the longest word first."""
+        at = found = 0
+        while at <= len(low) - LEAST_WORD:
+            size = next((k for k in range(min(self.longest, len(low) - at), LEAST_WORD - 1, -1) if low[at : at + k] in self.words), 0) if low[at].isalpha() else 0
+            found += size
+            at += size or 1
+        return found
+
+
+SHORT_LIST = Dictionary(DICTIONARY)
+
+
+@functools.cache
+def dictionary(path: str) -> Dictionary:
+    """The whole words in lower-case letters of a vocabulary file with word ends."""
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    end = model["end_of_word_suffix"]
+    return Dictionary(w for x in model["vocab"] if x.endswith(end) and (w := x.removesuffix(end)).isascii() and w.isalpha())
 
 
 def kind(c: str) -> int:
@@ -67,7 +104,7 @@ def longest(pattern: str, text: str) -> int:
     return max((len(m.group()) for m in re.finditer(pattern, text)), default=0)
 
 
-def describe(value: str, before: str, after: str, path: str) -> list[float]:
+def describe(value: str, before: str, after: str, path: str, words_known: Dictionary = SHORT_LIST) -> list[float]:
     """Features of a candidate, in the order of FEATURES."""
     n = len(value)
     kinds = [kind(c) for c in value]
@@ -90,7 +127,7 @@ def describe(value: str, before: str, after: str, path: str) -> list[float]:
         len(counts) / n,
         float(not set(low) - set("0123456789abcdef")),
         float(share[2] == n),
-        sum(len(m.group()) for m in _COVERED.finditer(low)) / n,
+        words_known.covered(low) / n,
         sum(low.count(v) for v in "aeiou") / max(1, letters),
         longest("[A-Za-z]+", value),
         longest(r"(.)\1*", value),
@@ -107,9 +144,16 @@ def describe(value: str, before: str, after: str, path: str) -> list[float]:
         float(after.startswith("@") and bool(re.search(r"://[^\s/]*:$", before))),
         float(bool(re.match(r"[$<{%(\[*]|[A-Za-z_.]+[(\[]", value))),
         float(bool(re.match(r"[ \t]+[a-z]", after))),
+        float(value.startswith("-----")) * (2 if "PRIVATE" in value[:40] else 1),
     ]
 
 
+def outside(spans: list[tuple[int, int]], others: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans that touch none of others, which are in order and apart."""
+    starts = [a for a, _ in others]
+    return [(a, b) for a, b in spans if not (i := bisect.bisect_left(starts, b)) or others[i - 1][1] <= a]
+
+
 def candidates(text: str | None) -> list[tuple[int, int]]:
     """Ranges of the candidates of a whole text, in order, without overlap."""
     if not text:
@@ -127,7 +171,12 @@ def candidates(text: str | None) -> list[tuple[int, int]]:
         bare = [(m.start(1), m.start(1) + len(m.group(1).rstrip(_CLOSING))) for m in _BARE.finditer(text)]
         found += [x for x in bare if x[0] < x[1]]
         if urls:
-            found = [x for x in found if not any(x[0] < b and a < x[1] for a, b in urls)] + urls
+            found = outside(found, urls) + urls
+    whole = [m.span() for pattern, sign in ((_TOKEN, "eyJ"), (_ARMOUR, "-----BEGIN")) if sign in text for m in pattern.finditer(text)]
+    if whole:
+        # What such a one holds or touches is no candidate beside it.
+        whole.sort()
+        found = outside(found, whole) + whole
     out: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if out and a < out[-1][1]:
@@ -137,9 +186,9 @@ def candidates(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def row_of(text: str, span: tuple[int, int], path: str | None) -> list[float]:
+def row_of(text: str, span: tuple[int, int], path: str | None, words: Dictionary = SHORT_LIST) -> list[float]:
     a, b = span
-    return describe(text[a:b], text[max(0, a - NEAR) : a], text[b : b + NEAR], path or "")
+    return describe(text[a:b], text[max(0, a - NEAR) : a], text[b : b + NEAR], path or "", words)
 
 
 Finding = tuple[str, str, str, str, int]
@@ -174,6 +223,12 @@ def labelled_findings(n: int = 1200, seed: int = 13) -> list[Finding]:
         out.append((short, f"{words(3)} {secret_name}{pick(('=', ': ', ' = ', ':', ' := '))}{(q := pick(('', '', chr(34), chr(39))))}", q + end + (more if end.strip() or end == "\n" else ""), pick(("src/main.py", "config.yml", "src0", ".env", "")), 1))
         out.append((short, f"{words(2)} {pick(('https', 'postgres', 'ftp', 'amqp'))}://{pick(('user', 'admin', 'root', words(1)))}:", f"@{pick(('host', 'db', 'localhost', words(1)))}/{pick(DICTIONARY)}", pick(("src0", "config.yml", "")), 1))
         out.append((lone, f"{words(4)} ", f" {words(3)}", pick(("src0", "src/main.py", "")), 1))
+        signed = ".".join(("eyJ" + run(alnum, rng.randint(15, 40)), "eyJ" + run(alnum + "-_", rng.randint(20, 120)), run(alnum + "-_", 43)))
+        out.append((signed, f"{words(3)} {pick(('Bearer ', 'token: ', 'jwt=', '', ''))}", f"{pick((' ', chr(10), chr(34)))}{words(2)}", pick(("src0", "src/main.py", "")), 1))
+        secret_block = rng.random() < 0.5
+        title = pick(("RSA PRIVATE KEY", "PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY") if secret_block else ("CERTIFICATE", "PUBLIC KEY", "RSA PUBLIC KEY"))
+        body = "\n".join(run(alnum + "+/", 64) for _ in range(rng.randint(2, 12)))
+        out.append((f"-----BEGIN {title}-----\n{body}\n-----END {title}-----", words(3) + pick((" ", "\n")), "\n" + words(2), pick(("src0", "server.pem", "")), int(secret_block)))
         other = pick(("name", "color", "note", "time", "size", "timeout", "lang", "mode", "port", "status", words(1), pick(DICTIONARY)))
         calm = pick((words(1), pick(DICTIONARY), run(string.digits, rng.randint(1, 6)), f"{rng.randint(0, 23)}:{run(string.digits, 2)}", f"{run(string.digits, 1)}.{run(string.digits, 1)}.{run(string.digits, 1)}", words(1).title(), f"{pick(DICTIONARY)}.{pick(('py', 'txt', 'js'))}", f"/{pick(DICTIONARY)}/{pick(DICTIONARY)}", f"{pick(DICTIONARY)}_{pick(DICTIONARY)}", plain[:14] + run(string.digits, 1)))
         out.append((calm, f"{words(3)} {pick((other, other.title()))}{pick(('=', ': ', ' = ', ':'))}", f"{pick(('', ',', ';', chr(10)))} {words(2)}", pick(("src0", "src/app.js", "config.yml", "")), 0))
@@ -208,8 +263,8 @@ def labelled_findings(n: int = 1200, seed: int = 13) -> list[Finding]:
 class Forest:
     """Trees as flat arrays: feature (-1 at a leaf), threshold, left child, right child, share of secrets."""
 
-    def __init__(self, trees: list[tuple[np.ndarray, ...]]) -> None:
-        self.trees = trees
+    def __init__(self, trees: list[tuple[np.ndarray, ...]], words: Dictionary = SHORT_LIST) -> None:
+        self.trees, self.words = trees, words
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         if not len(x):
@@ -265,13 +320,14 @@ def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> tuple[np.nda
     return tuple(np.array(c, k) for c, k in zip(zip(*nodes, strict=True), kinds, strict=True))
 
 
-def fit(findings: Sequence[Finding] | None = None, seed: int = 3) -> Forest:
-    """A forest from labelled findings, which are a bounded table on the driver."""
+def fit(findings: Sequence[Finding] | None = None, seed: int = 3, vocabulary: str | None = None) -> Forest:
+    """A forest from labelled findings, which are a bounded table on the driver; vocabulary: a file for the dictionary."""
     rows = list(findings) if findings is not None else labelled_findings()
-    x = np.array([describe(v, b, a, p) for v, b, a, p, _ in rows])
+    known = dictionary(vocabulary) if vocabulary else SHORT_LIST
+    x = np.array([describe(v, b, a, p, known) for v, b, a, p, _ in rows])
     y = np.array([label for *_, label in rows], float)
     rng = np.random.default_rng(seed)
-    return Forest([grow(x, y, rng) for _ in range(TREES)])
+    return Forest([grow(x, y, rng) for _ in range(TREES)], known)
 
 
 def scan(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str = "source", keep_text: bool = True, cut: float = CUT) -> DataFrame:
@@ -282,7 +338,7 @@ def scan(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             paths = batch.column(batch.schema.get_field_index(path_col)).to_pylist()
             spans = [candidates(t) for t in texts]
-            rows = [row_of(t, s, None if p is None else str(p)) for t, p, own in zip(texts, paths, spans, strict=True) for s in own]
+            rows = [row_of(t, s, None if p is None else str(p), forest.words) for t, p, own in zip(texts, paths, spans, strict=True) for s in own]
             scores = iter(forest.predict(np.array(rows)).tolist() if rows else ())
             return ([[judged(t, s, next(scores), cut) for s in own] for t, own in zip(texts, spans, strict=True)],)
 
@@ -296,9 +352,26 @@ def judged(text: str, span: tuple[int, int], score: float, cut: float) -> dict:
     return {"start": span[0], "end": span[1], "value_sha256": hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest(), "score": score, "is_secret": score >= cut}
 
 
+def redacted(text: str | None, findings: list[dict] | None, mark: str) -> str | None:
+    """text with a mark in place of each secret; findings are in order and don't overlap."""
+    if not text or not findings:
+        return text
+    out, at = [], 0
+    for x in findings:
+        if x["is_secret"]:
+            out += [text[at : x["start"]], mark]
+            at = x["end"]
+    return "".join([*out, text[at:]])
+
+
 def redact(scanned: DataFrame, text_col: str = "text", mark: str = MARK) -> DataFrame:
-    """scanned with every secret in its text replaced by the mark, built-in functions only."""
-    secrets = F.filter("findings", lambda x: x["is_secret"])
-    # From the last secret to the first, so that earlier offsets stay right.
-    text = F.aggregate(F.reverse(secrets), F.col(text_col), lambda t, x: F.concat(F.substr(t, F.lit(1), x["start"]), F.lit(mark), F.substr(t, x["end"] + 1)))
-    return scanned.withColumn(text_col, text)
+    """scanned with every secret in its text replaced by the mark."""
+
+    def make():
+        def fn(batch):
+            texts, findings = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (text_col, "findings"))
+            return ([redacted(t, own, mark) for t, own in zip(texts, findings, strict=True)],)
+
+        return fn
+
+    return append(scanned, f"`{text_col}` string", make).select(*scanned.columns)
