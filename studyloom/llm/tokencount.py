@@ -10,7 +10,8 @@ The vocabulary file holds merge ranks, not probabilities; a piece of rank r scor
 character without a piece falls back to its UTF-8 bytes, which score FALLBACK each. Equal scores prefer fewer
 pieces.
 
-Defined results: null and empty texts have no pre-tokens and 0 tokens; repeated rows are counted one by one.
+Defined results: null and empty texts have no pre-tokens and 0 tokens; repeated rows are counted one by one; texts and
+pre-tokens of any length are whole; columns named like a count are replaced by it, all others come back.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from ._shared import pieces as chunks
 FALLBACK = -25.0
 #: Terminals that a worker keeps, and the characters of text whose pre-tokens are inserted at once.
 MAX_WORDS, CHUNK = 400_000, 4_000_000
-#: Longer pre-tokens don't stay.
-MAX_WORD = 256
+#: Longer pre-tokens don't stay; much longer ones are no path of the trie either, so memory stays bounded.
+MAX_WORD, MAX_PATH = 256, 4096
 SPACE = "▁"
 #: Marks that are pre-tokens of their own.
 MARKS = ".,;:!?"
@@ -73,6 +74,9 @@ class Counter:
         root, path = self.root, ""
         scores, tokens, growing = [0.0], [0], [[]]
         for word in sorted(words):
+            if len(word) > MAX_PATH:
+                self.terminals[word] = self.alone(word)
+                continue
             shared, most = 0, min(len(path), len(word))
             while shared < most and path[shared] == word[shared]:
                 shared += 1
@@ -102,6 +106,24 @@ class Counter:
             path = word
             self.terminals[word] = tokens[-1]
 
+    def alone(self, word: str) -> int:
+        """Tokens of a very long pre-token: the same scores, of which only those go on that a piece may still use."""
+        root = self.root
+        score, n, live = 0.0, 0, []
+        for char in word:
+            size = 1 if char < "\x80" else len(char.encode("utf-8", "surrogatepass"))
+            best, least, grown = score + FALLBACK * size, n + size, []
+            for before, k, children in (*live, (score, n, root)):
+                if (found := children.get(char)) is not None:
+                    if (own := found[0]) is not None:
+                        total = before + own
+                        if total > best or total == best and k + 1 < least:
+                            best, least = total, k + 1
+                    if found[1]:
+                        grown.append((before, k, found[1]))
+            score, n, live = best, least, grown
+        return n
+
     def count(self, texts: list[list[str]]) -> list[int]:
         """Tokens of each text, given as pre-tokens."""
         if len(self.terminals) > MAX_WORDS:
