@@ -1,9 +1,9 @@
 """Chat formatting in budgeted windows.
 
-The turns of a conversation, in order, are cut into spans of whole turns by prefix sums of their token counts: a
-window holds the system turn (if the conversation starts with one), a limited history repeated from before, and as
-many new turns as fit the budget, one at least (a turn that alone exceeds the budget has a window of its own, which
-then exceeds it too). Loss is on the text of new assistant turns only; repeated ones are masked.
+The turns of a conversation, in order, are cut into spans of whole turns by prefix sums of their token counts (those
+of a tokenizer file; without one, about those). A window holds the system turn (if the conversation starts with one), a
+limited history repeated from before, as far as it leaves room for the next turn, and as many new turns as fit the
+budget, one at least (a turn that alone exceeds the budget has a window of its own, which then exceeds it too). Loss is on the text of new assistant turns only; repeated ones are masked.
 
 Rows are dealt by conversation and sorted within partitions, so a window needs only the turns it holds: even a
 conversation with a third of all rows streams through its task in bounded memory.
@@ -12,7 +12,8 @@ Template: <|turn|>role<|text|>text<|end|>, a line feed after each. Inside role a
 and <| becomes <\\|, so no control string can occur there and unescaping gives back every text.
 
 Defined results: null text and role are empty; null conv_id is one conversation of its own; turns with equal
-numbers are ordered by role and text, and repeated rows stay repeated turns; an empty table gives no window.
+numbers are ordered by role and text, and repeated rows stay repeated turns; an empty table gives no window; only the
+columns of a window come back, so names of other columns can't clash; a text of any length is one turn.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import codec
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 BUDGET, HISTORY = 512, 128
 #: Rows of output that are held before they are handed on.
@@ -39,6 +42,13 @@ def count_tokens(text: str) -> int:
     return len(_TOKENS.findall(text))
 
 
+def counter(tokenizer: str | None) -> Callable[[str], int]:
+    """Tokens of a text, by a tokenizer file or about."""
+    if tokenizer is None:
+        return count_tokens
+    return lambda text: codec(tokenizer).encode(text)[2]
+
+
 def escape(text: str) -> str:
     return text.replace("\\", "\\\\").replace("<|", "<\\|")
 
@@ -92,8 +102,9 @@ def spans_of(turns: Iterator[tuple[str, str]], budget: int, history: int, count:
             start = len(seen)
             while start > 0 and sums[-1] - sums[start - 1] <= history and not (first_window and system and start == 1):
                 start -= 1
-            if system_size + sums[-1] - sums[start] + size > budget:
-                start = len(seen)
+            # The oldest of these go until the next turn fits.
+            while start < len(seen) and system_size + sums[-1] - sums[start] + size > budget:
+                start += 1
             old = seen[start:]
             sums = [x - sums[start] for x in sums[start:]]
             new, first_window = [], False
@@ -137,8 +148,11 @@ def _groups(rows: Iterator[tuple]) -> Iterator[tuple[object, Iterator[tuple]]]:
         ahead = held_next[0] if held_next else None
 
 
-def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, count: Callable[[str], int] = count_tokens, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """A row per window: conv_id, window, n_repeated, text and the spans of text under the loss mask."""
+def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokenizer: str | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """A row per window: conv_id, window, n_repeated, text and the spans of text under the loss mask.
+
+    tokenizer: the file by which tokens are counted (as `bpe` encodes); about, if there is none.
+    """
     rows = conversations.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
@@ -148,6 +162,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         schema = None
+        count = counter(tokenizer)
 
         def flush() -> pa.RecordBatch:
             loss = pa.array([[{"start": a, "end": b} for a, b in x[4]] for x in held], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
@@ -169,6 +184,8 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
                     yield flush()
         if held:
             yield flush()
+        if tokenizer is not None:  # a worker outlives its task
+            codec(tokenizer).known.empty()
 
     return dealt.mapInArrow(run, SCHEMA.format(id=kind))
 

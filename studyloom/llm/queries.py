@@ -27,7 +27,7 @@ def held_out():
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per candidate of every document, with the forest's verdict."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    found = secret.scan(docs, secret.fit(), keep_text=False)
+    found = secret.scan(docs, secret.fit(vocabulary=tokenizer_path("word_bpe_49k.json")), keep_text=False)
     return found.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.start", (F.col("f.end") - F.col("f.start")).alias("length"), "f.value_sha256", F.col("f.score").alias("score"), "f.is_secret")
 
 
@@ -78,7 +78,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-7, i, role, r"\### Assistant: </turn> ok") for i, role in enumerate(("user", "assistant"))], rows.schema)
-    return chat.read_back(chat.windows(rows.unionByName(planted)))
+    return chat.read_back(chat.windows(rows.unionByName(planted), tokenizer=tokenizer_path("word_bpe_49k.json")))
 
 
 #: Documents' words as in WORDS_SQL; windows of ten words; a window's digest stands for its words.

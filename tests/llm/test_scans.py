@@ -270,3 +270,23 @@ def test_redaction(spark, odd, none):
     assert [f.value_sha256 for f in row.findings if f.is_secret] == [hashlib.sha256(k.encode()).hexdigest() for k in (key, key[::-1])]
     forest = secret.fit(secret.labelled_findings(200))
     assert secret.redact(secret.scan(odd, forest)).count() == odd.count() and secret.scan(none, forest).count() == 0
+
+
+# Columns whose names operators use inside
+
+
+def test_columns_of_any_name_come_back(spark, odd):
+    clash = odd.withColumnsRenamed({"n_words": "gone", "n_chars": "row"}).withColumns({"g_lang": F.lit("q"), "g_source": F.lit(1), "max_word_length": F.lit(2), "kept": F.lit("old")})
+    judged = rules.quality_rules(clash)
+    assert set(clash.columns) <= set(judged.columns) and judged.count() == odd.count()
+    assert {(r.g_lang, r.g_source, r.max_word_length, r.gone) for r in judged.collect()} == {("q", 1, 2, "x")}
+    assert minhash.keep_one(clash).columns == clash.columns
+    assert decontam.decontaminate(clash, clash.select(F.col("doc_id").alias("item_id"), "text")).count() == odd.count()
+
+
+def test_thresholds_of_small_groups_are_those_of_their_language(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(30)) + ("!" * 40 if i == 0 else ""), "en", "big" if i < 60 else "small") for i in range(100)]
+    counts = rules.counted(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), keep_text=False)
+    limits = {r.g_source: r for r in rules.thresholds(counts).collect()}
+    assert limits["big"].max_mark_share == pytest.approx(limits["small"].max_mark_share)
+    assert [r.doc_id for r in rules.judge(counts, rules.thresholds(counts)).where("not kept").collect()] == [0]

@@ -114,6 +114,15 @@ def test_token_counts(spark, odd, none):
     assert tokencount.count(none, PIECES).count() == 0
 
 
+def test_a_very_long_pre_token_has_its_own_count():
+    pieces = {"▁": -3.0, "a": -2.0, "ab": -2.5, "abc": -2.8, "bca": -2.2, "cab": -2.3}
+    counter = tokencount.Counter(pieces)
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcd") for _ in range(n)) for n in (1, 50, 900)]
+    assert [counter.alone(w) for w in words] == counter.count([[w] for w in words]) == [best_segmentation(w, pieces) for w in words]
+    assert counter.count([["abc" * 2000]]) == [counter.alone("abc" * 2000)] == [best_segmentation("abc" * 2000, pieces)]
+
+
 def formatted(spark, turns, **limits):
     rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     return chat.windows(rows, **limits)
@@ -157,6 +166,24 @@ def test_windows_keep_to_the_budget(spark):
         assert sum(history) <= 15
 
 
+def test_windows_count_the_tokens_of_a_tokenizer(spark, library):
+    rows = conversations(3)
+    size = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    df = formatted(spark, rows, budget=40, history=15, tokenizer=PATH)
+    for w in df.collect():
+        sizes = [size(t) for _, t, _ in chat.parsed(w.text)]
+        assert sum(sizes) <= 40 or len(sizes) - w.n_repeated == 1
+    plain = {r.conv_id: r for r in chat.read_back(formatted(spark, rows)).collect()}
+    assert all(r[:5] == plain[r.conv_id][:5] for r in chat.read_back(df).collect())
+
+
+def test_history_gives_way_turn_by_turn():
+    turns = [("user", "a" * 60), ("assistant", "b" * 60), ("user", "c" * 330)]
+    system = ("system", "s" * 100)
+    windows = list(chat.spans_of(iter([system, *turns]), 512, 128, len))
+    assert [[t[0] for t, _, _ in [(x[1], 0, 0) for x in own]] for _, own in windows] == [["s", "a", "b"], ["s", "b", "c"]]
+
+
 def test_chat_of_nothing(spark):
     assert chat.read_back(formatted(spark, [])).count() == 0
 
@@ -185,6 +212,24 @@ def test_languages_are_told_apart(spark, odd, none):
     assert {r.lang_pred for r in langid.identify(odd, empty).collect()} == {"und"}
 
 
+def test_a_quality_score_is_that_of_its_features():
+    rng = np.random.default_rng(1)
+    model = quality.Model(rng.normal(size=quality.BUCKETS), 0.3)
+    score = model.scorer()
+    for text in [*ODD, *random_texts(40, 5), "one two two one " * 3000]:
+        ids, times = quality.features(text)
+        margin = 0.3 + ((model.z[ids] * times).sum() / times.sum() if len(ids) else 0)
+        assert score(text) == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-6)
+
+
+def test_training_languages_are_bounded_and_all_there(spark):
+    rows = [(i, "x", f"l{i % 12}" if i % 3 else "big") for i in range(3000)] + [(None, "x", "big"), (7, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.sampled(docs, F.col("doc_id").isNotNull(), "doc_id", "lang", 50, 360).groupBy("sample_lang").count().collect()
+    langs = {r[2] for r in rows if r[0] is not None and r[2]}
+    assert {r.sample_lang for r in found} == langs and {r["count"] for r in found} == {min(50, 360 // len(langs))}
+
+
 def test_quality_is_learned(spark, odd, none):
     rng = random.Random(6)
     good = lambda: " ".join(rng.choice(["theme", "or", "an", "reel", "in"]) for _ in range(40))
