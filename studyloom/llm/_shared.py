@@ -38,11 +38,13 @@ def bucket_of(key: str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; only a local master may have one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         if context._jsc.sc().getCheckpointDir().isEmpty():
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="studyloom-"))
         found = context._jsc.sc().getCheckpointDir().get()
     return found

@@ -4,12 +4,14 @@ Patterns are windows of consecutive words of the benchmark items. Per window len
 of the last two words of the scan position says how far the scan may shift; where the shift is 0, the bucket of
 that suffix block and of the window's first block holds the patterns, which are compared word by word.
 
-The benchmark is a stated query set. It is read in blocks of bounded bytes, each shipped to the tasks with the
-function that searches it; every document passes through all of them within one stage, so nothing is shuffled and
-a lost executor costs only its own tasks.
+The benchmark is a stated query set. It is read in blocks of bounded bytes; at most so many bytes are shipped to the
+tasks at once, with the function that searches them, and a worker holds the tables of one block at a time. Every
+document passes through all blocks within one stage, so nothing is shuffled and a lost executor costs only its own
+tasks. A benchmark larger than that goes in rounds, between which the rows are kept in the shared folder.
 
 Defined results: null or empty text has no words and no hit; benchmark rows without item_id or words are ignored;
-repeated items count once by id; repeated document rows are judged one by one.
+repeated items count once by id; repeated document rows are judged one by one; texts of any length are searched whole;
+columns named like a result are replaced by it, all others come back.
 """
 
 from __future__ import annotations
@@ -20,11 +22,11 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import append, lower_words
+from ._shared import append, lower_words, utf8, written
 
 WINDOW = 10
-#: Bytes of item text in one block of the query set.
-BLOCK_BYTES = 8 << 20
+#: Bytes of item text in one block of the query set, and in the blocks of one round.
+BLOCK_BYTES, ROUND_BYTES = 1 << 20, 64 << 20
 
 Words = list[bytes]
 
@@ -104,7 +106,7 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes:
     block, size = [], 0
     for row in rows.toLocalIterator():
         block.append((row.item, row.text))
-        size += len(row.text)
+        size += len(utf8(row.text))
         if size >= block_bytes:
             yield block
             block, size = [], 0
@@ -120,24 +122,39 @@ def union_length(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep_text: bool = True) -> DataFrame:
+def rounds(blocks: Iterator[list], size: Callable[[list], int], most: int) -> Iterator[list[list]]:
+    """Blocks put together up to most bytes, one at least."""
+    held, total = [], 0
+    for block in blocks:
+        if held and total + size(block) > most:
+            yield held
+            held, total = [], 0
+        held.append(block)
+        total += size(block)
+    yield held
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, block_bytes: int = BLOCK_BYTES, round_bytes: int = ROUND_BYTES, keep_text: bool = True) -> DataFrame:
     """docs with n_words, hit_spans (word ranges), item_ids (sorted), n_hit, n_items and contaminated."""
 
-    def searching(block: list[tuple[str, str]], first: bool) -> Callable:
+    def searching(blocks: list[list[tuple[str, str]]], first: bool) -> Callable:
         def make():
-            matcher = Matcher(block, size)
+            only = Matcher(blocks[0], size) if len(blocks) == 1 else None
 
             def fn(batch):
                 texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-                before = [[]] * len(texts) if first else batch.column(batch.schema.get_field_index("hit_spans")).to_pylist()
-                seen = [[]] * len(texts) if first else batch.column(batch.schema.get_field_index("item_ids")).to_pylist()
-                counts, spans, items = [], [], []
-                for text, old, ids in zip(texts, before, seen, strict=True):
-                    words = lower_words(text)
-                    found, these = matcher.hits(words)
-                    counts.append(len(words))
-                    spans.append(old + [{"first": a, "end": b} for a, b in sorted(set(found))])
-                    items.append(sorted(these.union(ids)))
+                spans = [[]] * len(texts) if first else batch.column(batch.schema.get_field_index("hit_spans")).to_pylist()
+                items = [[]] * len(texts) if first else batch.column(batch.schema.get_field_index("item_ids")).to_pylist()
+                counts = [0] * len(texts)
+                for block in blocks:
+                    matcher = only or Matcher(block, size)
+                    for i, text in enumerate(texts):
+                        words = lower_words(text)
+                        counts[i] = len(words)
+                        found, these = matcher.hits(words)
+                        if found:
+                            spans[i] = spans[i] + [{"first": a, "end": b} for a, b in sorted(set(found))]
+                            items[i] = sorted(these.union(items[i]))
                 return counts, spans, items
 
             return fn
@@ -146,10 +163,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     ddl = "n_words long, hit_spans array<struct<first:int,end:int>>, item_ids array<string>"
     out, first = docs, True
-    for block in item_blocks(benchmark, item_col, item_text_col, block_bytes):
-        out, first = append(out, ddl, searching(block, first)), False
-    if first:
-        out = append(out, ddl, searching([], True))
+    blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes)
+    for held in rounds(blocks, lambda block: sum(len(utf8(text)) for _, text in block), round_bytes):
+        out = append(out if first else written(out), ddl, searching(held or [[]], first))
+        first = False
 
     def counted():
         def fn(batch):

@@ -215,6 +215,8 @@ def test_decontaminate(spark, odd, none):
     texts = [" ".join(["x", *WORDS[2:13], "y", "two WORDS two"]), " ".join(WORDS[:9]), None, "TWO words, two-words"]
     rows = {r.doc_id: r for r in decontam.decontaminate(documents(spark, texts), items, block_bytes=20).collect()}
     assert [(r.n_words, r.n_hit, r.n_items, r.item_ids) for _, r in sorted(rows.items())] == [(16, 13, 2, ["1", "2"]), (9, 0, 0, []), (0, 0, 0, []), (4, 4, 1, ["2"])]
+    again = decontam.decontaminate(documents(spark, texts), items, block_bytes=20, round_bytes=30).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.item_ids) for r in again) == sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.item_ids) for r in rows.values())
     out = decontam.decontaminate(odd, items)
     assert out.count() == odd.count() and out.columns.count("n_words") == 1
     assert decontam.decontaminate(none, items).count() == 0 and not decontam.decontaminate(odd, items.limit(0)).where("contaminated").count()
