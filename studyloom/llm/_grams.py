@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 #: Distinct words whose sums a task keeps; beyond that it starts anew, so that memory stays bounded.
 CACHE_WORDS = 200_000
@@ -28,18 +29,26 @@ def grams(word: bytes, low: int, high: int, buckets: int, whole: bool) -> list[i
     return out
 
 
-def counted(words: list[bytes], low: int, high: int, buckets: int, whole: bool, extra: tuple[int, int] = (0, 0)) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket numbers of a document and how often each occurs; extra: one more bucket and its count."""
-    ids, times = [extra[0]], [extra[1]]
+def counted(words: list[bytes], low: int, high: int, buckets: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket numbers of a document and how often each occurs."""
+    ids, times = [], []
     for word, n in Counter(words).items():
         own = grams(word, low, high, buckets, whole)
         ids += own
         times += [n] * len(own)
-    total = np.bincount(ids, times, buckets).astype(np.float32)
+    total = np.bincount(np.array(ids, np.int64), times, buckets).astype(np.float32)
     found = np.flatnonzero(total)
     return found.astype(np.int32), total[found]
 
 
+def counts_of(table: pa.Table, order: Sequence[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(bucket numbers, counts) of the rows of an Arrow table's columns ids and counts, in an order; no copies."""
+    ids, counts = (table[c].combine_chunks() for c in ("ids", "counts"))
+    a, b = ids.values.to_numpy(), counts.values.to_numpy()
+    at, to = ids.offsets.to_numpy(), counts.offsets.to_numpy()
+    return [(a[at[i] : at[i + 1]], b[to[i] : to[i + 1]]) for i in order]
+
+
 class WordSums(dict):
     """word -> value, made when first asked for; the caller clears it once it is full."""
 

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._grams import CACHE_WORDS, WordSums, counted, grams, minibatches
+from ._grams import CACHE_WORDS, WordSums, counted, counts_of, grams, minibatches
 from ._shared import append, cut, small_side
 
 BUCKETS, LOW, HIGH = 1 << 14, 2, 3
@@ -159,9 +159,8 @@ def fit(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str
 
     table = append(sample, "ids array<int>, counts array<float>", make, drop=("sample_text",)).toArrow()
     order = np.argsort(table["sample_id"].to_numpy(), kind="stable")
-    ids, counts, langs = table["ids"].to_pylist(), table["counts"].to_pylist(), table["sample_lang"].to_pylist()
-    rows = [(np.array(ids[i], np.int32), np.array(counts[i], np.float32)) for i in order]
-    return train(rows, [langs[i] for i in order])
+    langs = table["sample_lang"].to_pylist()
+    return train(counts_of(table, order), [langs[i] for i in order])
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._grams import CACHE_WORDS, WordSums, grams, minibatches
+from ._grams import CACHE_WORDS, WordSums, counts_of, grams, minibatches
 from ._shared import append, utf8
 
 BUCKETS, DIM, LOW, HIGH = 1 << 14, 16, 3, 3
@@ -139,10 +139,9 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_
 
     table = append(sample, "ids array<int>, counts array<float>", make, drop=("sample_text",)).toArrow()
     own = table["label_id"].to_pylist()
-    ids, counts, y = table["ids"].to_pylist(), table["counts"].to_pylist(), table["label_value"].to_numpy()
+    y = table["label_value"].to_numpy()
     order = sorted(range(len(own)), key=lambda i: (own[i], y[i]))
-    rows = [(np.array(ids[i], np.int32), np.array(counts[i], np.float32)) for i in order]
-    return train(rows, y[order])
+    return train(counts_of(table, order), y[order])
 
 
 def allowed_on(allowed: Column, id_col: str) -> Column:
