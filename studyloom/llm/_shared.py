@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -70,6 +72,8 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
 
 Batch = pa.RecordBatch
 PIECE_CHARS = 1 << 20
+#: Rows of a batch that are Python values at once.
+PIECE_ROWS = 1_000
 
 
 def unused(name: str, taken: Sequence[str]) -> str:
@@ -83,10 +87,11 @@ def fields_of(ddl: str) -> list[T.StructField]:
     return T._parse_datatype_string(ddl).fields
 
 
-def append(df: DataFrame, ddl: str, make: Callable[[], Callable[[Batch], Sequence]], drop: Sequence[str] = (), piece_by: str | None = None) -> DataFrame:
+def append(df: DataFrame, ddl: str, make: Callable[[], Callable[[Batch], Sequence]], drop: Sequence[str] = (), piece_by: str | None = None, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """df with new columns. make() runs once a task and returns a function from a batch to the new columns.
 
-    With piece_by, a text column, batches are worked on in pieces of about PIECE_CHARS characters. A column of df with the name of a new one is replaced. Columns in drop are inputs that don't come back.
+    Batches are worked on in pieces of piece_rows rows or, with piece_by, a text column, of about PIECE_CHARS
+    characters. A column of df with the name of a new one is replaced. Columns in drop are inputs that don't come back.
     """
     new = fields_of(ddl)
     names = {f.name for f in new}
@@ -98,18 +103,39 @@ def append(df: DataFrame, ddl: str, make: Callable[[], Callable[[Batch], Sequenc
         fn = make()
         try:
             for whole in batches:
-                parts = pieces(whole.column(whole.schema.get_field_index(piece_by)).to_pylist(), PIECE_CHARS) if piece_by else [(0, whole.num_rows)]
-                for a, b in parts if whole.num_rows else ():
+                rows = whole.num_rows
+                parts = pieces(whole.column(whole.schema.get_field_index(piece_by)).to_pylist(), PIECE_CHARS) if piece_by else [(a, min(rows, a + piece_rows)) for a in range(0, rows, piece_rows)]
+                for a, b in parts if rows else ():
                     batch = whole.slice(a, b - a)
                     kept = [batch.column(batch.schema.get_field_index(f.name)) for f in back]
                     made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(fn(batch), types, strict=True)]
                     yield pa.RecordBatch.from_arrays(kept + made, [f.name for f in back + new])
         finally:  # a worker outlives its task: what the task has gathered goes
             getattr(fn, "close", int)()
+            release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Gives a worker's free memory back to the system, which allocators keep otherwise; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(run: Callable) -> Callable:
+    """run, a function of batches, with release() behind it."""
+
+    def wrapped(batches: Iterator[Batch]) -> Iterator[Batch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def pieces(texts: list, limit: int, size: Callable = len) -> Iterator[tuple[int, int]]:
     """Ranges of a batch whose sizes sum to about limit, one text at least."""
     start = total = 0

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, models
 
-from ._shared import append, written
+from ._shared import append, released, written
 
 LEAF, WINDOW = 256, 8
 CUT_CHARS = 1 << 16
@@ -373,7 +373,7 @@ def encoded_long(docs: DataFrame, path: str, text_col: str, keep_text: bool, cut
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(parts), pa.int64()), *columns, rows], ["no", "at", "left", "right", "piece", "row"])
 
     schema = T._parse_datatype_string(PIECE).add("row", keyed.schema["row"].dataType)
-    pieces = written(keyed.mapInArrow(cutting, schema)).repartition("no", "at")
+    pieces = written(keyed.mapInArrow(released(cutting), schema)).repartition("no", "at")
 
     def encoding():
         c = codec(path)
@@ -407,5 +407,5 @@ def encoded_long(docs: DataFrame, path: str, text_col: str, keep_text: bool, cut
         if text:
             yield result()
 
-    out = done.mapInArrow(concatenating, T.StructType([keyed.schema["row"]]).add("n", "long").add("a", "string").add("b", "string"))
+    out = done.mapInArrow(released(concatenating), T.StructType([keyed.schema["row"]]).add("n", "long").add("a", "string").add("b", "string"))
     return out.select(*(F.col("row").getField(c).alias(c) for c in back), F.col("n").alias("n_tokens"), F.col("a").alias(names[0]), F.col("b").alias(names[1]))

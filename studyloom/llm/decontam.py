@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import append, lower_words, utf8, written
+from ._shared import PIECE_ROWS, append, lower_words, utf8, written
 
 WINDOW = 10
 #: Bytes of item text in one block of the query set, and in the blocks of one round.
@@ -165,7 +165,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     out, first = docs, True
     blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes)
     for held in rounds(blocks, lambda block: sum(len(utf8(text)) for _, text in block), round_bytes):
-        out = append(out if first else written(out), ddl, searching(held or [[]], first))
+        out = append(out if first else written(out), ddl, searching(held or [[]], first), piece_rows=PIECE_ROWS if len(held) < 2 else 10_000)
         first = False
 
     def counted():

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import append, cut, lower_words, unused
+from ._shared import append, cut, lower_words, released, unused
 
 NGRAM, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.99999, 96
 #: Classes of a bucket that meet in one task.
@@ -125,6 +125,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int, text_col: str) ->
             keys, out = [None] * len(texts), [None] * len(texts)
             held: list[np.ndarray] = []
             where: list[int] = []
+            size = 0
 
             def flush() -> None:
                 for i, row in zip(where, signer.sign(held).view(np.int64).tolist() if held else (), strict=True):
@@ -138,8 +139,10 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int, text_col: str) ->
                     keys[i] = xxhash.xxh3_128_digest(own.tobytes())
                     held.append(own)
                     where.append(i)
-                if sum(map(len, held[-1:])) and len(held) >= 512:
+                    size += len(own)
+                if size >= CHUNK:
                     flush()
+                    size = 0
             flush()
             return keys, out
 
@@ -270,7 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if out:
             yield meeting_batch(out)
 
-    live = cut(first.mapInArrow(meeting, "band int, bucket long, lo int, hi int, set_key binary, mine int"))
+    live = cut(first.mapInArrow(released(meeting), "band int, bucket long, lo int, hi int, set_key binary, mine int"))
 
     # Second pass: the texts of one document of each such class, their sets, verification.
     wanted = live.groupBy("set_key").agg(F.collect_list(F.struct("band", "bucket", "lo", "hi", "mine")).alias("places")).join(classes.select("set_key", "head", "copies"), "set_key")
@@ -319,7 +322,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if out:
             yield verified_batch(out)
 
-    verified = cut(second.mapInArrow(verifying, "set_key binary, root binary, links long"))
+    verified = cut(second.mapInArrow(released(verifying), "set_key binary, root binary, links long"))
     labels = components(verified.select(F.col("set_key").alias("a"), F.col("root").alias("b")))
     sums = verified.groupBy("set_key").agg(F.sum("links").alias("links"))
 

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import append, cut, small_side, utf8, written
+from ._shared import append, cut, released, small_side, utf8, written
 
 LENGTH, ANCHOR = 100, 32
 #: Bytes of contexts in one index: groups are added until there are so many. A group of more bytes is split.
@@ -530,7 +530,7 @@ def single_windows(length: int) -> Callable:
 
 def together(rows: DataFrame) -> DataFrame:
     """Rows of the parse over all batches: later occurrences as ranges, first ones of keys with several contexts."""
-    return written(rows.repartition("key").sortWithinPartitions("key", "one", "two", "doc", "place").mapInArrow(gather, ROWS))
+    return written(rows.repartition("key").sortWithinPartitions("key", "one", "two", "doc", "place").mapInArrow(released(gather), ROWS))
 
 
 def split_large(contexts: DataFrame, large: DataFrame, length: int, anchor: int, held: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -571,7 +571,7 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bo
 def marked(known: DataFrame, repeated: bool, length: int, anchor: int, index_bytes: int, group_bytes: int, hot_contexts: int) -> DataFrame:
     """Ranges to remove by document: of, ranges."""
     rows = known.select("doc", "text")
-    kept = together(rows.mapInArrow(parse(length, anchor), ROWS))
+    kept = together(rows.mapInArrow(released(parse(length, anchor)), ROWS))
 
     contexts_of = F.collect_list(F.struct("key", "place")).alias("contexts")
     wanted = kept.where("place >= 0").groupBy("doc").agg(contexts_of).withColumnRenamed("doc", "of")
@@ -592,7 +592,7 @@ def marked(known: DataFrame, repeated: bool, length: int, anchor: int, index_byt
             if out:
                 yield contexts_batch(out)
 
-    contexts = texts.mapInArrow(sliced, CONTEXTS)
+    contexts = texts.mapInArrow(released(sliced), CONTEXTS)
     covers = kept.where("place < 0").select("doc", *cover_columns())
     large = cut(kept.where("place >= 0").groupBy("key").count().where(F.col("count") > hot_contexts).select("key"))
     if large.limit(1).count():
@@ -600,7 +600,7 @@ def marked(known: DataFrame, repeated: bool, length: int, anchor: int, index_byt
         for ranges in more:
             covers = covers.unionByName(ranges)
     indexing = contexts.repartition("key").sortWithinPartitions("key", "doc", "first")
-    covers = covers.unionByName(indexing.mapInArrow(indexed(length, anchor, index_bytes, group_bytes), ROWS).select("doc", *cover_columns()))
+    covers = covers.unionByName(indexing.mapInArrow(released(indexed(length, anchor, index_bytes, group_bytes)), ROWS).select("doc", *cover_columns()))
     return covers.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("ranges")).withColumnRenamed("doc", "of")
 
 

@@ -330,8 +330,14 @@ def fit(findings: Sequence[Finding] | None = None, seed: int = 3, vocabulary: st
     return Forest([grow(x, y, rng) for _ in range(TREES)], known)
 
 
-def scan(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str = "source", keep_text: bool = True, cut: float = CUT) -> DataFrame:
-    """docs with findings: an array of (start, end, value_sha256, score, is_secret), one for each candidate."""
+FINDINGS = "findings array<struct<start:int,end:int,value_sha256:string,score:double,is_secret:boolean>>"
+
+
+def scan(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str = "source", keep_text: bool = True, cut: float = CUT, mark: str | None = None) -> DataFrame:
+    """docs with findings: an array of (start, end, value_sha256, score, is_secret), one for each candidate.
+
+    With a mark, it replaces the secrets in the text within the same pass.
+    """
 
     def make():
         def fn(batch):
@@ -340,11 +346,14 @@ def scan(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str
             spans = [candidates(t) for t in texts]
             rows = [row_of(t, s, None if p is None else str(p), forest.words) for t, p, own in zip(texts, paths, spans, strict=True) for s in own]
             scores = iter(forest.predict(np.array(rows)).tolist() if rows else ())
-            return ([[judged(t, s, next(scores), cut) for s in own] for t, own in zip(texts, spans, strict=True)],)
+            found = [[judged(t, s, next(scores), cut) for s in own] for t, own in zip(texts, spans, strict=True)]
+            return (found,) if mark is None else (found, [redacted(t, own, mark) for t, own in zip(texts, found, strict=True)])
 
         return fn
 
-    return append(docs, "findings array<struct<start:int,end:int,value_sha256:string,score:double,is_secret:boolean>>", make, drop=() if keep_text else (text_col,))
+    if mark is not None:
+        return append(docs, f"{FINDINGS}, `{text_col}` string", make).select(*(c for c in docs.columns if c != "findings"), "findings")
+    return append(docs, FINDINGS, make, drop=() if keep_text else (text_col,))
 
 
 def judged(text: str, span: tuple[int, int], score: float, cut: float) -> dict:

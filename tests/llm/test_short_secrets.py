@@ -57,6 +57,7 @@ def test_signed_tokens_and_armoured_blocks_are_one_candidate_each(spark):
         texts = [f"Authorization: Bearer {JWT}", f"it was {JWT} then", "key\n" + BLOCK.format("RSA PRIVATE KEY") + "\nend", "cert\n" + BLOCK.format("CERTIFICATE") + "\nend"]
         docs = spark.createDataFrame([(i, t, "src0", 1) for i, t in enumerate(texts)], "doc_id long, text string, source string, findings int")
         rows = {r.doc_id: r.text for r in secret.redact(secret.scan(docs, forest)).collect()}
+        assert {r.doc_id: r.text for r in secret.scan(docs, forest, mark=secret.MARK).collect()} == rows
         assert [rows[i] for i in range(4)] == ["Authorization: Bearer [SECRET]", "it was [SECRET] then", "key\n[SECRET]\nend", texts[3]]
 
 
