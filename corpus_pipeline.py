@@ -32,7 +32,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are replaced by a mark; every document stays."""
-    return secret.redact(secret.scan(docs.select(COLUMNS), secret.fit(vocabulary=tokenizer_path("word_bpe_49k.json")))).select(COLUMNS)
+    forest = secret.fit(vocabulary=tokenizer_path("word_bpe_49k.json"))
+    return secret.scan(docs.select(COLUMNS), forest, mark=secret.MARK).select(COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
