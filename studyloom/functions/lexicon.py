@@ -41,7 +41,7 @@ COPULAS = ("be", "become", "remain", "seem", "appear")
 HYPERNYM_MARKERS = ("type of", "kind of", "form of", "class of", "subset of", "example of", "instance of")
 TRAILING_WORDS = ("and", "or", "of", "in", "with")
 BAD_TERMS = (
-    "this", "that", "these", "those", "it", "they", "there", "here", "who", "which", "what", "one", "ones",
+    "this", "that", "these", "those", "it", "they", "there", "here", "which", "who", "what", "one", "ones",
     "such", "another", "other", "others", "he", "she", "we", "you", "i", "them", "him", "her", "us",
     "some", "many", "most", "all", "both", "each", "either", "neither", "few", "several",
 )

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as X
 from ..functions import tree as N
+from ..sources.shared import cut
 from ._arrow import map_rows
 
 FACT = "struct<rank:int,term:string,back:string,family:string,confidence:double,other:string>"
@@ -149,18 +150,28 @@ def in_band(similarity: Column) -> Column:
     return similarity.between(L.BAND_LOW, L.BAND_HIGH)
 
 
+def closure(edges: DataFrame) -> DataFrame:
+    """(term, other) for every other that is reached from term over edges (term, other), cycles included.
+
+    Paths double in each round, so as many rounds are taken as the logarithm of the longest one; rounds end when no
+    pair is new.
+    """
+    reached = cut(edges.select("term", "other").where("term is not null and other is not null").distinct())
+    known = -1
+    while (now := reached.count()) != known:
+        known = now
+        further = reached.join(reached.select(F.col("term").alias("other"), F.col("other").alias("next")), "other").select("term", F.col("next").alias("other"))
+        reached = cut(reached.union(further).distinct())
+    return reached
+
+
 def unreliable(relations: DataFrame) -> DataFrame:
     """(term, other) that may be right as well: same set of synonyms, antonyms, or a wider term at any depth.
 
-    relations: term, relation (same, antonym, wider), other. The closure of wider is recursive SQL.
+    relations: term, relation (same, antonym, wider), other. Terms may be wider in a circle, and chains of any length.
     """
-    relations.createOrReplaceTempView("studyloom_relations")
-    return relations.sparkSession.sql(
-        """WITH RECURSIVE above(term, other) AS (
-             SELECT term, other FROM studyloom_relations WHERE relation = 'wider'
-             UNION ALL SELECT a.term, r.other FROM above a JOIN studyloom_relations r ON r.term = a.other AND r.relation = 'wider')
-           SELECT term, other FROM above UNION SELECT term, other FROM studyloom_relations WHERE relation <> 'wider'"""
-    )
+    above = closure(relations.where("relation = 'wider'"))
+    return above.union(relations.where("relation <> 'wider'").select("term", "other")).distinct()
 
 
 def siblings(relations: DataFrame, most: int = L.MAX_SIBLINGS) -> DataFrame:

@@ -1,7 +1,7 @@
 """Document frequencies: of a whole table, and as of each document in its order.
 
-Running sums are two-level: rows are dealt by ranges of the order, counted within each range, and a small table of
-counts per range gives what lies before it. No key, not even a word that every document holds, meets in one task.
+Running sums are two-level: rows are dealt by ranges of the order, whose number grows with the rows, counted within each
+range, and a small table of counts per range gives what lies before it. No key, not even a word that every document holds, meets in one task.
 """
 
 from __future__ import annotations
@@ -32,15 +32,28 @@ def idf(n: Column, df: Column) -> Column:
     return F.when(n < few, (1.0 - n / few) * L.COLD_START_IDF + n / few * smoothed_idf(n, df)).otherwise(smoothed_idf(n, df))
 
 
-def running_sum(rows: DataFrame, order: str, keys: tuple[str, ...] = (), weight: Column | None = None, name: str = "before", ranges: int | None = None) -> DataFrame:
+#: Rows of the order in one range, about.
+RANGE_ROWS = 4096
+
+
+def ranges_of(rows: DataFrame, order: str, ranges: int | None = None) -> tuple[float, float]:
+    """(start, width) of ranges that cut the order into even parts, more of them for more rows.
+
+    Reads the order alone. Uneven orders give uneven ranges, never wrong sums: the number of a range grows with it.
+    """
+    low, high, n = rows.agg(F.min(F.col(order).cast("double")), F.max(F.col(order).cast("double")), F.count(F.lit(1))).first()
+    if not n or low is None:
+        return 0.0, 1.0
+    return low, max((high - low) / (ranges or -(-n // RANGE_ROWS)), 1e-9)
+
+
+def running_sum(rows: DataFrame, order: str, keys: tuple[str, ...] = (), weight: Column | None = None, name: str = "before", ranges: int | None = None, spans: tuple[float, float] | None = None) -> DataFrame:
     """rows with the sum of weight (1 each) over earlier rows (by order) of the same keys.
 
     Rows with equal order don't count each other. Order is a number.
     """
-    n = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = F.lit(0)
-    for bound in sorted(set(rows.approxQuantile(order, [i / n for i in range(1, n)], 0.01) if n > 1 else [])):
-        part = part + F.when(F.col(order) > F.lit(bound), 1).otherwise(0)
+    low, width = spans or ranges_of(rows, order, ranges)
+    part = F.floor((F.col(order).cast("double") - F.lit(low)) / F.lit(width))
     own = rows.withColumn("range_no", part).withColumn("range_weight", F.lit(1) if weight is None else weight)
     inside = Window.partitionBy(*keys, "range_no").orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
     own = own.withColumn("inside", F.coalesce(F.sum("range_weight").over(inside), F.lit(0)))
@@ -53,6 +66,7 @@ def running_sum(rows: DataFrame, order: str, keys: tuple[str, ...] = (), weight:
 def as_of(vocab: DataFrame, seq: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(doc_id, documents before it), (doc_id, term, df before it): the state that scores a document."""
     ids = list(dict.fromkeys(("doc_id", seq)))
-    before = running_sum(vocab.select(*ids, (F.size("terms") > 0).cast("int").alias("one")), seq, weight=F.col("one"), name="documents")
-    terms = running_sum(vocab.select(*ids, F.explode("terms").alias("term")), seq, ("term",), name="df")
+    spans = ranges_of(vocab, seq)
+    before = running_sum(vocab.select(*ids, (F.size("terms") > 0).cast("int").alias("one")), seq, weight=F.col("one"), name="documents", spans=spans)
+    terms = running_sum(vocab.select(*ids, F.explode("terms").alias("term")), seq, ("term",), name="df", spans=spans)
     return before.select("doc_id", "documents"), terms.select("doc_id", "term", "df")

@@ -159,31 +159,31 @@ def rows(columns: str, *values: tuple) -> str:
 #: What the sentences of the fixtures define, by hand.
 FX_DEFINITIONS = rows(
     "doc_id, term, definition, pattern, confidence",
-    (1, "stack", "A linear data structure that follows last in first out order.", "copular", 0.8),
-    (2, "queue", "A linear data structure that follows first in first out order.", "copular", 0.8),
-    (3, "stack", "A linear data structure.", "cue", 0.95),
-    (5, "binary search tree", "A node-based tree.", "appos", 0.5),
-    (6, "stack", "A type of linear data structure.", "hypernym", 0.8),
-    (11, "graph", "A data structure of vertices and edges.", "copular", 0.8),
-    (12, "graph", "A non-linear data structure consisting of vertices and edges.", "copular", 0.8),
-    (13, "stack", "A LIFO structure.", "copular", 0.8),
+    (1, "valve", "A small device that controls the flow of water.", "copular", 0.8),
+    (2, "pump", "A small device that moves the water to a tank.", "copular", 0.8),
+    (3, "dam", "A strong wall of stone.", "cue", 0.95),
+    (5, "suspension bridge", "A cable-borne bridge.", "appos", 0.55),
+    (6, "lute", "A type of string instrument.", "hypernym", 0.8),
+    (11, "delta", "A low plain of sand and mud.", "copular", 0.8),
+    (12, "delta", "A low-lying plain consisting of sand and mud.", "copular", 0.8),
+    (13, "lute", "A string instrument.", "copular", 0.8),
 )
 
 #: What they state, by pattern, by hand.
 FX_FACTS = {
-    "consist_of": [(21, "tree", "Nodes with a key and two child pointers.")],
-    "possess_property": [(22, "binary search tree", "A time complexity of logarithmic order in the balanced case.")],
-    "possess_salient": [(23, "list", "A pointer to the next node in the chain.")],
-    "difference_between": [(25, "stack", "The order of removal.")],
-    "differ_from": [(34, "stack", "A stack differs from a queue in the order of removal.")],
-    "unlike": [(26, "linked lists", "Linked lists do not require contiguous memory.")],
-    "comparative_than": [(35, "Quicksort", "Faster than bubble sort.")],
-    "used_to_xcomp": [(28, "stack", "To reverse a string in place.")],
-    "used_for": [(36, "hash table", "Constant lookup of keys.")],
-    "useful_for": [(37, "heap", "Scheduling of many jobs.")],
-    "enable": [(38, "index", "A search of the whole table.")],
-    "begin_by": [(39, "process", "Reading the input file.")],
-    "ordered_chain": [(29, "algorithm", "The algorithm first sorts the array and then merges the two halves.")],
+    "consist_of": [(21, "clock", "Gears with a spring and two brass hands.")],
+    "possess_property": [(22, "steam engine", "A thermal capacity of modest size in the usual case.")],
+    "possess_salient": [(23, "engine", "A valve at the top of the cylinder.")],
+    "difference_between": [(25, "lute", "The shape of the frame.")],
+    "differ_from": [(34, "lute", "A lute differs from a harp in the shape of the frame.")],
+    "unlike": [(26, "suspension bridges", "Suspension bridges do not require calm weather.")],
+    "comparative_than": [(35, "Granite", "Harder than soft limestone.")],
+    "used_to_xcomp": [(28, "pulley", "To move a load in stages.")],
+    "used_for": [(36, "pulley", "Steady support of loads.")],
+    "useful_for": [(37, "ledger", "Comparison of many sales.")],
+    "enable": [(38, "lever", "A movement of the whole load.")],
+    "begin_by": [(39, "recipe", "Measuring the dry beans.")],
+    "ordered_chain": [(29, "machine", "The machine first sorts the grain and then joins the two batches.")],
 }
 
 #: The order-dependent choice among the facts of fixtures, by hand.

@@ -91,6 +91,12 @@ class Analysis:
     def stats(self) -> DataFrame:
         return annotate.stats(self.annotated)
 
+    def close(self) -> None:
+        """Gives up the rows that are kept between the parts."""
+        for name in ("annotated", "definitions", "facts"):
+            if name in self.__dict__:
+                self.__dict__[name].unpersist()
+
     def result(self) -> DataFrame:
         """One row per document with all parts nested."""
 

@@ -1,12 +1,14 @@
 """Jobs as a stream: JSON lines in, answers by queue out, the corpus moving on after each batch.
 
 A batch is analysed as one table: a document's keywords are weighed by the documents of earlier batches and by those
-of its own batch that come before it (by the hash of the job's id). Answers are written before the state, and the checkpoint advances after both: a job may be answered
-twice after a crash, never not at all. Each batch writes its own folder, which a repeated batch overwrites.
+of its own batch that come before it (by the hash of the job's id). Answers are written before the state, and the checkpoint advances after both: a job may
+be answered twice after a crash, never not at all. Each batch writes its own folder and its own version of the state,
+which a repeated batch overwrites, so its documents count once.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,21 +25,24 @@ def source(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFr
     return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
 
 
-def answers(parsed: DataFrame, frequencies: DataFrame, documents: int, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
+def answers(parsed: DataFrame, frequencies: DataFrame, documents: int, options: Options = Options(), opened: list[Analysis] | None = None) -> tuple[DataFrame, DataFrame]:
     """(job_id, correlation_id, reply_to, error, result), vocabulary of the batch's documents.
 
-    A job's own options override the defaults where they are given.
+    A job's own options override the defaults where they are given. opened takes the analyses, for the caller to close.
     """
+    opened = opened if opened is not None else []
     good = parsed.where("is_good").dropDuplicates(["job_id"]).withColumn("doc_id", F.xxhash64("job_id"))
     valid, bad = requests.split(good)
     wanted = valid.select("doc_id", *(F.coalesce(F.col(f"options.{f.name}"), F.lit(getattr(options, f.name))).alias(f.name) for f in fields(Options)))
     names = [f.name for f in fields(Options)]
     shared = Analysis(valid, options, frequencies=frequencies, documents=documents)
+    opened.append(shared)
     out = None
     # Limits shape what is chosen, so jobs with equal options are planned together; all share one annotation.
     for row in wanted.select(*names).distinct().collect():
         own = Analysis(valid, Options(**fit(row.asDict())), frequencies=frequencies, documents=documents)
         own.annotated, own.all_keywords = shared.annotated, shared.all_keywords
+        opened.append(own)
         same = wanted.where(" and ".join(f"{n} = {str(row[n]).lower()}" for n in names)).select("doc_id")
         rows = own.result().join(same, "doc_id").select("doc_id", F.to_json(F.struct("cards", "quiz", "keywords", "summary", "stats")).alias("result"))
         out = rows if out is None else out.unionByName(rows)
@@ -56,14 +61,21 @@ def fit(values: dict) -> dict:
 def run(spark: SparkSession, job_path: str, result_path: str, dead_path: str, state_path: str, checkpoint: str, files_per_trigger: int = 1) -> StreamingQuery:
     """Starts the job stream; stop() the query after the batch in hand."""
 
+    # Batches are numbered by checkpoint.
+    origin = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
     def batch(lines: DataFrame, number: int) -> None:
         parsed = jobs.parse(lines).persist()
-        frequencies, documents = state.load(spark, state_path)
-        found, vocab = answers(parsed, frequencies, documents)
+        name = f"{origin}-{number}"
+        opened: list[Analysis] = []
+        frequencies, documents = state.load(spark, state_path, name)
+        found, vocab = answers(parsed, frequencies, documents, opened=opened)
         jobs.route(found).withColumn("batch", F.lit(number)).write.mode("overwrite").partitionBy("queue").json(f"{result_path}/batch={number}")
         jobs.dead_letters(parsed).select("value").write.mode("overwrite").text(f"{dead_path}/batch={number}")
         merged, total = state.observe(frequencies, documents, vocab)
-        state.save(merged, total.first()[0], state_path)
+        state.save(merged, total.first()[0], state_path, name)
+        for analysis in opened:
+            analysis.close()
         parsed.unpersist()
 
     return source(spark, job_path, files_per_trigger).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()

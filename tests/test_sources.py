@@ -78,6 +78,19 @@ def test_state(spark, tmp_path):
     assert documents == 2 and {r.term: r.df for r in frequencies.collect()} == {"a": 2, "b": 1}
 
 
+def test_a_repeated_batch_counts_once(spark, tmp_path):
+    path = str(tmp_path / "state")
+    vocab = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"])], "doc_id long, terms array<string>")
+    for batch in ("x-0", "x-1", "x-1", "x-2", "x-2", "x-3", "x-4"):
+        frequencies, documents = state.load(spark, path, batch)
+        merged, total = state.observe(frequencies, documents, vocab)
+        state.save(merged, total.first()[0], path, batch)
+    frequencies, documents = state.load(spark, path)
+    assert documents == 10 and {r.term: r.df for r in frequencies.collect()} == {"a": 10, "b": 5}
+    assert len(os.listdir(path)) == state.KEPT
+    assert state.load(spark, path, "x-4")[1] == 8
+
+
 def test_webhook():
     sent, waits = [], []
 
@@ -111,7 +124,7 @@ def test_stream(spark, tmp_path):
     rows = {r.correlation: json.loads(r.message) for r in spark.read.json(paths["results"]).collect()}
     assert set(rows) == {"c1", "j2", "j4"}
     assert rows["c1"]["ok"] and not rows["j4"]["ok"]
-    assert json.loads(rows["c1"]["result"])["cards"][0]["front"] == "stack"
+    assert json.loads(rows["c1"]["result"])["cards"][0]["front"] == "valve"
     assert {r.value for r in spark.read.text(paths["dead"]).collect()} == {'{"job_id": "j3"}', "not a job"}
     assert state.load(spark, paths["state"])[1] == 2
     assert os.path.isdir(paths["checkpoint"])
