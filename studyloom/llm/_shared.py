@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -14,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources.shared import cut, shared_dir
+
+__all__ = ["append", "bucket_of", "cut", "lower_words", "pieces", "released", "shared_dir", "small_side", "table", "unused", "utf8", "written"]
+
 #: Bytes that are no part of a word become spaces, A-Z become a-z; bytes from 0x80 on belong to words.
 _LOWER_WORDS = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -39,25 +42,6 @@ def bucket_of(key: str) -> Column:
     return F.crc32(F.col(key).cast("string")) % 5
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only a local master may have one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            if not context.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="studyloom-"))
-        found = context._jsc.sc().getCheckpointDir().get()
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the shared folder: later reads survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def written(df: DataFrame) -> DataFrame:
     """As cut, but kept as a compressed table in the shared folder."""
     path = f"{shared_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
