@@ -198,7 +198,7 @@ def summary_freq(spark, sf_dir):
 @query
 def summary_all(spark, sf_dir):
     sents = surface.usable_sentences(english(spark, sf_dir))
-    return ranking.summarise(sents, ranking.rank_sentences(sents))
+    return ranking.summarise(sents, ranking.rank_sentences(sents).withColumn("score", F.round("score", 9)))
 
 
 # Definitions, cards and quizzes by surface patterns, over all English documents

@@ -132,6 +132,29 @@ step(k, i, s, moved) AS (
     WHERE p.moved >= {L.TOLERANCE} AND p.k < {L.MAX_ITERATIONS} GROUP BY p.k, p.i))
 SELECT i AS index, round(s / sum(s) OVER (), 6) AS score FROM step WHERE k = (SELECT max(k) FROM step)"""
 
+#: Per document: similarity edges, PageRank until its scores settle, and short documents by frequency.
+RANKS = f"""{FREQ},
+big AS MATERIALIZED (SELECT doc_id, total AS n FROM t WHERE total >= {L.GRAPH_MIN_SENTENCES}),
+held AS MATERIALIZED (SELECT DISTINCT doc_id, index AS i, word FROM content JOIN big USING (doc_id)),
+size AS MATERIALIZED (SELECT doc_id, i, count(*) AS m FROM held GROUP BY ALL),
+both_ways AS MATERIALIZED (SELECT doc_id, i, j, shared / (ln(x.m + 1.0) + ln(y.m + 1.0)) AS w
+  FROM (SELECT a.doc_id, a.i, c.i AS j, count(*) AS shared FROM held a JOIN held c ON a.doc_id = c.doc_id AND a.word = c.word AND a.i <> c.i GROUP BY ALL) e
+  JOIN size x USING (doc_id, i) JOIN size y ON y.doc_id = e.doc_id AND y.i = e.j),
+share AS MATERIALIZED (SELECT doc_id, i, j, w / sum(w) OVER (PARTITION BY doc_id, i) AS p FROM both_ways),
+node AS MATERIALIZED (SELECT doc_id, index AS i, n, (doc_id, index) NOT IN (SELECT (doc_id, i) FROM share) AS dangling FROM usable JOIN big USING (doc_id)),
+step(k, doc_id, i, s, moved) AS (
+  SELECT 0, doc_id, i, CAST(1.0 / n AS DOUBLE), CAST(1.0 AS DOUBLE) FROM node
+  UNION ALL
+  SELECT k, doc_id, i, s, max(abs(s - o)) OVER (PARTITION BY doc_id) FROM (
+    SELECT p.k + 1 AS k, p.doc_id, p.i, p.s AS o, {1 - L.DAMPING} / n + {L.DAMPING} * (coalesce(g.s, 0) + coalesce(z.s, 0) / n) AS s
+    FROM step p JOIN node ON node.doc_id = p.doc_id AND node.i = p.i
+    LEFT JOIN (SELECT q.doc_id, share.j, sum(q.s * share.p) AS s FROM step q JOIN share ON share.doc_id = q.doc_id AND share.i = q.i GROUP BY ALL) g ON g.doc_id = p.doc_id AND g.j = p.i
+    LEFT JOIN (SELECT q.doc_id, sum(q.s) AS s FROM step q JOIN node ON node.doc_id = q.doc_id AND node.i = q.i WHERE node.dangling GROUP BY q.doc_id) z ON z.doc_id = p.doc_id
+    WHERE p.moved >= {L.TOLERANCE} AND p.k < {L.MAX_ITERATIONS})),
+settled AS (SELECT doc_id, i, s FROM step QUALIFY k = max(k) OVER (PARTITION BY doc_id)),
+ranks AS (SELECT doc_id, i AS index, s / sum(s) OVER (PARTITION BY doc_id) AS score FROM settled
+          UNION ALL SELECT doc_id, index, score FROM freq_rank JOIN t USING (doc_id) WHERE total < {L.GRAPH_MIN_SENTENCES})"""
+
 VALID = f"""SELECT doc_id, false AS status, CASE WHEN text IS NULL OR length(text) < 1 THEN 422 ELSE 413 END AS status_code,
 CASE WHEN text IS NULL OR length(text) < 1 THEN 'text: at least 1 character' ELSE 'text: ' || length(text) || ' characters, at most 5000' END AS message
 FROM documents WHERE text IS NULL OR length(text) < 1 OR length(text) > 5000"""
@@ -237,6 +260,8 @@ def all_sql() -> dict[str, str]:
         "textrank": "WITH RECURSIVE " + TEXTRANK,
         "sim_edges": with_(EDGES, "SELECT i, j, round(weight, 9) AS weight FROM edge"),
         "sentence_cut": with_(FREQ, "SELECT doc_id, round(score, 9) AS cut FROM (SELECT doc_id, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, index) - 1 AS place, count(*) OVER (PARTITION BY doc_id) AS n FROM freq_rank) WHERE place = greatest(0, least(n - 1, CAST(floor(n * 0.25) AS BIGINT) - 1))"),
+        "rank_all": with_(RANKS, "SELECT doc_id, index, round(score, 6) AS score FROM ranks", recursive=True),
+        "summary_all": with_(RANKS, f"SELECT doc_id, index, {collapse(f'''regexp_replace(sentence, '^{WS}*(?:[-•*·]|\\(?[0-9]{{1,3}}[.)]){WS}*', '')''')} AS text, round(score, 6) AS score FROM (SELECT doc_id, index, round(score, 9) AS score FROM ranks QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, index) <= 5) JOIN usable USING (doc_id, index)", recursive=True),
         "summary_freq": with_(FREQ, f"SELECT doc_id, index, {collapse(f'''regexp_replace(sentence, '^{WS}*(?:[-•*·]|\\(?[0-9]{{1,3}}[.)]){WS}*', '')''')} AS text, round(score, 6) AS score FROM (SELECT doc_id, index, round(score, 9) AS score FROM freq_rank QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, index) <= 5) JOIN usable USING (doc_id, index)"),
         "def_surface": with_(DEFS, "SELECT doc_id, rank, index, term, definition, 'copular' AS pattern, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM def"),
         "definition_cards": with_(DEFS, f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY rank) AS INTEGER) AS ord, term AS front, definition AS back, 'DEFINITION' AS kind FROM def WHERE NOT coalesce(len(string_split(term, ' ')) > 2 AND lower(string_split(term, ' ')[1]) IN ({words(L.PROPERTY_NOUNS)}) AND lower(string_split(term, ' ')[2]) = 'of', false) QUALIFY ord <= 25"),
