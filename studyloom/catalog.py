@@ -69,6 +69,12 @@ def heading_lines(spark, sf_dir):
     return headings.headings(documents(spark, sf_dir))
 
 
+@query
+def fx_headings(spark, sf_dir):
+    """Headings of texts that have some; those of documents have none."""
+    return headings.headings(fixtures.headed(spark))
+
+
 @query
 def sentences_l0(spark, sf_dir):
     return surface.sentences(english(spark, sf_dir))

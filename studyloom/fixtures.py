@@ -42,6 +42,14 @@ SENTENCES = {
     40: "Grafting joins a shoot to a root, and a callus occurs when two shoots share a root. A callus is removed by trimming.",
 }
 
+#: Texts with lines that are headings, and with lines that only look like some.
+HEADED = {
+    51: "# Water Works\nA valve is a small device.\n## The Pump And Its Parts\nIt moves water.\nnot a heading at all\nShort End:\nWater Of The River Delta",
+    52: "RIVERS AND SEAS\n\nA delta is a low plain.\n Lutes And Harps \n#no space\nThis line Ends in lower case words\nAb\nEngines, Boats And Bridges?",
+    53: "",
+    54: "\n".join(f"Part {chr(65 + i)} Of The Book" for i in range(15)),
+}
+
 LESSON = (
     "A valve is a small device that controls the flow of water. A pump is a small device that moves the water to a tank. "
     "A suspension bridge is a cable-borne bridge that carries its deck on ropes. A delta is a low-lying plain consisting of sand and mud. "
@@ -86,6 +94,10 @@ def sentences(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(SENTENCES.items()), "doc_id long, text string")
 
 
+def headed(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(HEADED.items()), "doc_id long, text string")
+
+
 def lesson(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(1, LESSON)], "doc_id long, text string")
 

@@ -226,10 +226,16 @@ above(term, other) AS (SELECT term, other FROM r WHERE relation = 'wider' UNION
 SELECT term, other FROM above UNION SELECT term, other FROM r WHERE relation <> 'wider'"""
 
 
+def literal(text: str) -> str:
+    return " || chr(10) || ".join("'" + line.replace("'", "''") + "'" for line in text.split("\n"))
+
+
 def all_sql() -> dict[str, str]:
-    from .fixtures import RELATIONS
+    from .fixtures import HEADED, RELATIONS
 
+    headed = ", ".join(f"({i}, {literal(text)})" for i, text in HEADED.items())
     return {
+        "fx_headings": HEADINGS.replace("FROM documents", f"FROM (VALUES {headed}) AS documents(doc_id, text)"),
         "fx_definitions": FX_DEFINITIONS,
         "selection_fold": FX_SELECTION,
         "synonym_antijoin": FX_SYNONYMS.format(values=", ".join(map(repr, RELATIONS))),

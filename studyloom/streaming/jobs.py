@@ -9,6 +9,9 @@ which a repeated batch overwrites, so its documents count once.
 from __future__ import annotations
 
 import hashlib
+import signal
+import threading
+import time
 from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,3 +83,20 @@ def run(spark: SparkSession, job_path: str, result_path: str, dead_path: str, st
 
     return source(spark, job_path, files_per_trigger).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
 
+
+
+def serve(query: StreamingQuery, stop: threading.Event, pause: float = 0.2) -> None:
+    """Waits until stop is set, lets the batch in hand end, and stops the query."""
+    while query.isActive and not stop.is_set():
+        stop.wait(pause)
+    while query.isActive and query.status["isTriggerActive"]:
+        time.sleep(pause)
+    query.stop()
+
+
+def stop_on_signals() -> threading.Event:
+    """An event that an interrupt or a request to terminate sets; for serve, from the main thread."""
+    stop = threading.Event()
+    for number in (signal.SIGINT, signal.SIGTERM):
+        signal.signal(number, lambda *_: stop.set())
+    return stop

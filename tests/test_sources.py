@@ -4,6 +4,7 @@ import hashlib
 import hmac
 import json
 import os
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,6 +105,13 @@ def test_webhook():
     assert not webhook.deliver("u", {}, "s", send([429, 503, 500]), waits.append)
 
 
+def test_rows_are_delivered_by_partition(spark):
+    rows = spark.createDataFrame([(f"http://host/{i}", f'{{"n": {i}}}', "more") for i in range(6)], "url string, message string, delivered string")
+    found = webhook.deliver_rows(rows.repartition(3), "s", lambda url, body, headers: 200 if url < "http://host/3" else 404, lambda seconds: None)
+    assert sorted(tuple(r) for r in found.collect()) == [(f"http://host/{i}", f'{{"n": {i}}}', i < 3) for i in range(6)]
+    assert not webhook.deliver_rows(rows.limit(0), "s").count()
+
+
 def test_settings(monkeypatch):
     monkeypatch.setenv("STUDYLOOM_MAX_TEXT_CHARS", "many")
     with pytest.warns(UserWarning):
@@ -111,6 +119,19 @@ def test_settings(monkeypatch):
     assert not Settings.load.__self__().use_vectors
 
 
+def test_a_stream_stops_behind_its_batch(spark, tmp_path):
+    source = tmp_path / "jobs"
+    source.mkdir()
+    (source / "one.json").write_text(fixtures.JOBS[0])
+    paths = [str(tmp_path / name) for name in ("results", "dead", "state", "checkpoint")]
+    stop = threading.Event()
+    query = stream.run(spark, str(source), *paths)
+    query.processAllAvailable()
+    stop.set()
+    stream.serve(query, stop)
+    assert not query.isActive and spark.read.json(paths[0]).count() == 1
+
+
 def test_stream(spark, tmp_path):
     source = tmp_path / "jobs"
     source.mkdir()
