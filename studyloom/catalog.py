@@ -36,9 +36,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surface.english(documents(spark, sf_dir))
-
 
 # Text
 
@@ -77,23 +74,23 @@ def fx_headings(spark, sf_dir):
 
 @query
 def sentences_l0(spark, sf_dir):
-    return surface.sentences(english(spark, sf_dir))
+    return surface.sentences(documents(spark, sf_dir))
 
 
 @query
 def tokens_l0(spark, sf_dir):
-    rows = english(spark, sf_dir).select("doc_id", F.posexplode(surface.tokens(X.normalise("text"))).alias("i", "token"))
+    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(surface.tokens(X.normalise("text"))).alias("i", "token"))
     return rows.select("doc_id", "i", "token", F.lower("token").alias("lower"), F.col("token").rlike(surface.ALPHA).alias("is_alpha"))
 
 
 @query
 def usable_sentences(spark, sf_dir):
-    return surface.usable_sentences(english(spark, sf_dir)).select("doc_id", "index", "sentence")
+    return surface.usable_sentences(documents(spark, sf_dir)).select("doc_id", "index", "sentence")
 
 
 @query
 def doc_stats(spark, sf_dir):
-    docs = english(spark, sf_dir)
+    docs = documents(spark, sf_dir)
     own = docs.select("doc_id", F.size(surface.tokens(X.normalise("text"))).alias("tokens"))
     return own.join(surface.usable_sentences(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences")), "doc_id", "left").select("doc_id", "tokens", F.coalesce("sentences", F.lit(0)).alias("sentences"))
 
@@ -108,14 +105,14 @@ def clean_forms(spark, sf_dir):
 @query
 def cloze_blank(spark, sf_dir):
     """Each usable sentence with its third word blanked."""
-    rows = surface.usable_sentences(english(spark, sf_dir)).withColumn("flat", X.collapse("sentence")).withColumn("word", F.get(surface.words(F.col("flat")), F.lit(2)))
+    rows = surface.usable_sentences(documents(spark, sf_dir)).withColumn("flat", X.collapse("sentence")).withColumn("word", F.get(surface.words(F.col("flat")), F.lit(2)))
     return rows.select("doc_id", "index", X.blank_first("flat", "word").alias("front"))
 
 
 @query
 def plausible_terms(spark, sf_dir):
     """Whether the first three words of each sentence could be a term, and whether it names a property."""
-    rows = surface.usable_sentences(english(spark, sf_dir)).select("doc_id", "index", F.array_join(F.slice(surface.words(F.col("sentence")), 1, 3), " ").alias("term"))
+    rows = surface.usable_sentences(documents(spark, sf_dir)).select("doc_id", "index", F.array_join(F.slice(surface.words(F.col("sentence")), 1, 3), " ").alias("term"))
     return rows.select("doc_id", "index", "term", X.is_plausible_term("term").alias("plausible"), X.is_property_of("term").alias("is_property"))
 
 
@@ -124,40 +121,40 @@ def plausible_terms(spark, sf_dir):
 
 @query
 def vocab(spark, sf_dir):
-    return surface.vocabulary(english(spark, sf_dir)).select("doc_id", F.explode("terms").alias("term"))
+    return surface.vocabulary(documents(spark, sf_dir)).select("doc_id", F.explode("terms").alias("term"))
 
 
 @query
 def doc_freq(spark, sf_dir):
-    return corpus.document_frequency(surface.vocabulary(english(spark, sf_dir)))
+    return corpus.document_frequency(surface.vocabulary(documents(spark, sf_dir)))
 
 
 @query
 def corpus_stats(spark, sf_dir):
-    return corpus.documents(surface.vocabulary(english(spark, sf_dir)))
+    return corpus.documents(surface.vocabulary(documents(spark, sf_dir)))
 
 
 @query
 def idf_final(spark, sf_dir):
-    vocabulary = surface.vocabulary(english(spark, sf_dir))
+    vocabulary = surface.vocabulary(documents(spark, sf_dir))
     total = corpus.documents(vocabulary)
     return corpus.document_frequency(vocabulary).join(F.broadcast(total)).select("term", F.round(corpus.idf(F.col("documents"), F.col("df")), 6).alias("idf"))  # one row
 
 
 @query
 def idf_asof(spark, sf_dir):
-    before, terms = corpus.as_of(surface.vocabulary(english(spark, sf_dir)))
+    before, terms = corpus.as_of(surface.vocabulary(documents(spark, sf_dir)))
     return terms.join(before, "doc_id").select("doc_id", "term", "documents", "df", F.round(corpus.idf(F.col("documents"), F.col("df")), 6).alias("idf"))
 
 
 @query
 def kw_counts(spark, sf_dir):
-    return keywords.counts(surface.phrases(english(spark, sf_dir)))
+    return keywords.counts(surface.phrases(documents(spark, sf_dir)))
 
 
 @query
 def kw_topk(spark, sf_dir):
-    docs = english(spark, sf_dir)
+    docs = documents(spark, sf_dir)
     return keywords.extract(surface.phrases(docs), surface.vocabulary(docs)).select("doc_id", "place", "key", "term", "score", "count")
 
 
@@ -166,7 +163,7 @@ def kw_topk(spark, sf_dir):
 
 @query
 def freq_rank(spark, sf_dir):
-    return ranking.frequency_rank(surface.usable_sentences(english(spark, sf_dir))).select("doc_id", "index", F.round("score", 9).alias("score"))
+    return ranking.frequency_rank(surface.usable_sentences(documents(spark, sf_dir))).select("doc_id", "index", F.round("score", 9).alias("score"))
 
 
 def benchmark_sentences(spark, sf_dir):
@@ -187,23 +184,23 @@ def textrank(spark, sf_dir):
 @query
 def rank_all(spark, sf_dir):
     """Every English document by the method that suits its length."""
-    return ranking.rank_sentences(surface.usable_sentences(english(spark, sf_dir))).select("doc_id", "index", F.round("score", 6).alias("score"))
+    return ranking.rank_sentences(surface.usable_sentences(documents(spark, sf_dir))).select("doc_id", "index", F.round("score", 6).alias("score"))
 
 
 @query
 def sentence_cut(spark, sf_dir):
-    return ranking.sentence_cut(ranking.frequency_rank(surface.usable_sentences(english(spark, sf_dir))), 0.25).select("doc_id", F.round("cut", 9).alias("cut"))
+    return ranking.sentence_cut(ranking.frequency_rank(surface.usable_sentences(documents(spark, sf_dir))), 0.25).select("doc_id", F.round("cut", 9).alias("cut"))
 
 
 @query
 def summary_freq(spark, sf_dir):
-    sents = surface.usable_sentences(english(spark, sf_dir))
+    sents = surface.usable_sentences(documents(spark, sf_dir))
     return ranking.summarise(sents, ranking.frequency_rank(sents).withColumn("score", F.round("score", 9)))
 
 
 @query
 def summary_all(spark, sf_dir):
-    sents = surface.usable_sentences(english(spark, sf_dir))
+    sents = surface.usable_sentences(documents(spark, sf_dir))
     return ranking.summarise(sents, ranking.rank_sentences(sents).withColumn("score", F.round("score", 9)))
 
 
@@ -212,22 +209,22 @@ def summary_all(spark, sf_dir):
 
 @query
 def def_surface(spark, sf_dir):
-    return surface.definitions(english(spark, sf_dir)).select("doc_id", "rank", "index", "term", "definition", "pattern", F.round("confidence", 6).alias("confidence"))
+    return surface.definitions(documents(spark, sf_dir)).select("doc_id", "rank", "index", "term", "definition", "pattern", F.round("confidence", 6).alias("confidence"))
 
 
 @query
 def definition_cards(spark, sf_dir):
-    return cards.definition_cards(surface.definitions(english(spark, sf_dir)), 25).select("doc_id", "ord", "front", "back", "kind")
+    return cards.definition_cards(surface.definitions(documents(spark, sf_dir)), 25).select("doc_id", "ord", "front", "back", "kind")
 
 
 @query
 def quiz_distractors(spark, sf_dir):
-    return cards.distractors(surface.definitions(english(spark, sf_dir)))
+    return cards.distractors(surface.definitions(documents(spark, sf_dir)))
 
 
 @query
 def quiz(spark, sf_dir):
-    return cards.quiz(surface.definitions(english(spark, sf_dir))).select("doc_id", "ord", "prompt", F.array_join("options", "\n").alias("options"), "correct_index")
+    return cards.quiz(surface.definitions(documents(spark, sf_dir))).select("doc_id", "ord", "prompt", F.array_join("options", "\n").alias("options"), "correct_index")
 
 
 # Token trees over all documents

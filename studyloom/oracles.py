@@ -53,8 +53,8 @@ TOKEN = WORD + "|[^ \\t\\n\\r\\f\\x0BA-Za-z0-9''-]"
 ALPHA = "'^[A-Za-z]+$'"
 STOP = words(L.STOP_WORDS)
 
-#: norm: English documents. sent: sentences in order. usable: usable ones, with their index among these.
-EN = f"norm AS (SELECT doc_id, {normalise('text')} AS text FROM documents WHERE lang = 'en')"
+#: norm: documents. sent: sentences in order. usable: usable ones, with their index among these.
+EN = f"norm AS (SELECT doc_id, {normalise('text')} AS text FROM documents)"
 SENT = f"""{EN},
 line AS (SELECT doc_id, generate_subscripts(l, 1) AS k, unnest(l) AS s FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f\\x0B]+', '\\1' || chr(10), 'g'), '\\n+') AS l FROM norm)),
 sent AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS pos, sentence FROM (SELECT doc_id, k, {strip('s')} AS sentence FROM line) WHERE sentence <> '')"""
