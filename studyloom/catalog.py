@@ -1,7 +1,7 @@
 """Every query of the library by name, and SQL that says the same.
 
-The driver's documents are read whole; the surface annotator serves the English ones, of any size. Operators over
-token trees (tree_*, analyse_*) run on all documents, as the rules take any text. Queries of small given tables
+Tables are read whole, documents in every language: word lists are English, other texts simply hold fewer of their words.
+Operators over token trees (tree_*, analyse_*) run on all documents, as the rules take any text. Queries of small given tables
 (fx_definitions, fact_*, selection_fold and the lexicon's) are those whose rows SQL states.
 """
 
@@ -36,7 +36,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-
 # Text
 
 
@@ -338,10 +337,15 @@ def term_siblings(spark, sf_dir):
 
 @query
 def cosine_band(spark, sf_dir):
-    """Vectors next to each other by id whose similarity lies in the band."""
+    """All vectors whose similarity to a vector of the query set (ids divisible by 100) lies in the band.
+
+    Queries go in blocks of neighbouring ids, 256 at most where ids don't repeat, and each block meets every row once.
+    """
     own = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    pairs = own.join(own.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next")), "vec_id").withColumn("similarity", cards.cosine(F.col("embedding"), F.col("next")))
-    return pairs.where(cards.in_band(F.col("similarity"))).select("vec_id", F.round("similarity", 6).alias("similarity"))
+    asked = own.where("vec_id % 100 = 0").groupBy(F.floor(F.col("vec_id") / 25_600).alias("block")).agg(F.collect_list(F.struct(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))).alias("queries"))
+    pairs = own.crossJoin(asked.select("queries")).select("vec_id", "embedding", F.inline("queries")).where("vec_id != query_id")
+    near = pairs.withColumn("similarity", cards.cosine(F.col("embedding"), F.col("asked"))).where(cards.in_band(F.col("similarity")))
+    return near.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
 # Requests, jobs, results

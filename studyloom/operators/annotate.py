@@ -15,6 +15,7 @@ from ._arrow import map_rows
 
 SPAN = "array<struct<start:int,end:int>>"
 Annotator = Callable[[str | None], tuple[list, list, list]]
+NOT_INSTALLED = "is not installed"
 
 
 def parser(model: str) -> Annotator:
@@ -28,7 +29,7 @@ def parser(model: str) -> Annotator:
 
                 loaded.append(spacy.load(model))
             except (ImportError, OSError) as error:
-                raise RuntimeError(f"the model {model} is not installed") from error
+                raise RuntimeError(f"the model {model} {NOT_INSTALLED}") from error
         doc = loaded[0](text or "")
         tokens = []
         for number, sent in enumerate(doc.sents):

@@ -19,10 +19,6 @@ TOKEN = WORD + "|[^ \\t\\n\\r\\f\\x0BA-Za-z0-9'-]"
 ALPHA = "^[A-Za-z]+$"
 
 
-def english(docs: DataFrame) -> DataFrame:
-    return docs.where(F.col("lang") == "en")
-
-
 def words(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(f"({WORD})"), F.lit(1))
 

@@ -226,6 +226,16 @@ above(term, other) AS (SELECT term, other FROM r WHERE relation = 'wider' UNION
 SELECT term, other FROM above UNION SELECT term, other FROM r WHERE relation <> 'wider'"""
 
 
+def masked(key: str, mask: int) -> str:
+    """A key of at most 64 bytes, filled up to 64, each byte xor a mask, as a literal of bytes."""
+    return "'" + "".join(f"\\x{b ^ mask:02X}" for b in key.encode().ljust(64, b"\0")) + "'::BLOB"
+
+
+#: The keyed digest by its definition: a digest of the outer key and of the digest of the inner key and the body.
+SIGNED = f"""SELECT item_id, sha256({masked('secret', 0x5C)} || unhex(sha256({masked('secret', 0x36)} || encode('{{' ||
+concat_ws(',', '"item_id":' || item_id, '"text":' || CAST(to_json(text) AS VARCHAR)) || '}}')))) AS signature FROM benchmark"""
+
+
 def literal(text: str) -> str:
     return " || chr(10) || ".join("'" + line.replace("'", "''") + "'" for line in text.split("\n"))
 
@@ -277,5 +287,6 @@ def all_sql() -> dict[str, str]:
         "option_validation": OPTIONS,
         "limit_clamp": "SELECT event_id, greatest(1, least(n, 100)) AS quiz, greatest(1, least(n, 50)) AS summary FROM (SELECT event_id, user_id % 300 - 40 AS n FROM events)",
         "job_parse": "SELECT conv_id || '-' || turn AS job_id, text, role AS queue, text IS NOT NULL AS is_good FROM conversations",
-        "cosine_band": f"SELECT a.vec_id, round(s, 6) AS similarity FROM (SELECT a.vec_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) a WHERE s BETWEEN {L.BAND_LOW} AND {L.BAND_HIGH}",
+        "cosine_band": f"SELECT query_id, vec_id, round(s, 6) AS similarity FROM (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON b.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0) WHERE s BETWEEN {L.BAND_LOW} AND {L.BAND_HIGH}",
+        "signed_bodies": SIGNED,
     }

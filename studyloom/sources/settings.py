@@ -18,6 +18,12 @@ def number(name: str, default: int) -> int:
         return default
 
 
+NAMES = {
+    "annotator": "STUDYLOOM_ANNOTATOR", "max_text_chars": "STUDYLOOM_MAX_TEXT_CHARS", "corpus_path": "STUDYLOOM_CORPUS", "job_path": "STUDYLOOM_JOBS", "result_path": "STUDYLOOM_RESULTS",
+    "default_queue": "STUDYLOOM_QUEUE", "files_per_trigger": "STUDYLOOM_FILES_PER_TRIGGER", "transport": "STUDYLOOM_TRANSPORT", "dead_path": "STUDYLOOM_DEAD", "checkpoint_path": "STUDYLOOM_CHECKPOINT", "lexicon_path": "STUDYLOOM_LEXICON",
+}
+
+
 @dataclass(frozen=True)
 class Settings:
     annotator: str = "rules"
@@ -27,6 +33,10 @@ class Settings:
     result_path: str = "results"
     default_queue: str = "results"
     files_per_trigger: int = 1
+    transport: str = "files"
+    dead_path: str = "dead"
+    checkpoint_path: str = "checkpoint"
+    lexicon_path: str = ""
 
     @property
     def use_vectors(self) -> bool:
@@ -35,5 +45,6 @@ class Settings:
 
     @classmethod
     def load(cls) -> Settings:
-        get = os.environ.get
-        return cls(get("STUDYLOOM_ANNOTATOR", "rules"), number("STUDYLOOM_MAX_TEXT_CHARS", 500_000), get("STUDYLOOM_CORPUS", "corpus"), get("STUDYLOOM_JOBS", "jobs"), get("STUDYLOOM_RESULTS", "results"), get("STUDYLOOM_QUEUE", "results"), number("STUDYLOOM_FILES_PER_TRIGGER", 1))
+        text = {field: os.environ.get(name) or getattr(cls, field) for field, name in NAMES.items() if isinstance(getattr(cls, field), str)}
+        numbers = {field: number(name, getattr(cls, field)) for field, name in NAMES.items() if field not in text}
+        return cls(**text, **numbers)

@@ -20,30 +20,32 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import lexicon as L
 from ..plans.analyse import Analysis
-from ..sources import jobs, requests, state
+from ..sources import jobs, requests, service, state
 from ..sources.requests import Options
+from ..sources.settings import Settings
 
 
 def source(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
 
 
-def answers(parsed: DataFrame, frequencies: DataFrame, documents: int, options: Options = Options(), opened: list[Analysis] | None = None) -> tuple[DataFrame, DataFrame]:
+def answers(parsed: DataFrame, frequencies: DataFrame, documents: int, options: Options = Options(), opened: list[Analysis] | None = None, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """(job_id, correlation_id, reply_to, error, result), vocabulary of the batch's documents.
 
     A job's own options override the defaults where they are given. opened takes the analyses, for the caller to close.
     """
     opened = opened if opened is not None else []
     good = parsed.where("is_good").dropDuplicates(["job_id"]).withColumn("doc_id", F.xxhash64("job_id"))
-    valid, bad = requests.split(good)
+    valid, bad = requests.split(good, max_chars=settings.max_text_chars)
+    annotator = service.annotator(settings)
     wanted = valid.select("doc_id", *(F.coalesce(F.col(f"options.{f.name}"), F.lit(getattr(options, f.name))).alias(f.name) for f in fields(Options)))
     names = [f.name for f in fields(Options)]
-    shared = Analysis(valid, options, frequencies=frequencies, documents=documents)
+    shared = Analysis(valid, options, annotator, frequencies=frequencies, documents=documents)
     opened.append(shared)
     out = None
     # Limits shape what is chosen, so jobs with equal options are planned together; all share one annotation.
     for row in wanted.select(*names).distinct().collect():
-        own = Analysis(valid, Options(**fit(row.asDict())), frequencies=frequencies, documents=documents)
+        own = Analysis(valid, Options(**fit(row.asDict())), annotator, frequencies=frequencies, documents=documents)
         own.annotated, own.all_keywords = shared.annotated, shared.all_keywords
         opened.append(own)
         same = wanted.where(" and ".join(f"{n} = {str(row[n]).lower()}" for n in names)).select("doc_id")
@@ -61,8 +63,8 @@ def fit(values: dict) -> dict:
     return {n: v if n not in L.OPTION_RANGES else min(max(v, L.OPTION_RANGES[n][1]), L.OPTION_RANGES[n][2]) for n, v in values.items()}
 
 
-def run(spark: SparkSession, job_path: str, result_path: str, dead_path: str, state_path: str, checkpoint: str, files_per_trigger: int = 1) -> StreamingQuery:
-    """Starts the job stream; stop() the query after the batch in hand."""
+def run(spark: SparkSession, job_path: str, result_path: str, dead_path: str, state_path: str, checkpoint: str, files_per_trigger: int = 1, settings: Settings = Settings()) -> StreamingQuery:
+    """Starts the job stream; stop() the query after the batch in hand. The paths here, not those of settings, hold."""
 
     # Batches are numbered by checkpoint.
     origin = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
@@ -72,8 +74,8 @@ def run(spark: SparkSession, job_path: str, result_path: str, dead_path: str, st
         name = f"{origin}-{number}"
         opened: list[Analysis] = []
         frequencies, documents = state.load(spark, state_path, name)
-        found, vocab = answers(parsed, frequencies, documents, opened=opened)
-        jobs.route(found).withColumn("batch", F.lit(number)).write.mode("overwrite").partitionBy("queue").json(f"{result_path}/batch={number}")
+        found, vocab = answers(parsed, frequencies, documents, opened=opened, settings=settings)
+        jobs.route(found, settings.default_queue).withColumn("batch", F.lit(number)).write.mode("overwrite").partitionBy("queue").json(f"{result_path}/batch={number}")
         jobs.dead_letters(parsed).select("value").write.mode("overwrite").text(f"{dead_path}/batch={number}")
         merged, total = state.observe(frequencies, documents, vocab)
         state.save(merged, total.first()[0], state_path, name)
@@ -84,6 +86,10 @@ def run(spark: SparkSession, job_path: str, result_path: str, dead_path: str, st
     return source(spark, job_path, files_per_trigger).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
 
 
+def start(spark: SparkSession, settings: Settings) -> StreamingQuery:
+    """The job stream as the settings describe it."""
+    return run(spark, settings.job_path, settings.result_path, settings.dead_path, settings.corpus_path, settings.checkpoint_path, settings.files_per_trigger, settings)
+
 
 def serve(query: StreamingQuery, stop: threading.Event, pause: float = 0.2) -> None:
     """Waits until stop is set, lets the batch in hand end, and stops the query."""
