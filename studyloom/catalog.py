@@ -162,7 +162,7 @@ def kw_topk(spark, sf_dir):
 
 @query
 def freq_rank(spark, sf_dir):
-    return ranking.frequency_rank(surface.usable_sentences(documents(spark, sf_dir))).select("doc_id", "index", F.round("score", 9).alias("score"))
+    return ranking.frequency_rank(surface.usable_sentences(documents(spark, sf_dir))).select("doc_id", "index", ranking.rounded(F.col("score"), 9).alias("score"))
 
 
 def benchmark_sentences(spark, sf_dir):
@@ -172,35 +172,35 @@ def benchmark_sentences(spark, sf_dir):
 
 @query
 def sim_edges(spark, sf_dir):
-    return ranking.similarity_edges(benchmark_sentences(spark, sf_dir)).select("i", "j", F.round("weight", 9).alias("weight"))
+    return ranking.similarity_edges(benchmark_sentences(spark, sf_dir)).select("i", "j", ranking.rounded(F.col("weight"), 9).alias("weight"))
 
 
 @query
 def textrank(spark, sf_dir):
-    return ranking.textrank(benchmark_sentences(spark, sf_dir)).select("index", F.round("score", 6).alias("score"))
+    return ranking.textrank(benchmark_sentences(spark, sf_dir)).select("index", ranking.rounded(F.col("score"), 6).alias("score"))
 
 
 @query
 def rank_all(spark, sf_dir):
     """Every English document by the method that suits its length."""
-    return ranking.rank_sentences(surface.usable_sentences(documents(spark, sf_dir))).select("doc_id", "index", F.round("score", 6).alias("score"))
+    return ranking.rank_sentences(surface.usable_sentences(documents(spark, sf_dir))).select("doc_id", "index", ranking.rounded(F.col("score"), 6).alias("score"))
 
 
 @query
 def sentence_cut(spark, sf_dir):
-    return ranking.sentence_cut(ranking.frequency_rank(surface.usable_sentences(documents(spark, sf_dir))), 0.25).select("doc_id", F.round("cut", 9).alias("cut"))
+    return ranking.sentence_cut(ranking.frequency_rank(surface.usable_sentences(documents(spark, sf_dir))), 0.25).select("doc_id", ranking.rounded(F.col("cut"), 9).alias("cut"))
 
 
 @query
 def summary_freq(spark, sf_dir):
     sents = surface.usable_sentences(documents(spark, sf_dir))
-    return ranking.summarise(sents, ranking.frequency_rank(sents).withColumn("score", F.round("score", 9)))
+    return ranking.summarise(sents, ranking.frequency_rank(sents).withColumn("score", ranking.rounded(F.col("score"), 9)))
 
 
 @query
 def summary_all(spark, sf_dir):
     sents = surface.usable_sentences(documents(spark, sf_dir))
-    return ranking.summarise(sents, ranking.rank_sentences(sents).withColumn("score", F.round("score", 9)))
+    return ranking.summarise(sents, ranking.rank_sentences(sents).withColumn("score", ranking.rounded(F.col("score"), 9)))
 
 
 # Definitions, cards and quizzes by surface patterns, over all English documents

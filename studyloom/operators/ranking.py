@@ -29,6 +29,12 @@ def frequency_rank(sents: DataFrame) -> DataFrame:
     return own.select("doc_id", "index", F.coalesce(score, F.lit(0.0)).alias("score"))
 
 
+def rounded(score: Column, digits: int) -> Column:
+    """A score, 0 or more, to so many digits in binary arithmetic; F.round goes by the decimal form instead, and the two
+    differ on scores like 203 / 3200 that lie between two results."""
+    return F.floor(score * float(10**digits) + 0.5) / float(10**digits)
+
+
 def similarity(shared: Column, left: Column, right: Column) -> Column:
     """Words in common over the logarithms of both sizes."""
     return F.when((left > 0) & (right > 0) & (shared > 0), shared / (F.log(left + 1.0) + F.log(right + 1.0))).otherwise(F.lit(0.0))
@@ -115,4 +121,4 @@ def summarise(sents: DataFrame, ranks: DataFrame, most: int = 5) -> DataFrame:
 
     order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "index")
     best = ranks.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
-    return best.join(sents.select("doc_id", "index", "sentence"), ["doc_id", "index"]).select("doc_id", "index", X.collapse(X.strip_list_marker("sentence")).alias("text"), F.round("score", 6).alias("score"))
+    return best.join(sents.select("doc_id", "index", "sentence"), ["doc_id", "index"]).select("doc_id", "index", X.collapse(X.strip_list_marker("sentence")).alias("text"), rounded(F.col("score"), 6).alias("score"))
