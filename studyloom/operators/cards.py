@@ -18,14 +18,15 @@ from ..functions import text as X
 from ..functions import tree as N
 from ..sources.shared import cut
 from ._arrow import map_rows
+from .limits import Limit, with_most, within
 
 FACT = "struct<rank:int,term:string,back:string,family:string,confidence:double,other:string>"
 
 
-def definition_cards(definitions: DataFrame, max_cards: int) -> DataFrame:
+def definition_cards(definitions: DataFrame, max_cards: Limit) -> DataFrame:
     """The best definitions; a property of something is no definition of it."""
     order = Window.partitionBy("doc_id").orderBy("rank")
-    kept = definitions.where(~X.is_property_of("term")).withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= max_cards)
+    kept = within(definitions.where(~X.is_property_of("term")).withColumn("ord", F.row_number().over(order)), max_cards, "ord")
     return kept.select("doc_id", "ord", F.col("term").alias("front"), F.col("definition").alias("back"), F.lit("DEFINITION").alias("kind"), "confidence", "evidence")
 
 
@@ -52,14 +53,15 @@ def choose_facts(facts: Column, room: Column, backs: Column) -> Column:
     return F.aggregate(facts, start, step)["chosen"]
 
 
-def fact_cards(definition_rows: DataFrame, facts: DataFrame, max_cards: int) -> DataFrame:
+def fact_cards(definition_rows: DataFrame, facts: DataFrame, max_cards: Limit) -> DataFrame:
     """The chosen facts of each document after its definition cards, with their fronts."""
-    budget = max(L.FACT_FLOOR, int(max_cards * L.FACT_SHARE))
+    most = F.col("most")
+    budget = F.greatest(F.lit(L.FACT_FLOOR), F.floor(most * L.FACT_SHARE).cast("int"))
     own = facts.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), "term", "back", "family", F.col("confidence").cast("double").alias("confidence"), "other"))).alias("facts"))
     used = definition_rows.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("used"), F.collect_list(X.back_key("back")).alias("backs"), F.collect_list(F.lower("front")).alias("fronts"))
     none = F.array().cast("array<string>")
-    joined = own.join(used, "doc_id", "left").select("doc_id", "facts", F.coalesce("used", F.lit(0)).alias("used"), F.coalesce("backs", none).alias("backs"), F.coalesce("fronts", none).alias("fronts"))
-    room = F.greatest(F.lit(0), F.least(max_cards - F.col("used"), F.lit(budget)))
+    joined = with_most(own.join(used, "doc_id", "left"), max_cards).select("doc_id", "facts", "most", F.coalesce("used", F.lit(0)).alias("used"), F.coalesce("backs", none).alias("backs"), F.coalesce("fronts", none).alias("fronts"))
+    room = F.greatest(F.lit(0), F.least(most - F.col("used"), budget))
     chosen = joined.withColumn("chosen", choose_facts(F.col("facts"), room, F.col("backs")))
     terms = F.concat(F.col("fronts"), F.transform("chosen", lambda c: F.lower(c["term"])))
     rows = chosen.select("doc_id", "used", terms.alias("terms"), F.posexplode("chosen").alias("pos", "c"))
@@ -94,18 +96,22 @@ def cloze_candidates(definitions: DataFrame, sents: DataFrame) -> DataFrame:
     return found.select("doc_id", "rank", X.blank_first("evidence", "asked").alias("front"), X.strip_article("asked").alias("back"), "confidence", "evidence").where("front is not null")
 
 
-def build(definitions: DataFrame, facts: DataFrame, sents: DataFrame | None, max_cards: int = 25, include_cloze: bool = False) -> DataFrame:
-    """doc_id, ord, front, back, kind, confidence, evidence: definitions, then facts, then blanks, max_cards a document."""
+def build(definitions: DataFrame, facts: DataFrame, sents: DataFrame | None, max_cards: Limit = 25, include_cloze: bool | DataFrame = False) -> DataFrame:
+    """doc_id, ord, front, back, kind, confidence, evidence: definitions, then facts, then blanks, max_cards a document.
+
+    include_cloze: whether there are blanks, or the documents (doc_id) that have them.
+    """
     first = definition_cards(definitions, max_cards)
     out = first.unionByName(fact_cards(first, facts, max_cards))
-    if include_cloze and sents is not None:
+    if sents is not None and include_cloze is not False:
+        asked = definitions if include_cloze is True else definitions.join(include_cloze, "doc_id", "left_semi")
         own = Window.partitionBy("doc_id", "front").orderBy("rank")
-        blanks = cloze_candidates(definitions, sents).join(out.select("doc_id", "front").distinct(), ["doc_id", "front"], "left_anti")
+        blanks = cloze_candidates(asked, sents).join(out.select("doc_id", "front").distinct(), ["doc_id", "front"], "left_anti")
         blanks = blanks.withColumn("nth", F.row_number().over(own)).where("nth = 1").withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("rank")))
         sizes = out.groupBy("doc_id").agg(F.max("ord").alias("used"))
         blanks = blanks.join(sizes, "doc_id", "left").select("doc_id", (F.coalesce("used", F.lit(0)) + F.col("place")).alias("ord"), "front", "back", F.lit("CLOZE").alias("kind"), "confidence", "evidence")
         out = out.unionByName(blanks)
-    return out.where(F.col("ord") <= max_cards)
+    return within(out, max_cards, "ord")
 
 
 def distractors(definitions: DataFrame, count: int = L.DISTRACTORS) -> DataFrame:
@@ -116,16 +122,14 @@ def distractors(definitions: DataFrame, count: int = L.DISTRACTORS) -> DataFrame
     return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= count).select("doc_id", "rank", "place", "wrong")
 
 
-def quiz(definitions: DataFrame, max_questions: int = 10) -> DataFrame:
+def quiz(definitions: DataFrame, max_questions: Limit = 10) -> DataFrame:
     """doc_id, ord, prompt, options, correct_index, explanation, evidence. Options are in an order that their texts give."""
-    if max_questions <= 0:
-        definitions = definitions.limit(0)
     strong = definitions.where(F.col("confidence") >= L.MIN_QUIZ_CONFIDENCE).withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("rank"))).where(F.col("nth") <= L.MAX_QUIZ_DEFINITIONS)
     wrong = distractors(definitions).groupBy("doc_id", "rank").agg(F.collect_list("wrong").alias("wrong")).where(F.size("wrong") >= L.DISTRACTORS)
     rows = strong.join(wrong, ["doc_id", "rank"])
     keyed = F.transform(F.concat(F.array("definition"), F.col("wrong")), lambda o: F.struct(X.seeded_order(F.col("term"), F.col("definition"), o).alias("k"), o.alias("o")))
-    rows = rows.withColumn("options", F.transform(F.array_sort(keyed), lambda x: x["o"])).withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("rank"))).where(F.col("ord") <= max(max_questions, 0))
-    return rows.select("doc_id", "ord", F.concat(F.lit("What is "), "term", F.lit("?")).alias("prompt"), "options", (F.array_position("options", F.col("definition")) - 1).cast("int").alias("correct_index"), F.col("definition").alias("explanation"), "evidence")
+    rows = rows.withColumn("options", F.transform(F.array_sort(keyed), lambda x: x["o"])).withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("rank")))
+    return within(rows, max_questions, "ord").select("doc_id", "ord", F.concat(F.lit("What is "), "term", F.lit("?")).alias("prompt"), "options", (F.array_position("options", F.col("definition")) - 1).cast("int").alias("correct_index"), F.col("definition").alias("explanation"), "evidence")
 
 
 def shares_head(left: Column, right: Column) -> Column:

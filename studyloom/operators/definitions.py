@@ -15,6 +15,7 @@ from ..functions import lexicon as L
 from ..functions import text as X
 from ..functions import tree as N
 from ._arrow import map_rows
+from .limits import Limit, within
 
 #: Patterns of a sentence come in this order.
 CUE, COPULAR, APPOSITIVE = range(3)
@@ -68,15 +69,15 @@ def confidence(definition: Column, freq: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 
 
-def first_of_term(found: DataFrame, limit: int) -> DataFrame:
+def first_of_term(found: DataFrame, limit: Limit) -> DataFrame:
     """The first row (by ord) of each term of a document, best first, limit a document; rank says the place."""
     first = Window.partitionBy("doc_id", F.lower("term")).orderBy("ord")
     best = Window.partitionBy("doc_id").orderBy(F.desc("confidence"), "ord")
     kept = found.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
-    return kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("doc_id", "rank", "index", "term", "definition", "evidence", "pattern", "confidence")
+    return within(kept.withColumn("rank", F.row_number().over(best)), limit, "rank").select("doc_id", "rank", "index", "term", "definition", "evidence", "pattern", "confidence")
 
 
-def extract(sents: DataFrame, chunk_counts: DataFrame, limit: int = 100) -> DataFrame:
+def extract(sents: DataFrame, chunk_counts: DataFrame, limit: Limit = 100) -> DataFrame:
     """doc_id, rank, index, term, definition, evidence, pattern, confidence."""
     found = candidates(sents).withColumn("term", X.clean_term("words")).withColumn("definition", X.clean_definition("back"))
     found = found.where(X.is_plausible_term("term") & F.length("definition").between(L.MIN_DEFINITION_CHARS, L.MAX_DEFINITION_CHARS))

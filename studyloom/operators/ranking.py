@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ._arrow import map_rows
+from .limits import Limit, within
 
 
 def frequency_rank(sents: DataFrame) -> DataFrame:
@@ -115,10 +116,10 @@ def sentence_cut(ranks: DataFrame, fraction: float) -> DataFrame:
     return own.where(F.col("place") == at).select("doc_id", F.col("score").alias("cut"))
 
 
-def summarise(sents: DataFrame, ranks: DataFrame, most: int = 5) -> DataFrame:
+def summarise(sents: DataFrame, ranks: DataFrame, most: Limit = 5) -> DataFrame:
     """The top sentences of each document, to be read in the order of index."""
     from ..functions import text as X
 
     order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "index")
-    best = ranks.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    best = within(ranks.withColumn("place", F.row_number().over(order)), most)
     return best.join(sents.select("doc_id", "index", "sentence"), ["doc_id", "index"]).select("doc_id", "index", X.collapse(X.strip_list_marker("sentence")).alias("text"), rounded(F.col("score"), 6).alias("score"))

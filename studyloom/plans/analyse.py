@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import annotate, cards, corpus, definitions, facts, headings, keywords, ranking, salience
+from ..operators.limits import Limit, within
 from ..operators.rules import annotate as by_rules
 from ..sources.requests import Options
 
@@ -28,6 +29,13 @@ class Analysis:
     annotator: annotate.Annotator = by_rules
     frequencies: DataFrame | None = None
     documents: int = 0
+    #: doc_id (once each) and a column for each option, which hold instead of options.
+    limits: DataFrame | None = None
+
+    def most(self, name: str, times: int = 1) -> Limit:
+        if self.limits is None:
+            return times * getattr(self.options, name)
+        return self.limits.select("doc_id", (F.col(name) * times).alias("most"))
 
     @cached_property
     def annotated(self) -> DataFrame:
@@ -60,12 +68,12 @@ class Analysis:
 
     @property
     def keywords(self) -> DataFrame:
-        return self.all_keywords.where(F.col("place") <= self.options.max_keywords)
+        return within(self.all_keywords, self.most("max_keywords"))
 
     @cached_property
     def definitions(self) -> DataFrame:
         # Cards, facts' room and quiz all start from these few rows.
-        return definitions.extract(self.sentences, annotate.chunk_counts(self.chunks), 2 * self.options.max_cards).persist(StorageLevel.MEMORY_AND_DISK)
+        return definitions.extract(self.sentences, annotate.chunk_counts(self.chunks), self.most("max_cards", 2)).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -73,15 +81,16 @@ class Analysis:
 
     @property
     def cards(self) -> DataFrame:
-        return cards.build(self.definitions, self.facts, self.sentences, self.options.max_cards, self.options.include_cloze)
+        blanks = self.options.include_cloze if self.limits is None else self.limits.where("include_cloze").select("doc_id")
+        return cards.build(self.definitions, self.facts, self.sentences, self.most("max_cards"), blanks)
 
     @property
     def quiz(self) -> DataFrame:
-        return cards.quiz(self.definitions, self.options.max_quiz_questions)
+        return cards.quiz(self.definitions, self.most("max_quiz_questions"))
 
     @property
     def summary(self) -> DataFrame:
-        return ranking.summarise(self.sentences, self.ranks, self.options.max_summary_sentences)
+        return ranking.summarise(self.sentences, self.ranks, self.most("max_summary_sentences"))
 
     @property
     def headings(self) -> DataFrame:

@@ -14,7 +14,7 @@ import threading
 import time
 from dataclasses import fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -32,35 +32,28 @@ def source(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFr
 def answers(parsed: DataFrame, frequencies: DataFrame, documents: int, options: Options = Options(), opened: list[Analysis] | None = None, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """(job_id, correlation_id, reply_to, error, result), vocabulary of the batch's documents.
 
-    A job's own options override the defaults where they are given. opened takes the analyses, for the caller to close.
+    A job's own options override the defaults where they are given; they go through one plan as columns, so it stays the
+    same size however many there are. opened takes the analyses, for the caller to close.
     """
     opened = opened if opened is not None else []
     good = parsed.where("is_good").dropDuplicates(["job_id"]).withColumn("doc_id", F.xxhash64("job_id"))
     valid, bad = requests.split(good, max_chars=settings.max_text_chars)
     annotator = service.annotator(settings)
-    wanted = valid.select("doc_id", *(F.coalesce(F.col(f"options.{f.name}"), F.lit(getattr(options, f.name))).alias(f.name) for f in fields(Options)))
-    names = [f.name for f in fields(Options)]
-    shared = Analysis(valid, options, annotator, frequencies=frequencies, documents=documents)
-    opened.append(shared)
-    out = None
-    # Limits shape what is chosen, so jobs with equal options are planned together; all share one annotation.
-    for row in wanted.select(*names).distinct().collect():
-        own = Analysis(valid, Options(**fit(row.asDict())), annotator, frequencies=frequencies, documents=documents)
-        own.annotated, own.all_keywords = shared.annotated, shared.all_keywords
-        opened.append(own)
-        same = wanted.where(" and ".join(f"{n} = {str(row[n]).lower()}" for n in names)).select("doc_id")
-        rows = own.result().join(same, "doc_id").select("doc_id", F.to_json(F.struct("cards", "quiz", "keywords", "summary", "stats")).alias("result"))
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        out = valid.select("doc_id", F.lit(None).cast("string").alias("result")).limit(0)
+    wanted = valid.select("doc_id", *(fitted(f.name, F.coalesce(F.col(f"options.{f.name}"), F.lit(getattr(options, f.name)))).alias(f.name) for f in fields(Options)))
+    analysis = Analysis(valid, options, annotator, frequencies, documents, wanted)
+    opened.append(analysis)
+    out = analysis.result().select("doc_id", F.to_json(F.struct("cards", "quiz", "keywords", "summary", "stats")).alias("result"))
     done = valid.join(out, "doc_id", "left").select("job_id", "correlation_id", "reply_to", F.lit(None).cast("string").alias("error"), "result")
     failed = good.join(bad, "doc_id").select("job_id", "correlation_id", "reply_to", F.col("message").alias("error"), F.lit(None).cast("string").alias("result"))
-    return done.unionByName(failed), shared.vocabulary
+    return done.unionByName(failed), analysis.vocabulary
 
 
-def fit(values: dict) -> dict:
-    """Options brought into their ranges."""
-    return {n: v if n not in L.OPTION_RANGES else min(max(v, L.OPTION_RANGES[n][1]), L.OPTION_RANGES[n][2]) for n, v in values.items()}
+def fitted(name: str, value: Column) -> Column:
+    """An option brought into its range."""
+    if name not in L.OPTION_RANGES:
+        return value
+    _, least, most = L.OPTION_RANGES[name]
+    return F.greatest(F.lit(least), F.least(value, F.lit(most)))
 
 
 def run(spark: SparkSession, job_path: str, result_path: str, dead_path: str, state_path: str, checkpoint: str, files_per_trigger: int = 1, settings: Settings = Settings()) -> StreamingQuery:

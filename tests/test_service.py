@@ -8,7 +8,9 @@ import pytest
 
 from studyloom import __version__, fixtures
 from studyloom.operators import annotate, cards, rules
-from studyloom.sources import relations, requests, service, state
+from studyloom.plans.analyse import Analysis
+from studyloom.sources import jobs, relations, requests, service, state
+from studyloom.sources.requests import Options
 from studyloom.sources.settings import NAMES, Settings
 from studyloom.streaming import jobs as stream
 
@@ -87,3 +89,16 @@ def test_a_stream_by_its_settings(spark, tmp_path):
     found = spark.read.json(places["result_path"]).collect()
     assert {r.queue for r in found} == {"answers"}
     assert {r.correlation: json.loads(r.message)["error"] for r in found} == {"a": None, "b": "text: 99 characters, at most 50"}
+
+
+def test_every_job_has_its_own_limits(spark):
+    given = [{}, {"max_cards": 2, "max_keywords": 3}, {"max_cards": 9, "include_cloze": True, "max_summary_sentences": 2}, {"max_quiz_questions": 1}, {"max_cards": 0}]
+    lines = [(json.dumps({"job_id": str(n), "text": fixtures.LESSON, "options": o}),) for n, o in enumerate(given)]
+    found, _ = stream.answers(jobs.parse(spark.createDataFrame(lines, "value string")), spark.createDataFrame([], "term string, df long"), 0)
+    results = {int(r.job_id): json.loads(r.result) for r in found.collect()}
+    docs = spark.createDataFrame([(1, fixtures.LESSON)], "doc_id long, text string")
+    for n, options in enumerate(given):
+        alone = Analysis(docs, Options(**{**options, **({"max_cards": 1} if options.get("max_cards") == 0 else {})})).result().toJSON().first()
+        for name in ("cards", "quiz", "summary"):
+            assert results[n].get(name) == json.loads(alone).get(name), (n, name)
+        assert len(results[n]["keywords"]) == options.get("max_keywords", len(results[0]["keywords"]))
