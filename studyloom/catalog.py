@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from . import fixtures, oracles
 from .functions import lexicon as L
 from .functions import text as X
-from .operators import annotate, cards, corpus, definitions, facts, headings, keywords, ranking, salience, surface
-from .plans.analyse import Analysis, part
+from .operators import annotate, cards, corpus, definitions, digest, facts, headings, keywords, ranking, salience, surface
+from .plans.analyse import KEPT, Analysis, part
 from .sources import jobs, requests, webhook
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -233,8 +233,9 @@ def annotated(spark, sf_dir):
     return annotate.annotate(documents(spark, sf_dir))
 
 
-def analysis(spark, sf_dir):
-    return Analysis(documents(spark, sf_dir))
+def analysis(spark, sf_dir, name=None):
+    """The analysis of all documents, which keeps what the named part needs; all if there is no name."""
+    return Analysis(documents(spark, sf_dir), kept=KEPT.get(name))
 
 
 @query
@@ -244,20 +245,24 @@ def tree_tokens(spark, sf_dir):
 
 @query
 def tree_definitions(spark, sf_dir):
-    return analysis(spark, sf_dir).definitions.select("doc_id", "rank", "index", "term", "definition", "pattern", F.round("confidence", 6).alias("confidence"))
+    return analysis(spark, sf_dir, "definitions").definitions.select("doc_id", "rank", "index", "term", "definition", "pattern", F.round("confidence", 6).alias("confidence"))
 
 
 @query
 def tree_facts(spark, sf_dir):
-    return analysis(spark, sf_dir).facts.select("doc_id", "rank", "index", "term", "back", "family", "pattern", "confidence", "other")
+    return analysis(spark, sf_dir, "facts").facts.select("doc_id", "rank", "index", "term", "back", "family", "pattern", "confidence", "other")
 
 
 def facts_of(sents: DataFrame, pattern: str) -> DataFrame:
-    return facts.candidates(sents).where(F.col("pattern") == pattern).select("doc_id", "pattern", X.clean_term("words").alias("term"), X.clean_definition("back_text").alias("back"))
+    return shown(facts.candidates(sents).where(F.col("pattern") == pattern))
+
+
+def shown(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "pattern", X.clean_term("words").alias("term"), X.clean_definition("back_text").alias("back"))
 
 
 def tree_fact_query(pattern: str) -> Query:
-    return lambda spark, sf_dir: facts_of(annotate.sentences(annotated(spark, sf_dir)), pattern)
+    return lambda spark, sf_dir: shown(digest.pattern_facts(documents(spark, sf_dir), pattern))
 
 
 for _pattern in L.FAMILY:
@@ -267,13 +272,13 @@ for _pattern in L.FAMILY:
 @query
 def tree_term_distractors(spark, sf_dir):
     """Wrong answers among the terms that a document defines; the given relations are the lexicon."""
-    terms = analysis(spark, sf_dir).definitions.select("doc_id", "term")
+    terms = analysis(spark, sf_dir, "definitions").definitions.select("doc_id", "term")
     return cards.term_distractors(terms, terms, fixtures.relations(spark))
 
 
 @query
 def analyse_keywords(spark, sf_dir):
-    return analysis(spark, sf_dir).keywords
+    return analysis(spark, sf_dir, "keywords").keywords
 
 
 @query
@@ -293,7 +298,7 @@ def analyse_summary(spark, sf_dir):
 
 @query
 def analyse_salience(spark, sf_dir):
-    return salience.sentence_salience(analysis(spark, sf_dir).ranks)
+    return salience.sentence_salience(analysis(spark, sf_dir, "ranks").ranks)
 
 
 @query

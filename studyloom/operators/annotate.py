@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
@@ -80,21 +80,25 @@ def chunk_counts(chunk_rows: DataFrame) -> DataFrame:
     return chunk_rows.groupBy("doc_id", F.lower(N.text_of(F.col("span"))).alias("chunk")).agg(F.count(F.lit(1)).alias("freq"))
 
 
+def is_topic(text: Column) -> Column:
+    """Whether a phrase's text can be a keyword: long enough, and not filler alone."""
+    low = F.lower(text)
+    own = F.filter(F.split(low, " +"), lambda w: ~w.isin(*L.FILLER_LINKS))
+    return (F.length(text) >= L.MIN_TERM_CHARS) & ~low.isin(*L.DOMAIN_FILLER) & ~((F.size(own) > 0) & F.forall(own, lambda w: w.isin(*L.DOMAIN_FILLER)))
+
+
 def phrases(chunk_rows: DataFrame) -> DataFrame:
     """Keyword candidates of noun chunks: doc_id, key, display, position, total."""
     span, text = F.col("span"), N.text_of(F.col("span"))
-    seen, low = content(span), F.lower(text)
+    seen = content(span)
     topical = F.filter(seen, lambda t: t["pos"].isin(*L.CONTENT_POS))
-    own = F.filter(F.split(low, " +"), lambda w: ~w.isin(*L.FILLER_LINKS))
     fits = (
-        F.size(seen).between(1, L.MAX_PHRASE_TOKENS)
-        & (F.length(text) >= L.MIN_TERM_CHARS)
+        is_topic(text)
+        & F.size(seen).between(1, L.MAX_PHRASE_TOKENS)
         & (F.size(topical) > 0)
         & (F.size(topical) >= 0.5 * F.size(seen))
         & ~F.exists(topical, lambda t: t["is_stop"])
         & F.exists(seen, lambda t: t["is_alpha"])
-        & ~low.isin(*L.DOMAIN_FILLER)
-        & ~((F.size(own) > 0) & F.forall(own, lambda w: w.isin(*L.DOMAIN_FILLER)))
     )
     return chunk_rows.where(fits).select("doc_id", N.key_of(span).alias("key"), X.display_form(text).alias("display"), F.col("start").alias("position"), "total")
 

@@ -19,6 +19,7 @@ from .limits import Limit, within
 
 #: Patterns of a sentence come in this order.
 CUE, COPULAR, APPOSITIVE = range(3)
+CANDIDATE = "pattern_ord:int,tok:int,pattern:string,words:string,term_text:string,term_pos:string,single:boolean,back:string"
 
 
 def passes_guards(s: N.Sentence, head: N.Token, subject: N.Token, span: N.Span) -> bool:
@@ -49,15 +50,22 @@ def found_in(s: N.Sentence) -> Iterator[tuple[int, N.Token, str, N.Span, N.Span]
                 yield order, t, "hypernym" if marked else pattern, term, back
 
 
+def found(s: N.Sentence) -> Iterator[tuple]:
+    """The values of CANDIDATE of each candidate."""
+    for order, t, pattern, term, back in found_in(s):
+        yield order, t["i"], pattern, N.visible_words(term), N.text(term), N.head_of(term)["pos"], len(term) == 1 and term[0]["is_alpha"], N.text(back)
+
+
 def candidates(sents: DataFrame) -> DataFrame:
-    """A row per candidate: doc_id, index, sentence, pattern_ord, tok, pattern, words, term_text, term_pos, single, back."""
+    """A row per candidate: doc_id, index, sentence and CANDIDATE; of trees, or of candidates that a digest has found."""
+    if "definitions" in sents.columns:
+        return sents.select("doc_id", "index", "sentence", F.inline("definitions"))
 
     def run(doc, index, sentence, toks) -> Iterator[tuple]:
-        for order, t, pattern, term, back in found_in(N.Sentence(toks)):
-            yield doc, index, sentence, order, t["i"], pattern, N.visible_words(term), N.text(term), N.head_of(term)["pos"], len(term) == 1 and term[0]["is_alpha"], N.text(back)
+        return ((doc, index, sentence, *x) for x in found(N.Sentence(toks)))
 
     kind = sents.schema["doc_id"].dataType.simpleString()
-    return map_rows(sents.select("doc_id", "index", "sentence", "toks"), f"doc_id {kind}, index int, sentence string, pattern_ord int, tok int, pattern string, words string, term_text string, term_pos string, single boolean, back string", run)
+    return map_rows(sents.select("doc_id", "index", "sentence", "toks"), f"doc_id {kind}, index int, sentence string, {CANDIDATE}", run)
 
 
 def confidence(definition: Column, freq: Column) -> Column:

@@ -7,6 +7,7 @@ all that follows is built in.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,16 +16,22 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as X
 from ..functions import tree as N
+from . import rules
 from ._arrow import map_rows
 
 PREDICATE_PATTERNS = ("differ_from", "unlike", "ordered_chain", "temporal_advcl")
+#: leans: on a pronoun.
+CANDIDATE = "family_ord:int,tok:int,pattern:string,words:string,term_text:string,term_pos:string,raw_key:string,back_text:string,leans:boolean,other_words:string"
 Shape = tuple[str, N.Token | None, N.Token | None, N.Token | None]
 NOTHING: Shape = ("", None, None, None)
 
 
 def property_shape(s: N.Sentence, t: N.Token) -> Shape:
-    lemma, subject = N.lemma(t), s.subject(t)
-    if t["pos"] not in ("VERB", "AUX") or subject is None or s.negated(t):
+    lemma = N.lemma(t)
+    if t["pos"] not in ("VERB", "AUX") or not (lemma == "be" or lemma in L.COMPOSITION_VERBS or lemma in L.POSSESSION_VERBS):
+        return NOTHING
+    subject = s.subject(t)
+    if subject is None or s.negated(t):
         return NOTHING
     material = s.prep_object(t, L.COMPOSITION_PREPS)
     if lemma in L.COMPOSITION_VERBS and material is not None:
@@ -59,7 +66,8 @@ def comparison_shape(s: N.Sentence, t: N.Token) -> Shape:
 
 def purpose_shape(s: N.Sentence, t: N.Token) -> Shape:
     lemma = N.lemma(t)
-    if t["pos"] not in ("VERB", "AUX", "ADJ") or s.negated(t):
+    known = lemma in L.PURPOSE_VERBS or lemma in L.USEFUL_ADJECTIVES or lemma in L.ENABLING_VERBS
+    if not known or t["pos"] not in ("VERB", "AUX", "ADJ") or s.negated(t):
         return NOTHING
     if lemma in L.PURPOSE_VERBS and s.child(t, "auxpass"):
         goal = s.child(t, "xcomp", "pcomp", "advcl") or s.prep_object(t, ("for",))
@@ -70,7 +78,8 @@ def purpose_shape(s: N.Sentence, t: N.Token) -> Shape:
 
 
 def process_shape(s: N.Sentence, t: N.Token) -> Shape:
-    if s.negated(t):
+    known = N.lemma(t) in L.PROCEDURAL_VERBS or t["dep"] == "advcl" or t["dep"] == "ROOT" and t["pos"] == "VERB"
+    if not known or s.negated(t):
         return NOTHING
     if N.lemma(t) in L.PROCEDURAL_VERBS:
         return "begin_by", s.subject(t), s.prep_object(t, ("by",)), None
@@ -83,6 +92,34 @@ def process_shape(s: N.Sentence, t: N.Token) -> Shape:
     return NOTHING
 
 
+def forms(*lemmas: str) -> re.Pattern:
+    """Finds every word that the rule annotator gives one of the lemmas, and some more."""
+    known = {**rules.IRREGULAR, **rules.NOUNS, **rules.BE, **rules.HAVE, **rules.DO}
+    words = {w for w, x in known.items() if x in lemmas}
+    for x in lemmas:
+        words |= {x + end for end in ("", "s", "es", "d", "ed", "ing", "er", "r", x[-1] + "ed", x[-1] + "ing")}
+        words |= {x[:-1] + end for end in ("ies", "ied", "ing")}
+    return re.compile(rf"(?i)(?<![a-z])(?:{'|'.join(sorted(words))})(?![a-z])")
+
+
+#: What sentences must hold, of each set a word, for a pattern to be found in them by the rule annotator.
+NEEDED = {
+    "consist_of": (forms(*L.COMPOSITION_VERBS), forms(*L.COMPOSITION_PREPS)),
+    "possess_property": (forms(*L.POSSESSION_VERBS), forms(*L.PROPERTY_NOUNS)),
+    "possess_salient": (forms(*L.POSSESSION_VERBS),),
+    "be_of": (forms("be"), forms(*L.COMPOSITION_PREPS)),
+    "difference_between": (forms(*L.COMPARISON_NOUNS), forms("between")),
+    "differ_from": (forms(*L.DIFFERS_VERBS), forms("from")),
+    "unlike": (forms(*L.UNLIKE_MARKERS),),
+    "comparative_than": (forms("than"),),
+    "used_to_xcomp": (forms(*L.PURPOSE_VERBS),),
+    "used_for": (forms(*L.PURPOSE_VERBS), forms("for")),
+    "useful_for": (forms(*L.USEFUL_ADJECTIVES), forms("for")),
+    "enable": (forms(*L.ENABLING_VERBS),),
+    "begin_by": (forms(*L.PROCEDURAL_VERBS), forms("by")),
+    "ordered_chain": (forms(*L.ORDERING_ADVERBS),),
+    "temporal_advcl": (forms(*L.TEMPORAL_MARKS),),
+}
 SHAPES = (property_shape, comparison_shape, purpose_shape, process_shape)
 
 
@@ -97,24 +134,29 @@ def spans(s: N.Sentence, shape: Shape) -> tuple[N.Span | None, N.Span | None, N.
     return first, second, None if other is None else s.participant(other)
 
 
+def found(s: N.Sentence) -> Iterator[tuple]:
+    """The values of CANDIDATE of each candidate."""
+    for order, of in enumerate(SHAPES):
+        for t in s.toks:
+            shape = of(s, t)
+            if shape[1] is None or shape[2] is None:
+                continue
+            term, back, other = spans(s, shape)
+            if term and back:
+                leans = any(x["lower"] in L.UNRESOLVED_PRONOUNS and x["pos"] == "PRON" for x in back)
+                yield order, t["i"], shape[0], N.visible_words(term), N.text(term), N.head_of(term)["pos"], N.phrase_key(term), N.text(back), leans, N.visible_words(other or [])
+
+
 def candidates(sents: DataFrame) -> DataFrame:
-    """A row per candidate: doc_id, index, sentence, family_ord, tok, pattern, words, term_text, term_pos, raw_key,
-    back_text, leans (on a pronoun), other_words."""
+    """A row per candidate: doc_id, index, sentence and CANDIDATE; of trees, or of candidates that a digest has found."""
+    if "facts" in sents.columns:
+        return sents.select("doc_id", "index", "sentence", F.inline("facts"))
 
     def run(doc, index, sentence, toks) -> Iterator[tuple]:
-        s = N.Sentence(toks)
-        for order, of in enumerate(SHAPES):
-            for t in toks:
-                shape = of(s, t)
-                if shape[1] is None or shape[2] is None:
-                    continue
-                term, back, other = spans(s, shape)
-                if term and back:
-                    leans = any(x["lower"] in L.UNRESOLVED_PRONOUNS and x["pos"] == "PRON" for x in back)
-                    yield doc, index, sentence, order, t["i"], shape[0], N.visible_words(term), N.text(term), N.head_of(term)["pos"], N.phrase_key(term), N.text(back), leans, N.visible_words(other or [])
+        return ((doc, index, sentence, *x) for x in found(N.Sentence(toks)))
 
     kind = sents.schema["doc_id"].dataType.simpleString()
-    return map_rows(sents.select("doc_id", "index", "sentence", "toks"), f"doc_id {kind}, index int, sentence string, family_ord int, tok int, pattern string, words string, term_text string, term_pos string, raw_key string, back_text string, leans boolean, other_words string", run)
+    return map_rows(sents.select("doc_id", "index", "sentence", "toks"), f"doc_id {kind}, index int, sentence string, {CANDIDATE}", run)
 
 
 def literal_map(values: dict) -> Column:

@@ -1,7 +1,7 @@
 """The whole plan: from documents to cards, quiz, keywords, summary and counts.
 
-Documents are annotated once and kept (persisted, spilling to disk); every part reads that table. A part that is not
-asked for is no part of the plan that runs. Keywords are scored as of the documents before, in the order of seq, so a
+Documents are annotated once, and what the parts need of their trees is kept (persisted, spilling to disk); every part
+reads that table. A part that is not asked for is no part of the plan that runs. Keywords are scored as of the documents before, in the order of seq, so a
 document never weighs its own words.
 """
 
@@ -14,12 +14,24 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import annotate, cards, corpus, definitions, facts, headings, keywords, ranking, salience
+from ..operators import annotate, cards, corpus, definitions, digest, facts, headings, keywords, ranking, salience
 from ..operators.limits import Limit, within
 from ..operators.rules import annotate as by_rules
 from ..sources.requests import Options
 
 
+#: What each part needs of the trees.
+KEPT = {
+    "summary": (digest.WORDS,),
+    "ranks": (digest.WORDS,),
+    "keywords": (digest.PHRASES, digest.TERMS),
+    "definitions": (digest.DEFINITIONS,),
+    "quiz": (digest.DEFINITIONS,),
+    "facts": (digest.WORDS, digest.FACTS, digest.PHRASES, digest.TERMS),
+    "cards": digest.ALL,
+}
+
+
 @dataclass
 class Analysis:
     """The parts of an analysis; each is a DataFrame that is planned when first asked for."""
@@ -31,6 +43,8 @@ class Analysis:
     documents: int = 0
     #: doc_id (once each) and a column for each option, which hold instead of options.
     limits: DataFrame | None = None
+    #: What is kept of the trees; trees themselves only for blanks.
+    kept: tuple[str, ...] | None = None
 
     def most(self, name: str, times: int = 1) -> Limit:
         if self.limits is None:
@@ -39,19 +53,17 @@ class Analysis:
 
     @cached_property
     def annotated(self) -> DataFrame:
-        return annotate.annotate(self.docs, annotator=self.annotator).persist(StorageLevel.MEMORY_AND_DISK)
+        blanks = self.options.include_cloze or self.limits is not None
+        kept = self.kept or tuple(x for x in digest.ALL if blanks or x != digest.TREES)
+        return digest.digest(self.docs, self.annotator, kept).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def sentences(self) -> DataFrame:
-        return annotate.sentences(self.annotated)
-
-    @cached_property
-    def chunks(self) -> DataFrame:
-        return annotate.chunks(self.annotated)
+        return digest.sentences(self.annotated)
 
     @cached_property
     def vocabulary(self) -> DataFrame:
-        return annotate.vocabulary(self.annotated)
+        return digest.vocabulary(self.annotated)
 
     @cached_property
     def ranks(self) -> DataFrame:
@@ -64,7 +76,7 @@ class Analysis:
             known = self.frequencies.select("term", F.col("df").alias("known"))
             df = self.vocabulary.select("doc_id", F.explode("terms").alias("term")).join(df, ["doc_id", "term"], "left").join(known, "term", "left").select("doc_id", "term", (F.coalesce("df", F.lit(0)) + F.coalesce("known", F.lit(0))).alias("df"))
         documents = documents.withColumn("documents", F.col("documents") + self.documents)
-        return keywords.ranked(keywords.score(keywords.counts(annotate.phrases(self.chunks)), documents, df))
+        return keywords.ranked(keywords.score(keywords.counts(digest.phrases(self.annotated)), documents, df))
 
     @property
     def keywords(self) -> DataFrame:
@@ -73,7 +85,7 @@ class Analysis:
     @cached_property
     def definitions(self) -> DataFrame:
         # Cards, facts' room and quiz all start from these few rows.
-        return definitions.extract(self.sentences, annotate.chunk_counts(self.chunks), self.most("max_cards", 2)).persist(StorageLevel.MEMORY_AND_DISK)
+        return definitions.extract(self.sentences, digest.chunk_counts(self.annotated), self.most("max_cards", 2)).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -98,7 +110,7 @@ class Analysis:
 
     @property
     def stats(self) -> DataFrame:
-        return annotate.stats(self.annotated)
+        return digest.stats(self.annotated)
 
     def close(self) -> None:
         """Gives up the rows that are kept between the parts."""
@@ -123,4 +135,4 @@ class Analysis:
 
 def part(docs: DataFrame, name: str, limit: int = 25, **more) -> DataFrame:
     """One part (cards, quiz, keywords or summary) with its limit brought into range; the others are not planned."""
-    return getattr(Analysis(docs, Options.part(name, limit), **more), name)
+    return getattr(Analysis(docs, Options.part(name, limit), **({"kept": KEPT[name]} | more)), name)
