@@ -20,10 +20,12 @@ from . import annotate, definitions, facts, rules
 from ._arrow import map_rows
 
 #: What a digest can hold: sentences' content words, candidates of definitions (with how often their chunk is named) and
-#: of facts, trees of sentences with a definition, keyword phrases, vocabulary.
+#: of facts, tokens of sentences with a definition, keyword phrases, vocabulary.
 WORDS, DEFINITIONS, FACTS, TREES, PHRASES, TERMS = ALL = ("words", "definitions", "facts", "trees", "phrases", "terms")
+#: What blanking a term needs of a token.
+SHOWN = ("i", "text", "pos", "is_punct", "is_space", "ent_type", "ws")
 #: Fields of a sentence and columns of a row that are there if they are asked for.
-OF_SENTENCE = {WORDS: "words:array<string>", DEFINITIONS: f"definitions:array<struct<{definitions.CANDIDATE}>>", FACTS: f"facts:array<struct<{facts.CANDIDATE}>>", TREES: f"toks:{N.TOKENS}"}
+OF_SENTENCE = {WORDS: "words:array<string>", DEFINITIONS: f"definitions:array<struct<{definitions.CANDIDATE}>>", FACTS: f"facts:array<struct<{facts.CANDIDATE}>>", TREES: "toks:array<struct<i:int,text:string,pos:string,is_punct:boolean,is_space:boolean,ent_type:string,ws:string>>"}
 OF_ROW = {DEFINITIONS: "chunks array<struct<chunk:string,freq:long>>", PHRASES: "keys array<string>, texts array<string>, starts array<int>", TERMS: "terms array<string>"}
 
 
@@ -31,57 +33,88 @@ def names(ddl: str) -> list[str]:
     return [f.split(":")[0] for f in ddl.split(",")]
 
 
-def fits(seen: N.Span) -> bool:
+class Plain:
+    """A token of an annotator's tree, as the rules' tagged tokens are."""
+
+    __slots__ = ("text", "ws", "lemma", "pos", "alpha", "stop", "punct", "seen", "space")
+
+    def __init__(self, t: N.Token) -> None:
+        self.text, self.ws, self.lemma, self.pos, self.alpha, self.stop, self.space = t["text"], t["ws"], t["lemma"], t["pos"], t["is_alpha"], t["is_stop"], t["is_space"]
+        self.punct, self.seen = t["is_punct"], N.seen(t)
+
+
+Tokens = list[Plain] | list[rules.Tok]
+
+
+def reader(annotator: annotate.Annotator, wanted: Callable[[str], bool] | None = None) -> Callable:
+    """From a text: tokens, ranges of chunks and of sentences, and what gives a range's tree. The rules make a tree when it is asked for."""
+    if annotator is rules.annotate:
+
+        def read(text: str | None) -> tuple:
+            toks, chunks, sents = rules.tagged(text, wanted)
+            return toks, chunks, sents, lambda a, b: rules.tree(toks[a:b])
+    else:
+
+        def read(text: str | None) -> tuple:
+            trees, *ranges = annotator(text)
+            return list(map(Plain, trees)), *([(r["start"], r["end"]) for r in own] for own in ranges), lambda a, b: trees[a:b]
+
+    return read
+
+
+def fits(seen: Tokens) -> bool:
     """What makes a sentence usable besides its length."""
-    letters = sum(t["is_alpha"] for t in seen)
-    return len(seen) >= L.MIN_SENTENCE_WORDS and letters >= L.MIN_ALPHA_SHARE * len(seen) and any(t["pos"] in ("VERB", "AUX") for t in seen)
+    letters = sum([t.alpha for t in seen])
+    return len(seen) >= L.MIN_SENTENCE_WORDS and letters >= L.MIN_ALPHA_SHARE * len(seen) and any(t.pos in ("VERB", "AUX") for t in seen)
 
 
-def is_phrase(span: N.Span) -> bool:
+def is_phrase(span: Tokens) -> bool:
     """What makes a chunk a keyword phrase besides its text."""
-    seen = [t for t in span if N.seen(t)]
-    topical = [t for t in seen if t["pos"] in L.CONTENT_POS]
-    return 1 <= len(seen) <= L.MAX_PHRASE_TOKENS and 0 < len(topical) >= 0.5 * len(seen) and not any(t["is_stop"] for t in topical) and any(t["is_alpha"] for t in seen)
+    seen = [t for t in span if t.seen]
+    topical = [t for t in seen if t.pos in L.CONTENT_POS]
+    return 1 <= len(seen) <= L.MAX_PHRASE_TOKENS and 0 < len(topical) >= 0.5 * len(seen) and not any([t.stop for t in topical]) and any([t.alpha for t in seen])
 
 
-def written(span: N.Span) -> str:
-    return "".join([t["text"] + t["ws"] for t in span]).rstrip(" ")
+def written(span: Tokens) -> str:
+    return "".join([t.text + t.ws for t in span]).rstrip(" ")
 
 
-def digest(docs: DataFrame, annotator: annotate.Annotator = rules.annotate, of: tuple[str, ...] = ALL, text_col: str = "text") -> DataFrame:
-    """A row per row of docs: doc_id, total, n_tokens, n_chunks, sents, and what of names."""
+def digest(docs: DataFrame, annotator: annotate.Annotator = rules.annotate, of: tuple[str, ...] = ALL, text_col: str = "text", wanted: Callable[[str], bool] | None = None) -> DataFrame:
+    """A row per row of docs: doc_id, total, n_tokens, n_chunks, sents, and what of names; wanted as of the rules."""
     asked, ids = set(of), docs.schema["doc_id"].dataType.simpleString()
     of_definition, of_fact = names(definitions.CANDIDATE), names(facts.CANDIDATE)
+    read = reader(annotator, wanted)
 
     def run(doc, repeated, text) -> Iterator[tuple]:
-        tokens, chunks, ranges = annotator(text)
+        tokens, chunks, ranges, tree = read(text)
         sents, backs = [], set()
-        for r in ranges:
-            toks = tokens[r["start"] : r["end"]]
-            seen = [t for t in toks if not t["is_punct"] and not t["is_space"]]
-            if not fits(seen):
+        for a, b in ranges:
+            toks = tokens[a:b]
+            if not fits([t for t in toks if t.seen]):
                 continue
-            s, own = N.Sentence(toks), {"sentence": written(toks)}
+            own = {"sentence": written(toks)}
             if WORDS in asked:
-                own["words"] = [t["lemma"] for t in toks if t["is_alpha"] and not t["is_stop"] and len(t["text"]) > 2]
-            if DEFINITIONS in asked:
-                own["definitions"] = [dict(zip(of_definition, x, strict=True)) for x in definitions.found(s)]
-                backs.update(x["term_text"].lower() for x in own["definitions"])
-                if TREES in asked and own["definitions"]:
-                    own["toks"] = toks
-            if FACTS in asked:
-                own["facts"] = [dict(zip(of_fact, x, strict=True)) for x in facts.found(s)]
+                own["words"] = [t.lemma for t in toks if t.alpha and not t.stop and len(t.text) > 2]
+            if DEFINITIONS in asked or FACTS in asked:
+                s = N.Sentence(tree(a, b))
+                if DEFINITIONS in asked:
+                    own["definitions"] = [dict(zip(of_definition, x, strict=True)) for x in definitions.found(s)]
+                    backs.update(x["term_text"].lower() for x in own["definitions"])
+                    if TREES in asked and own["definitions"]:
+                        own["toks"] = [{x: t[x] for x in SHOWN} for t in s.toks]
+                if FACTS in asked:
+                    own["facts"] = [dict(zip(of_fact, x, strict=True)) for x in facts.found(s)]
             sents.append(own)
         more = []
         if DEFINITIONS in asked:
-            named = Counter(written(tokens[c["start"] : c["end"]]).lower() for c in chunks) if backs or repeated else {}
+            named = Counter(written(tokens[a:b]).lower() for a, b in chunks) if backs or repeated else {}
             more.append([{"chunk": k, "freq": n} for k, n in named.items() if repeated or k in backs])
         if PHRASES in asked:
-            spans = [(c["start"], span) for c in chunks if is_phrase(span := tokens[c["start"] : c["end"]])]
-            more += [[N.phrase_key(span) for _, span in spans], [written(span) for _, span in spans], [at for at, _ in spans]]
+            spans = [(a, span) for a, b in chunks if is_phrase(span := tokens[a:b])]
+            more += [[" ".join([t.lemma.lower() for t in span if not t.punct]) for _, span in spans], [written(span) for _, span in spans], [at for at, _ in spans]]
         if TERMS in asked:
-            more.append(list(dict.fromkeys(t["lemma"] for t in tokens if t["is_alpha"] and not t["is_stop"] and len(t["text"]) >= L.MIN_TERM_CHARS and t["pos"] in L.CONTENT_POS)))
-        yield doc, max(1, sum(map(N.seen, tokens))), sum(not t["is_space"] for t in tokens), len(chunks), sents, *more
+            more.append(list(dict.fromkeys([t.lemma for t in tokens if t.pos in L.CONTENT_POS and t.alpha and not t.stop and len(t.text) >= L.MIN_TERM_CHARS])))
+        yield doc, max(1, sum([t.seen for t in tokens])), sum([not t.space for t in tokens]), len(chunks), sents, *more
 
     rows = docs.select("doc_id", F.lit(False).alias("repeated"), X.normalise(text_col).alias("text"))
     if DEFINITIONS in asked:
@@ -132,5 +165,5 @@ def sentences_with(pattern: str) -> Callable[[str], bool]:
 def pattern_facts(docs: DataFrame, pattern: str) -> DataFrame:
     """Candidates of one fact pattern, of trees of the sentences that can have one: doc_id and the columns of facts.found."""
     wanted = sentences_with(pattern)
-    made = digest(docs, lambda text: rules.annotate(text, wanted), (FACTS,))
+    made = digest(docs, of=(FACTS,), wanted=wanted)
     return sentences(made).select("doc_id", F.inline("facts")).where(F.col("pattern") == pattern)

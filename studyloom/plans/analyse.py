@@ -27,8 +27,8 @@ KEPT = {
     "keywords": (digest.PHRASES, digest.TERMS),
     "definitions": (digest.DEFINITIONS,),
     "quiz": (digest.DEFINITIONS,),
-    "facts": (digest.WORDS, digest.FACTS, digest.PHRASES, digest.TERMS),
-    "cards": digest.ALL,
+    "facts": (digest.WORDS, digest.FACTS, digest.PHRASES),
+    "cards": (digest.WORDS, digest.DEFINITIONS, digest.FACTS, digest.TREES, digest.PHRASES),
 }
 
 
@@ -43,7 +43,7 @@ class Analysis:
     documents: int = 0
     #: doc_id (once each) and a column for each option, which hold instead of options.
     limits: DataFrame | None = None
-    #: What is kept of the trees; trees themselves only for blanks.
+    #: What is kept of the trees; their tokens only for blanks.
     kept: tuple[str, ...] | None = None
 
     def most(self, name: str, times: int = 1) -> Limit:
@@ -55,7 +55,9 @@ class Analysis:
     def annotated(self) -> DataFrame:
         blanks = self.options.include_cloze or self.limits is not None
         kept = self.kept or tuple(x for x in digest.ALL if blanks or x != digest.TREES)
-        return digest.digest(self.docs, self.annotator, kept).persist(StorageLevel.MEMORY_AND_DISK)
+        made = digest.digest(self.docs, self.annotator, kept).persist(StorageLevel.MEMORY_AND_DISK)
+        made.count()  # now; else stages that start together each annotate the same documents
+        return made
 
     @cached_property
     def sentences(self) -> DataFrame:
@@ -67,7 +69,8 @@ class Analysis:
 
     @cached_property
     def ranks(self) -> DataFrame:
-        return ranking.rank_sentences(self.sentences)
+        # Few rows that the summary, both cuts and the facts read.
+        return ranking.rank_sentences(self.sentences).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def all_keywords(self) -> DataFrame:
@@ -89,7 +92,7 @@ class Analysis:
 
     @cached_property
     def facts(self) -> DataFrame:
-        return facts.extract(self.sentences, salience.sentence_salience(self.ranks), salience.salient_keys(self.all_keywords)).persist(StorageLevel.MEMORY_AND_DISK)
+        return facts.extract(self.sentences, salience.sentence_salience(self.ranks), salience.salient_keys(digest.phrases(self.annotated))).persist(StorageLevel.MEMORY_AND_DISK)
 
     @property
     def cards(self) -> DataFrame:
@@ -114,7 +117,7 @@ class Analysis:
 
     def close(self) -> None:
         """Gives up the rows that are kept between the parts."""
-        for name in ("annotated", "definitions", "facts"):
+        for name in ("annotated", "ranks", "definitions", "facts"):
             if name in self.__dict__:
                 self.__dict__[name].unpersist()
 

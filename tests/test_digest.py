@@ -52,6 +52,11 @@ def test_trees_stay_in_the_worker(spark):
         a.close()
 
 
+def test_any_annotator(spark, both):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    same(both[1], digest.digest(docs, lambda text: rules.annotate(text)))
+
+
 def test_what_is_not_kept_is_no_empty_result(spark):
     a = Analysis(spark.createDataFrame(DOCS, "doc_id long, text string"), kept=KEPT["summary"])
     with pytest.raises(Exception, match="toks|chunks"):
@@ -65,7 +70,7 @@ def test_only_sentences_that_can_have_a_pattern_become_trees(spark, both, patter
     wanted = digest.sentences_with(pattern)
     kept = [s for s in fixtures.SENTENCES.values() if wanted(s)]
     assert 0 < len(kept) < len(fixtures.SENTENCES)
-    assert not rules.annotate("Red birds sing loud songs each day.", wanted)[0]
+    assert not rules.tagged("Red birds sing loud songs each day.", wanted)[0]
 
 
 def test_forms_find_every_word_of_a_lemma():
