@@ -245,12 +245,12 @@ def tree_tokens(spark, sf_dir):
 
 @query
 def tree_definitions(spark, sf_dir):
-    return analysis(spark, sf_dir, "definitions").definitions.select("doc_id", "rank", "index", "term", "definition", "pattern", F.round("confidence", 6).alias("confidence"))
+    return analysis(spark, sf_dir, "definitions").found_definitions().select("doc_id", "rank", "index", "term", "definition", "pattern", F.round("confidence", 6).alias("confidence"))
 
 
 @query
 def tree_facts(spark, sf_dir):
-    return analysis(spark, sf_dir, "facts").facts.select("doc_id", "rank", "index", "term", "back", "family", "pattern", "confidence", "other")
+    return analysis(spark, sf_dir, "facts").found_facts().select("doc_id", "rank", "index", "term", "back", "family", "pattern", "confidence", "other")
 
 
 def facts_of(sents: DataFrame, pattern: str) -> DataFrame:

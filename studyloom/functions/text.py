@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,23 @@ def normalise(x: Column | str) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(plain, "[ \\t]+", " "), "\\n{3,}", "\n\n"))
 
 
+ODD = {"\u00a0": " ", "\u2009": " ", "\u202f": " ", "\u00ad": ""}
+
+
+def normalised(text: str | None) -> str | None:
+    """normalise, of a text in a worker."""
+    if text is None:
+        return None
+    for odd, plain in ODD.items():
+        if odd in text:
+            text = text.replace(odd, plain)
+    if "\t" in text or "  " in text:
+        text = re.sub(r"[ \t]+", " ", text)
+    if "\n\n\n" in text:
+        text = re.sub(r"\n{3,}", "\n\n", text)
+    return text.strip()
+
+
 def collapse(x: Column | str) -> Column:
     """Every run of white space is one space."""
     return F.trim(F.regexp_replace(column(x), f"{SPACE}+", " "))

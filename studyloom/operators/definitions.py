@@ -19,6 +19,10 @@ from .limits import Limit, within
 
 #: Patterns of a sentence come in this order.
 CUE, COPULAR, APPOSITIVE = range(3)
+#: A candidate starts from one of these labels, or from the first word of a cue.
+SHOWN_BY, CUES = ("attr", "acomp", "appos"), frozenset(c[0] for c in L.CUE_PHRASES)
+#: Without one of these, as a lemma or a mark, the rule annotator's trees have no candidates.
+NEEDED = CUES | set(L.COPULAS) | {","}
 CANDIDATE = "pattern_ord:int,tok:int,pattern:string,words:string,term_text:string,term_pos:string,single:boolean,back:string"
 
 
@@ -34,6 +38,8 @@ def passes_guards(s: N.Sentence, head: N.Token, subject: N.Token, span: N.Span)
 def found_in(s: N.Sentence) -> Iterator[tuple[int, N.Token, str, N.Span, N.Span]]:
     """(order, token, pattern, term, definition) of each candidate."""
     for t in s.toks:
+        if t["dep"] not in SHOWN_BY and N.lemma(t) not in CUES:
+            continue
         above = s.parent(t)
         if t["pos"] in ("VERB", "AUX") and any(s.starts(t, c) for c in L.CUE_PHRASES):
             shapes = [(CUE, "cue", t, s.subject(t), s.object(t))]

@@ -7,6 +7,7 @@ counts alone. The rows are those of annotate's functions over whole trees (tests
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -20,13 +21,18 @@ from . import annotate, definitions, facts, rules
 from ._arrow import map_rows
 
 #: What a digest can hold: sentences' content words, candidates of definitions (with how often their chunk is named) and
-#: of facts, tokens of sentences with a definition, keyword phrases, vocabulary.
-WORDS, DEFINITIONS, FACTS, TREES, PHRASES, TERMS = ALL = ("words", "definitions", "facts", "trees", "phrases", "terms")
+#: of facts, tokens of sentences with a definition, keyword phrases, vocabulary, numbers of tokens and chunks.
+WORDS, DEFINITIONS, FACTS, TREES, PHRASES, TERMS, COUNTS = ALL = ("words", "definitions", "facts", "trees", "phrases", "terms", "counts")
+#: What needs every sentence; for the rest, the rule annotator passes over those that can't be usable.
+OF_ALL = {PHRASES, TERMS, COUNTS}
 #: What blanking a term needs of a token.
 SHOWN = ("i", "text", "pos", "is_punct", "is_space", "ent_type", "ws")
 #: Fields of a sentence and columns of a row that are there if they are asked for.
 OF_SENTENCE = {WORDS: "words:array<string>", DEFINITIONS: f"definitions:array<struct<{definitions.CANDIDATE}>>", FACTS: f"facts:array<struct<{facts.CANDIDATE}>>", TREES: "toks:array<struct<i:int,text:string,pos:string,is_punct:boolean,is_space:boolean,ent_type:string,ws:string>>"}
-OF_ROW = {DEFINITIONS: "chunks array<struct<chunk:string,freq:long>>", PHRASES: "keys array<string>, texts array<string>, starts array<int>", TERMS: "terms array<string>"}
+OF_ROW = {DEFINITIONS: "chunks array<struct<chunk:string,freq:long>>", PHRASES: "total int, keys array<string>, texts array<string>, starts array<int>", TERMS: "terms array<string>", COUNTS: "n_tokens int, n_chunks int"}
+
+
+ASCII = re.compile("[A-Za-z]+")
 
 
 def names(ddl: str) -> list[str]:
@@ -46,12 +52,12 @@ class Plain:
 Tokens = list[Plain] | list[rules.Tok]
 
 
-def reader(annotator: annotate.Annotator, wanted: Callable[[str], bool] | None = None) -> Callable:
+def reader(annotator: annotate.Annotator, wanted: Callable[[str], bool] | None = None, with_chunks: bool = True) -> Callable:
     """From a text: tokens, ranges of chunks and of sentences, and what gives a range's tree. The rules make a tree when it is asked for."""
     if annotator is rules.annotate:
 
         def read(text: str | None) -> tuple:
-            toks, chunks, sents = rules.tagged(text, wanted)
+            toks, chunks, sents = rules.tagged(text, wanted, with_chunks)
             return toks, chunks, sents, lambda a, b: rules.tree(toks[a:b])
     else:
 
@@ -80,49 +86,67 @@ def written(span: Tokens) -> str:
 
 
 def digest(docs: DataFrame, annotator: annotate.Annotator = rules.annotate, of: tuple[str, ...] = ALL, text_col: str = "text", wanted: Callable[[str], bool] | None = None) -> DataFrame:
-    """A row per row of docs: doc_id, total, n_tokens, n_chunks, sents, and what of names; wanted as of the rules."""
+    """A row per row of docs: doc_id, sents, and what of names; wanted as of the rules."""
     asked, ids = set(of), docs.schema["doc_id"].dataType.simpleString()
-    of_definition, of_fact = names(definitions.CANDIDATE), names(facts.CANDIDATE)
-    read = reader(annotator, wanted)
+    by_rules, whole = annotator is rules.annotate, not asked.isdisjoint(OF_ALL)
+    read = reader(annotator, wanted or (None if whole else rules.may_be_usable), whole)
+    of_back = names(definitions.CANDIDATE).index("term_text")
+    walked = [x for x in OF_SENTENCE if x in asked]
+
+    def chunk_texts(text, tokens, chunks, backs, repeated) -> list[str]:
+        if by_rules and not whole:  # the chunks of other sentences too, if they can be among those that are asked for
+            tokens, chunks, _ = rules.tagged(text, None if repeated else rules.holds(backs))
+        return [written(tokens[a:b]).lower() for a, b in chunks]
 
     def run(doc, repeated, text) -> Iterator[tuple]:
+        text = X.normalised(text)
         tokens, chunks, ranges, tree = read(text)
         sents, backs = [], set()
         for a, b in ranges:
             toks = tokens[a:b]
             if not fits([t for t in toks if t.seen]):
                 continue
-            own = {"sentence": written(toks)}
+            sentence = written(toks)
+            if not L.MIN_SENTENCE_CHARS <= len(sentence.strip()) <= L.MAX_SENTENCE_CHARS:
+                continue
+            own = dict.fromkeys(walked, ())
+            own[TREES] = None
             if WORDS in asked:
-                own["words"] = [t.lemma for t in toks if t.alpha and not t.stop and len(t.text) > 2]
-            if DEFINITIONS in asked or FACTS in asked:
+                own[WORDS] = [t.lemma for t in toks if t.alpha and not t.stop and len(t.text) > 2]
+            lemmas = {x for t in toks for x in (t.lemma, t.low)} if by_rules else None
+            defines = DEFINITIONS in asked and (lemmas is None or not definitions.NEEDED.isdisjoint(lemmas))
+            states = FACTS in asked and (lemmas is None or facts.may_hold(lemmas))
+            if defines or states:
                 s = N.Sentence(tree(a, b))
-                if DEFINITIONS in asked:
-                    own["definitions"] = [dict(zip(of_definition, x, strict=True)) for x in definitions.found(s)]
-                    backs.update(x["term_text"].lower() for x in own["definitions"])
-                    if TREES in asked and own["definitions"]:
-                        own["toks"] = [{x: t[x] for x in SHOWN} for t in s.toks]
-                if FACTS in asked:
-                    own["facts"] = [dict(zip(of_fact, x, strict=True)) for x in facts.found(s)]
-            sents.append(own)
+                if defines:
+                    own[DEFINITIONS] = list(definitions.found(s))
+                    backs.update(x[of_back].lower() for x in own[DEFINITIONS])
+                    if own[DEFINITIONS]:
+                        own[TREES] = [tuple([t[x] for x in SHOWN]) for t in s.toks] if TREES in asked else None
+                if states:
+                    own[FACTS] = list(facts.found(s))
+            sents.append((sentence, *(own[x] for x in walked)))
         more = []
         if DEFINITIONS in asked:
-            named = Counter(written(tokens[a:b]).lower() for a, b in chunks) if backs or repeated else {}
-            more.append([{"chunk": k, "freq": n} for k, n in named.items() if repeated or k in backs])
+            named = Counter(chunk_texts(text, tokens, chunks, backs, repeated)) if backs or repeated else {}
+            more.append([(k, n) for k, n in named.items() if repeated or k in backs])
         if PHRASES in asked:
             spans = [(a, span) for a, b in chunks if is_phrase(span := tokens[a:b])]
-            more += [[" ".join([t.lemma.lower() for t in span if not t.punct]) for _, span in spans], [written(span) for _, span in spans], [at for at, _ in spans]]
+            more += [max(1, sum([t.seen for t in tokens])), [" ".join([t.lemma.lower() for t in span if not t.punct]) for _, span in spans], [written(span) for _, span in spans], [at for at, _ in spans]]
         if TERMS in asked:
             more.append(list(dict.fromkeys([t.lemma for t in tokens if t.pos in L.CONTENT_POS and t.alpha and not t.stop and len(t.text) >= L.MIN_TERM_CHARS])))
-        yield doc, max(1, sum([t.seen for t in tokens])), sum([not t.space for t in tokens]), len(chunks), sents, *more
+        if COUNTS in asked:
+            more += [sum([not t.space for t in tokens]), len(chunks)]
+        yield doc, sents, *more
 
-    rows = docs.select("doc_id", F.lit(False).alias("repeated"), X.normalise(text_col).alias("text"))
+    rows = docs.select("doc_id", F.lit(False).alias("repeated"), F.col(text_col).alias("text"))
     if DEFINITIONS in asked:
         # Chunks are counted over all rows of an id: rows of an id that comes once need only those that a definition names.
         often = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("often"))
-        rows = rows.join(often, "doc_id", "left").select("doc_id", F.coalesce("often", F.lit(False)).alias("repeated"), "text")
-    sent = ",".join(["sentence:string", *(x for part, x in OF_SENTENCE.items() if part in asked)])
-    return map_rows(rows, ", ".join([f"doc_id {ids}, total int, n_tokens int, n_chunks int, sents array<struct<{sent}>>", *(x for part, x in OF_ROW.items() if part in asked)]), run)
+        if not often.isEmpty():  # texts are dealt by id only then
+            rows = rows.join(often, "doc_id", "left").select("doc_id", F.coalesce("often", F.lit(False)).alias("repeated"), "text")
+    sent = ",".join(["sentence:string", *(OF_SENTENCE[part] for part in walked)])
+    return map_rows(rows, ", ".join([f"doc_id {ids}, sents array<struct<{sent}>>", *(x for part, x in OF_ROW.items() if part in asked)]), run)
 
 
 def sentences(made: DataFrame) -> DataFrame:
@@ -159,7 +183,12 @@ def stats(made: DataFrame) -> DataFrame:
 def sentences_with(pattern: str) -> Callable[[str], bool]:
     """Whether a sentence holds a word of each set that the fact pattern can't do without."""
     needed = facts.NEEDED[pattern]
-    return lambda text: all(x.search(text) for x in needed)
+
+    def wanted(text: str) -> bool:
+        own = set(map(str.lower, ASCII.findall(text)))
+        return not any([x.isdisjoint(own) for x in needed])
+
+    return wanted
 
 
 def pattern_facts(docs: DataFrame, pattern: str) -> DataFrame:

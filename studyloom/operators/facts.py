@@ -8,7 +8,7 @@ all that follows is built in.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,34 +92,46 @@ def process_shape(s: N.Sentence, t: N.Token) -> Shape:
     return NOTHING
 
 
-def forms(*lemmas: str) -> re.Pattern:
-    """Finds every word that the rule annotator gives one of the lemmas, and some more."""
+def words(*lemmas: str) -> set[str]:
+    """Every word that the rule annotator gives one of the lemmas, and some more."""
     known = {**rules.IRREGULAR, **rules.NOUNS, **rules.BE, **rules.HAVE, **rules.DO}
-    words = {w for w, x in known.items() if x in lemmas}
+    out = {w for w, x in known.items() if x in lemmas}
     for x in lemmas:
-        words |= {x + end for end in ("", "s", "es", "d", "ed", "ing", "er", "r", x[-1] + "ed", x[-1] + "ing")}
-        words |= {x[:-1] + end for end in ("ies", "ied", "ing")}
-    return re.compile(rf"(?i)(?<![a-z])(?:{'|'.join(sorted(words))})(?![a-z])")
-
-
-#: What sentences must hold, of each set a word, for a pattern to be found in them by the rule annotator.
-NEEDED = {
-    "consist_of": (forms(*L.COMPOSITION_VERBS), forms(*L.COMPOSITION_PREPS)),
-    "possess_property": (forms(*L.POSSESSION_VERBS), forms(*L.PROPERTY_NOUNS)),
-    "possess_salient": (forms(*L.POSSESSION_VERBS),),
-    "be_of": (forms("be"), forms(*L.COMPOSITION_PREPS)),
-    "difference_between": (forms(*L.COMPARISON_NOUNS), forms("between")),
-    "differ_from": (forms(*L.DIFFERS_VERBS), forms("from")),
-    "unlike": (forms(*L.UNLIKE_MARKERS),),
-    "comparative_than": (forms("than"),),
-    "used_to_xcomp": (forms(*L.PURPOSE_VERBS),),
-    "used_for": (forms(*L.PURPOSE_VERBS), forms("for")),
-    "useful_for": (forms(*L.USEFUL_ADJECTIVES), forms("for")),
-    "enable": (forms(*L.ENABLING_VERBS),),
-    "begin_by": (forms(*L.PROCEDURAL_VERBS), forms("by")),
-    "ordered_chain": (forms(*L.ORDERING_ADVERBS),),
-    "temporal_advcl": (forms(*L.TEMPORAL_MARKS),),
+        out |= {x + end for end in ("", "s", "es", "d", "ed", "ing", "er", "r", x[-1] + "ed", x[-1] + "ing")}
+        out |= {x[:-1] + end for end in ("ies", "ied", "ing")}
+    return out
+
+
+def forms(*lemmas: str) -> re.Pattern:
+    """Finds the words of the lemmas."""
+    return re.compile(rf"(?i)(?<![a-z])(?:{'|'.join(sorted(words(*lemmas)))})(?![a-z])")
+
+
+def may_hold(own: Set[str]) -> bool:
+    """Whether a sentence of these lemmas and words can hold a fact of any pattern, by the rule annotator."""
+    return any(all(not own.isdisjoint(x) for x in sets) for sets in LEMMAS.values())
+
+
+#: What sentences must hold, of each set a lemma (or the word itself), for a pattern to be found in them by the rule annotator.
+LEMMAS = {
+    "consist_of": (L.COMPOSITION_VERBS, L.COMPOSITION_PREPS),
+    "possess_property": (L.POSSESSION_VERBS, L.PROPERTY_NOUNS),
+    "possess_salient": (L.POSSESSION_VERBS,),
+    "be_of": (("be",), L.COMPOSITION_PREPS),
+    "difference_between": (L.COMPARISON_NOUNS, ("between",)),
+    "differ_from": (L.DIFFERS_VERBS, ("from",)),
+    "unlike": (L.UNLIKE_MARKERS,),
+    "comparative_than": (("than",),),
+    "used_to_xcomp": (L.PURPOSE_VERBS,),
+    "used_for": (L.PURPOSE_VERBS, ("for",)),
+    "useful_for": (L.USEFUL_ADJECTIVES, ("for",)),
+    "enable": (L.ENABLING_VERBS,),
+    "begin_by": (L.PROCEDURAL_VERBS, ("by",)),
+    "ordered_chain": (L.ORDERING_ADVERBS,),
+    "temporal_advcl": (L.TEMPORAL_MARKS,),
 }
+#: The same of words.
+NEEDED = {pattern: tuple(frozenset(words(*x)) for x in sets) for pattern, sets in LEMMAS.items()}
 SHAPES = (property_shape, comparison_shape, purpose_shape, process_shape)
 
 

@@ -1,7 +1,7 @@
 """The whole plan: from documents to cards, quiz, keywords, summary and counts.
 
-Documents are annotated once, and what the parts need of their trees is kept (persisted, spilling to disk); every part
-reads that table. A part that is not asked for is no part of the plan that runs. Keywords are scored as of the documents before, in the order of seq, so a
+Documents are annotated once, and what the parts need of their trees is kept in the shared folder; every part reads its
+columns of that table. A part that is not asked for is no part of the plan that runs. Keywords are scored as of the documents before, in the order of seq, so a
 document never weighs its own words.
 """
 
@@ -10,7 +10,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +17,7 @@ from ..operators import annotate, cards, corpus, definitions, digest, facts, hea
 from ..operators.limits import Limit, within
 from ..operators.rules import annotate as by_rules
 from ..sources.requests import Options
+from ..sources.shared import forget, keep
 
 
 #: What each part needs of the trees.
@@ -55,9 +55,7 @@ class Analysis:
     def annotated(self) -> DataFrame:
         blanks = self.options.include_cloze or self.limits is not None
         kept = self.kept or tuple(x for x in digest.ALL if blanks or x != digest.TREES)
-        made = digest.digest(self.docs, self.annotator, kept).persist(StorageLevel.MEMORY_AND_DISK)
-        made.count()  # now; else stages that start together each annotate the same documents
-        return made
+        return keep(digest.digest(self.docs, self.annotator, kept))  # now; else stages that start together each annotate the same documents
 
     @cached_property
     def sentences(self) -> DataFrame:
@@ -69,8 +67,8 @@ class Analysis:
 
     @cached_property
     def ranks(self) -> DataFrame:
-        # Few rows that the summary, both cuts and the facts read.
-        return ranking.rank_sentences(self.sentences).persist(StorageLevel.MEMORY_AND_DISK)
+        # Few rows that the summary and the facts read.
+        return keep(ranking.rank_sentences(self.sentences))
 
     @cached_property
     def all_keywords(self) -> DataFrame:
@@ -85,14 +83,22 @@ class Analysis:
     def keywords(self) -> DataFrame:
         return within(self.all_keywords, self.most("max_keywords"))
 
+    def found_definitions(self) -> DataFrame:
+        """definitions for one reader."""
+        return definitions.extract(self.sentences, digest.chunk_counts(self.annotated), self.most("max_cards", 2))
+
     @cached_property
     def definitions(self) -> DataFrame:
         # Cards, facts' room and quiz all start from these few rows.
-        return definitions.extract(self.sentences, digest.chunk_counts(self.annotated), self.most("max_cards", 2)).persist(StorageLevel.MEMORY_AND_DISK)
+        return keep(self.found_definitions())
+
+    def found_facts(self) -> DataFrame:
+        """facts for one reader."""
+        return facts.extract(self.sentences, salience.sentence_salience(self.ranks), salience.salient_keys(digest.phrases(self.annotated)))
 
     @cached_property
     def facts(self) -> DataFrame:
-        return facts.extract(self.sentences, salience.sentence_salience(self.ranks), salience.salient_keys(digest.phrases(self.annotated))).persist(StorageLevel.MEMORY_AND_DISK)
+        return keep(self.found_facts())
 
     @property
     def cards(self) -> DataFrame:
@@ -119,7 +125,7 @@ class Analysis:
         """Gives up the rows that are kept between the parts."""
         for name in ("annotated", "ranks", "definitions", "facts"):
             if name in self.__dict__:
-                self.__dict__[name].unpersist()
+                forget(self.__dict__[name])
 
     def result(self) -> DataFrame:
         """One row per document with all parts nested."""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 
 from studyloom import catalog, fixtures
 from studyloom.functions import lexicon as L
-from studyloom.operators import annotate, definitions, digest, facts, rules
+from studyloom.functions import text as X
+from studyloom.operators import _arrow, annotate, definitions, digest, facts, rules
 from studyloom.plans.analyse import KEPT, Analysis
 
 TEXTS = [" ".join(fixtures.SENTENCES.values()), fixtures.LESSON, None, "", "Only. Short! Ones?", "palabra " * 700 + "is a long line."]
@@ -84,6 +87,46 @@ def test_forms_find_every_word_of_a_lemma():
             assert lemma not in of or found.search(w.upper()), (lemma, w)
 
 
+ODD = ["a\u00a0b\u2009 c\u202f\td", " \t\u2003x \x1c", "so\u00adft", "a\n\n\n\nb\n\nc \n \n\n\n", "  ", None, "a\x0b\x85b \n", "\u00ad a \u00ad"]
+
+
+def test_texts_are_normalised_alike(spark):
+    docs = spark.createDataFrame(enumerate(ODD), "doc_id long, text string").select("doc_id", X.normalise("text").alias("text"))
+    assert {r.doc_id: r.text for r in docs.collect()} == {i: X.normalised(x) for i, x in enumerate(ODD)}
+
+
+#: Sentences that can't be usable, and sentences that name a chunk but have no verb.
+MIXED = " ".join(fixtures.SENTENCES.values()) + " Short! It is so. A valve, a valve and A  Valve. The\u3000valve of the old clock, a small device. " + "The valve is " + "long " * 130 + "now. Can. " + fixtures.LESSON
+
+
+@pytest.mark.parametrize("name", [*KEPT, None])
+def test_sentences_that_cannot_be_usable_are_not_tagged(spark, monkeypatch, name):
+    docs = spark.createDataFrame([(1, MIXED), (2, None), (3, "A valve, a device, opens. " * 2), (4, MIXED), (4, MIXED)], "doc_id long, text string")
+    whole = Analysis(docs, kept=digest.ALL)
+    part = Analysis(docs, kept=KEPT.get(name))
+    for of in {"definitions": ["definitions"], "quiz": ["definitions", "quiz"], "facts": ["facts"], "ranks": ["ranks"], "summary": ["summary"], "keywords": ["keywords"], "cards": ["cards"], None: ["definitions", "facts", "quiz", "stats"]}[name]:
+        same(getattr(whole, of), getattr(part, of))
+    whole.close()
+    part.close()
+
+
+def test_sentences_without_a_verb_are_passed_over():
+    assert rules.may_be_usable("A valve is a small device of brass.") and not rules.may_be_usable("A valve, a pump and the old clocks of the town.")
+    assert len(rules.tagged(MIXED, rules.may_be_usable)[2]) < len(rules.tagged(MIXED)[2])
+
+
+def test_no_executor_holds_what_is_kept(spark):
+    a = Analysis(spark.createDataFrame(DOCS, "doc_id long, text string"))
+    files = a.annotated.inputFiles()
+    assert files and not a.annotated.is_cached and not {"total", "n_tokens"} & {*Analysis(a.docs, kept=KEPT["definitions"]).annotated.columns}
+    a.close()
+    assert not [f for f in files if os.path.exists(f.removeprefix("file:").replace("///", "/"))]
+
+
+def test_values_are_counted_at_any_depth():
+    assert _arrow.weight([("a", ["b", "c"], [(1, "d")])]) == 10 and _arrow.weight("abc") == _arrow.weight([]) == _arrow.weight(None) == 1
+
+
 def test_words_in_any_place():
     assert rules.anywhere("valve") == ("valve", "NOUN", "NN") and rules.anywhere("uses") is None
     for text in ("Valves open. Valves, too.", "NASA builds. The NASA runs"):
