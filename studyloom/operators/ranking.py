@@ -108,12 +108,16 @@ def rank_sentences(sents: DataFrame, graph_min: int = L.GRAPH_MIN_SENTENCES) ->
     return frequency_rank(sized.where(F.col("n_sents") < graph_min)).unionByName(textrank(sized.where(F.col("n_sents") >= graph_min)))
 
 
+def cut_place(fraction: float) -> Column:
+    """The place, from 0, of the last sentence of about the top fraction of n."""
+    return F.greatest(F.lit(0), F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(fraction)).cast("int") - 1))
+
+
 def sentence_cut(ranks: DataFrame, fraction: float) -> DataFrame:
     """doc_id and cut: the score that separates about the top fraction of a document's sentences."""
     order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "index")
-    at = F.greatest(F.lit(0), F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(fraction)).cast("int") - 1))
     own = ranks.withColumn("place", F.row_number().over(order) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
-    return own.where(F.col("place") == at).select("doc_id", F.col("score").alias("cut"))
+    return own.where(F.col("place") == cut_place(fraction)).select("doc_id", F.col("score").alias("cut"))
 
 
 def summarise(sents: DataFrame, ranks: DataFrame, most: Limit = 5) -> DataFrame:

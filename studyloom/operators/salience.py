@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -11,8 +11,10 @@ from . import ranking
 
 def sentence_salience(ranks: DataFrame) -> DataFrame:
     """doc_id, index, score, high, middle: scores with the cuts of the top quarter and the top half."""
-    high, middle = (ranking.sentence_cut(ranks, f).withColumnRenamed("cut", name) for f, name in ((0.25, "high"), (0.5, "middle")))
-    return ranks.join(high, "doc_id").join(middle, "doc_id")
+    own = Window.partitionBy("doc_id")
+    placed = ranks.where("doc_id is not null").withColumn("place", F.row_number().over(own.orderBy(F.desc("score"), "index")) - 1).withColumn("n", F.count(F.lit(1)).over(own))
+    cut = lambda fraction: F.max(F.when(F.col("place") == ranking.cut_place(fraction), F.col("score"))).over(own)
+    return placed.select(*ranks.columns, cut(0.25).alias("high"), cut(0.5).alias("middle"))
 
 
 def salient_keys(keywords: DataFrame) -> DataFrame:

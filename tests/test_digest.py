@@ -9,7 +9,7 @@ import pytest
 from studyloom import catalog, fixtures
 from studyloom.functions import lexicon as L
 from studyloom.functions import text as X
-from studyloom.operators import _arrow, annotate, definitions, digest, facts, rules
+from studyloom.operators import _arrow, annotate, definitions, digest, facts, ranking, rules, salience
 from studyloom.plans.analyse import KEPT, Analysis
 
 TEXTS = [" ".join(fixtures.SENTENCES.values()), fixtures.LESSON, None, "", "Only. Short! Ones?", "palabra " * 700 + "is a long line."]
@@ -131,3 +131,12 @@ def test_words_in_any_place():
     assert rules.anywhere("valve") == ("valve", "NOUN", "NN") and rules.anywhere("uses") is None
     for text in ("Valves open. Valves, too.", "NASA builds. The NASA runs"):
         assert [t["pos"] for t in rules.annotate(text)[0]][0] in ("NOUN", "PROPN")
+
+
+def test_both_cuts_come_from_one_reading_of_the_ranks(spark):
+    ranks = spark.createDataFrame([(d, i, float(i * 7 % 5)) for d, n in ((1, 1), (2, 9), (3, 40)) for i in range(n)] + [(None, 0, 1.0)], "doc_id long, index int, score double")
+    found = salience.sentence_salience(ranks)
+    for fraction, name in ((0.25, "high"), (0.5, "middle")):
+        cuts = ranking.sentence_cut(ranks.where("doc_id is not null"), fraction).withColumnRenamed("cut", name)
+        same(found.select("doc_id", name).distinct(), cuts)
+    assert found.count() == 50 and "Join" not in found._jdf.queryExecution().toString()
