@@ -140,3 +140,11 @@ def test_both_cuts_come_from_one_reading_of_the_ranks(spark):
         cuts = ranking.sentence_cut(ranks.where("doc_id is not null"), fraction).withColumnRenamed("cut", name)
         same(found.select("doc_id", name).distinct(), cuts)
     assert found.count() == 50 and "Join" not in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("pattern", sorted(L.FAMILY))
+def test_needed_words_are_looked_up_not_searched_for(pattern):
+    wanted, odd = digest.sentences_with(pattern), ["HAS-VALUE", "hasvalue", "has2 éform of", "it uses, for", "uséd for", ""]
+    for text in [*fixtures.SENTENCES.values(), *odd]:
+        assert wanted(text) == all(facts.forms(*x).search(text) is not None for x in facts.LEMMAS[pattern]), text
+    assert all(isinstance(x, frozenset) for x in facts.NEEDED[pattern])
