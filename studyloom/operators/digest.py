@@ -106,8 +106,8 @@ def digest(docs: DataFrame, annotator: annotate.Annotator = rules.annotate, of:
             toks = tokens[a:b]
             if not fits([t for t in toks if t.seen]):
                 continue
-            sentence = written(toks)
-            if not L.MIN_SENTENCE_CHARS <= len(sentence.strip()) <= L.MAX_SENTENCE_CHARS:
+            sentence = written(toks).strip()
+            if not L.MIN_SENTENCE_CHARS <= len(sentence) <= L.MAX_SENTENCE_CHARS:
                 continue
             own = dict.fromkeys(walked, ())
             own[TREES] = None
@@ -151,10 +151,9 @@ def digest(docs: DataFrame, annotator: annotate.Annotator = rules.annotate, of:
 
 def sentences(made: DataFrame) -> DataFrame:
     """Usable sentences: doc_id, index, sentence, and words, definitions, facts, toks as far as the digest has them."""
-    length = lambda s: F.length(X.strip(s["sentence"]))
-    rows = made.select("doc_id", F.posexplode(F.filter("sents", lambda s: length(s).between(L.MIN_SENTENCE_CHARS, L.MAX_SENTENCE_CHARS))).alias("index", "s"))
+    rows = made.select("doc_id", F.posexplode("sents").alias("index", "s"))
     more = [F.transform("s.words", F.lower).alias(x) if x == "words" else F.col(f"s.{x}") for x in made.schema["sents"].dataType.elementType.names[1:]]
-    return rows.select("doc_id", "index", X.strip(F.col("s.sentence")).alias("sentence"), *more)
+    return rows.select("doc_id", "index", F.col("s.sentence").alias("sentence"), *more)
 
 
 def chunk_counts(made: DataFrame) -> DataFrame:

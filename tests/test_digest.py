@@ -148,3 +148,9 @@ def test_needed_words_are_looked_up_not_searched_for(pattern):
     for text in [*fixtures.SENTENCES.values(), *odd]:
         assert wanted(text) == all(facts.forms(*x).search(text) is not None for x in facts.LEMMAS[pattern]), text
     assert all(isinstance(x, frozenset) for x in facts.NEEDED[pattern])
+
+
+def test_sentences_leave_the_worker_stripped(both):
+    made = digest.sentences(both[1])
+    assert "regexp_replace" not in made._jdf.queryExecution().analyzed().toString()
+    assert all(r.sentence == r.sentence.strip() and 25 <= len(r.sentence) <= 600 for r in made.collect())
