@@ -23,16 +23,19 @@ from ._arrow import map_rows
 #: What a digest can hold: sentences' content words, candidates of definitions (with how often their chunk is named) and
 #: of facts, tokens of sentences with a definition, keyword phrases, vocabulary, numbers of tokens and chunks.
 WORDS, DEFINITIONS, FACTS, TREES, PHRASES, TERMS, COUNTS = ALL = ("words", "definitions", "facts", "trees", "phrases", "terms", "counts")
+#: The phrases (distinct) that name the term of a fact, instead of all phrases, where only facts ask for them.
+TOPICS = "topics"
 #: What needs every sentence; for the rest, the rule annotator passes over those that can't be usable.
 OF_ALL = {PHRASES, TERMS, COUNTS}
 #: What blanking a term needs of a token.
 SHOWN = ("i", "text", "pos", "is_punct", "is_space", "ent_type", "ws")
 #: Fields of a sentence and columns of a row that are there if they are asked for.
 OF_SENTENCE = {WORDS: "words:array<string>", DEFINITIONS: f"definitions:array<struct<{definitions.CANDIDATE}>>", FACTS: f"facts:array<struct<{facts.CANDIDATE}>>", TREES: "toks:array<struct<i:int,text:string,pos:string,is_punct:boolean,is_space:boolean,ent_type:string,ws:string>>"}
-OF_ROW = {DEFINITIONS: "chunks array<struct<chunk:string,freq:long>>", PHRASES: "total int, keys array<string>, texts array<string>, starts array<int>", TERMS: "terms array<string>", COUNTS: "n_tokens int, n_chunks int"}
+OF_ROW = {DEFINITIONS: "chunks array<struct<chunk:string,freq:long>>", PHRASES: "total int, keys array<string>, texts array<string>, starts array<int>", TERMS: "terms array<string>", COUNTS: "n_tokens int, n_chunks int", TOPICS: "topics array<struct<key:string,text:string>>"}
 
 
 ASCII = re.compile("[A-Za-z]+")
+ARTICLES = re.compile(rf"(?:(?:{'|'.join(L.ARTICLES)}) )+")
 
 
 def names(ddl: str) -> list[str]:
@@ -58,7 +61,7 @@ def reader(annotator: annotate.Annotator, wanted: Callable[[str], bool] | None =
 
         def read(text: str | None) -> tuple:
             toks, chunks, sents = rules.tagged(text, wanted, with_chunks)
-            return toks, chunks, sents, lambda a, b: rules.tree(toks[a:b])
+            return toks, chunks, sents, lambda a, b: rules.tree(toks[a:b], False)
     else:
 
         def read(text: str | None) -> tuple:
@@ -85,23 +88,32 @@ def written(span: Tokens) -> str:
     return "".join([t.text + t.ws for t in span]).rstrip(" ")
 
 
+def key_of(span: Tokens) -> str:
+    return " ".join([t.lemma.lower() for t in span if not t.punct])
+
+
+def bare(key: str) -> str:
+    """As normalise_key."""
+    return key[m.end() :] if (m := ARTICLES.match(key)) else key
+
+
 def digest(docs: DataFrame, annotator: annotate.Annotator = rules.annotate, of: tuple[str, ...] = ALL, text_col: str = "text", wanted: Callable[[str], bool] | None = None) -> DataFrame:
     """A row per row of docs: doc_id, sents, and what of names; wanted as of the rules."""
     asked, ids = set(of), docs.schema["doc_id"].dataType.simpleString()
     by_rules, whole = annotator is rules.annotate, not asked.isdisjoint(OF_ALL)
     read = reader(annotator, wanted or (None if whole else rules.may_be_usable), whole)
-    of_back = names(definitions.CANDIDATE).index("term_text")
+    of_back, of_key = names(definitions.CANDIDATE).index("term_text"), names(facts.CANDIDATE).index("raw_key")
     walked = [x for x in OF_SENTENCE if x in asked]
 
-    def chunk_texts(text, tokens, chunks, backs, repeated) -> list[str]:
+    def chunks_of(text, tokens, chunks, ranges, sought) -> Iterator[Tokens]:
         if by_rules and not whole:  # the chunks of other sentences too, if they can be among those that are asked for
-            tokens, chunks, _ = rules.tagged(text, None if repeated else rules.holds(backs))
-        return [written(tokens[a:b]).lower() for a, b in chunks]
+            return rules.chunks_where(text, sought, {tokens[a].sent: tokens[a:b] for a, b in ranges})
+        return (tokens[a:b] for a, b in chunks)
 
     def run(doc, repeated, text) -> Iterator[tuple]:
         text = X.normalised(text)
         tokens, chunks, ranges, tree = read(text)
-        sents, backs = [], set()
+        sents, backs, raw_keys = [], set(), set()
         for a, b in ranges:
             toks = tokens[a:b]
             if not fits([t for t in toks if t.seen]):
@@ -125,23 +137,29 @@ def digest(docs: DataFrame, annotator: annotate.Annotator = rules.annotate, of:
                         own[TREES] = [tuple([t[x] for x in SHOWN]) for t in s.toks] if TREES in asked else None
                 if states:
                     own[FACTS] = list(facts.found(s))
+                    raw_keys.update(bare(x[of_key]) for x in own[FACTS])
             sents.append((sentence, *(own[x] for x in walked)))
         more = []
         if DEFINITIONS in asked:
-            named = Counter(chunk_texts(text, tokens, chunks, backs, repeated)) if backs or repeated else {}
+            sought = None if repeated else rules.holds(backs)
+            named = Counter(written(span).lower() for span in chunks_of(text, tokens, chunks, ranges, sought)) if backs or repeated else {}
             more.append([(k, n) for k, n in named.items() if repeated or k in backs])
         if PHRASES in asked:
             spans = [(a, span) for a, b in chunks if is_phrase(span := tokens[a:b])]
-            more += [max(1, sum([t.seen for t in tokens])), [" ".join([t.lemma.lower() for t in span if not t.punct]) for _, span in spans], [written(span) for _, span in spans], [at for at, _ in spans]]
+            more += [max(1, sum([t.seen for t in tokens])), [key_of(span) for _, span in spans], [written(span) for _, span in spans], [at for at, _ in spans]]
         if TERMS in asked:
             more.append(list(dict.fromkeys([t.lemma for t in tokens if t.pos in L.CONTENT_POS and t.alpha and not t.stop and len(t.text) >= L.MIN_TERM_CHARS])))
         if COUNTS in asked:
             more += [sum([not t.space for t in tokens]), len(chunks)]
+        if TOPICS in asked:
+            sought = None if repeated else facts.names_one(raw_keys)
+            spans = chunks_of(text, tokens, chunks, ranges, sought) if raw_keys or repeated else ()
+            more.append(list({(key, written(span)): None for span in spans if (bare(key := key_of(span)) in raw_keys or repeated) and is_phrase(span)}))
         yield doc, sents, *more
 
     rows = docs.select("doc_id", F.lit(False).alias("repeated"), F.col(text_col).alias("text"))
-    if DEFINITIONS in asked:
-        # Chunks are counted over all rows of an id: rows of an id that comes once need only those that a definition names.
+    if not asked.isdisjoint((DEFINITIONS, TOPICS)):
+        # Chunks and topics are those of all rows of an id: rows of an id that comes once need only those that a definition or a fact names.
         often = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("often"))
         if not often.isEmpty():  # texts are dealt by id only then
             rows = rows.join(often, "doc_id", "left").select("doc_id", F.coalesce("often", F.lit(False)).alias("repeated"), "text")
@@ -167,6 +185,13 @@ def phrases(made: DataFrame) -> DataFrame:
     return rows.where(annotate.is_topic(F.col("p.texts"))).select("doc_id", F.lower("p.keys").alias("key"), X.display_form(F.col("p.texts")).alias("display"), F.col("p.starts").alias("position"), "total")
 
 
+def topics(made: DataFrame) -> DataFrame:
+    """doc_id and key of the keyword candidates that name the term of a fact; of all candidates if the digest has them."""
+    if "topics" not in made.columns:
+        return phrases(made).select("doc_id", "key")
+    return made.select("doc_id", F.inline("topics")).where(annotate.is_topic(F.col("text"))).select("doc_id", F.lower("key").alias("key"))
+
+
 def vocabulary(made: DataFrame) -> DataFrame:
     """doc_id and terms: the distinct lemmas of a document's topical words."""
     return made.select("doc_id", F.array_distinct(F.transform("terms", F.lower)).alias("terms"))

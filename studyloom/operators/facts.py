@@ -8,7 +8,8 @@ all that follows is built in.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Set
+from collections.abc import Callable, Iterator, Set
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,6 +103,17 @@ def words(*lemmas: str) -> set[str]:
     return out
 
 
+@lru_cache(4096)
+def words_of(lemma: str) -> frozenset[str]:
+    return frozenset(words(lemma))
+
+
+def names_one(keys: Set[str]) -> Callable[[str], bool]:
+    """Whether a sentence holds a word that can end a phrase of one of the keys, by the rule annotator."""
+    needed = frozenset().union(*(words_of(last) for last in {x.rpartition(" ")[2] for x in keys} if last))
+    return lambda text: not needed.isdisjoint(map(str.lower, rules._WORD.findall(text)))
+
+
 def forms(*lemmas: str) -> re.Pattern:
     """Finds the words of the lemmas."""
     return re.compile(rf"(?i)(?<![a-z])(?:{'|'.join(sorted(words(*lemmas)))})(?![a-z])")

@@ -27,8 +27,8 @@ KEPT = {
     "keywords": (digest.PHRASES, digest.TERMS),
     "definitions": (digest.DEFINITIONS,),
     "quiz": (digest.DEFINITIONS,),
-    "facts": (digest.WORDS, digest.FACTS, digest.PHRASES),
-    "cards": (digest.WORDS, digest.DEFINITIONS, digest.FACTS, digest.TREES, digest.PHRASES),
+    "facts": (digest.WORDS, digest.FACTS, digest.TOPICS),
+    "cards": (digest.WORDS, digest.DEFINITIONS, digest.FACTS, digest.TREES, digest.TOPICS),
 }
 
 
@@ -94,7 +94,7 @@ class Analysis:
 
     def found_facts(self) -> DataFrame:
         """facts for one reader."""
-        return facts.extract(self.sentences, salience.sentence_salience(self.ranks), salience.salient_keys(digest.phrases(self.annotated)))
+        return facts.extract(self.sentences, salience.sentence_salience(self.ranks), salience.salient_keys(digest.topics(self.annotated)))
 
     @cached_property
     def facts(self) -> DataFrame:

@@ -154,3 +154,31 @@ def test_sentences_leave_the_worker_stripped(both):
     made = digest.sentences(both[1])
     assert "regexp_replace" not in made._jdf.queryExecution().analyzed().toString()
     assert all(r.sentence == r.sentence.strip() and 25 <= len(r.sentence) <= 600 for r in made.collect())
+
+
+def test_facts_keep_the_phrases_of_their_terms_alone(spark):
+    docs = spark.createDataFrame([(1, MIXED), (2, "The old valves move the red water of the town. " * 3), (4, MIXED), (4, "The stack. A queue. " + fixtures.LESSON)], "doc_id long, text string")
+    whole, part = Analysis(docs, kept=digest.ALL), Analysis(docs, kept=KEPT["facts"])
+    assert "topics" in part.annotated.columns and not {"keys", "texts", "starts", "total"} & {*part.annotated.columns}
+    same(whole.facts, part.facts)
+    kept = {r.doc_id: len(r.topics) for r in part.annotated.where("doc_id < 4").collect()}
+    assert kept[2] == 0 < kept[1] < digest.phrases(whole.annotated).where("doc_id = 1").count()
+    for a in (whole, part):
+        a.close()
+
+
+def test_a_sentence_that_can_end_a_phrase_is_found():
+    for text in fixtures.SENTENCES.values():
+        toks, chunks, _ = rules.tagged(text)
+        for a, b in chunks:
+            assert facts.names_one({digest.key_of(toks[a:b])})(text), toks[b - 1].text
+    assert not facts.names_one({"red valve"})("The clock stops.") and digest.bare("the a old the valve") == "old the valve"
+
+
+def test_walks_go_down_from_heads():
+    for text in fixtures.SENTENCES.values():
+        toks = rules.annotate(text)[0]
+        for s in [annotate.N.Sentence([t for t in toks if t["sent"] == 0])]:
+            for t in s.toks:
+                assert s.subtree(t) == [x for x in s.toks if x["i"] == t["i"] or t["i"] in x["anc"]]
+                assert s.negated(t) == any(x["i"] == t["i"] or t["i"] in x["anc"] for x in s.negations)
