@@ -23,7 +23,8 @@ from ._arrow import map_rows
 #: What a digest can hold: sentences' content words, candidates of definitions (with how often their chunk is named) and
 #: of facts, tokens of sentences with a definition, keyword phrases, vocabulary, numbers of tokens and chunks.
 WORDS, DEFINITIONS, FACTS, TREES, PHRASES, TERMS, COUNTS = ALL = ("words", "definitions", "facts", "trees", "phrases", "terms", "counts")
-#: The phrases (distinct) that name the term of a fact, instead of all phrases, where only facts ask for them.
+#: The phrases (distinct) that name the term of a fact, instead of all phrases, where only facts ask for them; without
+#: definitions, sentences are then those of documents with a candidate of a fact.
 TOPICS = "topics"
 #: What needs every sentence; for the rest, the rule annotator passes over those that can't be usable.
 OF_ALL = {PHRASES, TERMS, COUNTS}
@@ -104,6 +105,7 @@ def digest(docs: DataFrame, annotator: annotate.Annotator = rules.annotate, of:
     read = reader(annotator, wanted or (None if whole else rules.may_be_usable), whole)
     of_back, of_key = names(definitions.CANDIDATE).index("term_text"), names(facts.CANDIDATE).index("raw_key")
     walked = [x for x in OF_SENTENCE if x in asked]
+    of_facts = TOPICS in asked and DEFINITIONS not in asked
 
     def chunks_of(text, tokens, chunks, ranges, sought) -> Iterator[Tokens]:
         if by_rules and not whole:  # the chunks of other sentences too, if they can be among those that are asked for
@@ -113,7 +115,7 @@ def digest(docs: DataFrame, annotator: annotate.Annotator = rules.annotate, of:
     def run(doc, repeated, text) -> Iterator[tuple]:
         text = X.normalised(text)
         tokens, chunks, ranges, tree = read(text)
-        sents, backs, raw_keys = [], set(), set()
+        sents, backs, raw_keys, states_any = [], set(), set(), False
         for a, b in ranges:
             toks = tokens[a:b]
             if not fits([t for t in toks if t.seen]):
@@ -122,7 +124,7 @@ def digest(docs: DataFrame, annotator: annotate.Annotator = rules.annotate, of:
             if not L.MIN_SENTENCE_CHARS <= len(sentence) <= L.MAX_SENTENCE_CHARS:
                 continue
             own = dict.fromkeys(walked, ())
-            own[TREES] = None
+            own[TREES], own[FACTS] = None, ()
             if WORDS in asked:
                 own[WORDS] = [t.lemma for t in toks if t.alpha and not t.stop and len(t.text) > 2]
             lemmas = {x for t in toks for x in (t.lemma, t.low)} if by_rules else None
@@ -138,7 +140,10 @@ def digest(docs: DataFrame, annotator: annotate.Annotator = rules.annotate, of:
                 if states:
                     own[FACTS] = list(facts.found(s))
                     raw_keys.update(bare(x[of_key]) for x in own[FACTS])
+            states_any = states_any or bool(own[FACTS])
             sents.append((sentence, *(own[x] for x in walked)))
+        if of_facts and not states_any and not repeated:  # nobody asks how central the sentences of such a document are
+            sents = []
         more = []
         if DEFINITIONS in asked:
             sought = None if repeated else rules.holds(backs)

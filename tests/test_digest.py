@@ -182,3 +182,14 @@ def test_walks_go_down_from_heads():
             for t in s.toks:
                 assert s.subtree(t) == [x for x in s.toks if x["i"] == t["i"] or t["i"] in x["anc"]]
                 assert s.negated(t) == any(x["i"] == t["i"] or t["i"] in x["anc"] for x in s.negations)
+
+
+def test_documents_without_a_fact_send_no_sentences_for_facts(spark):
+    plain, lesson = "The old valves move the red water of the town. " * 3, fixtures.LESSON
+    docs = spark.createDataFrame([(1, lesson), (2, plain), (3, plain), (3, lesson)], "doc_id long, text string")
+    whole, part = Analysis(docs, kept=digest.ALL), Analysis(docs, kept=KEPT["facts"])
+    assert {r.doc_id for r in digest.sentences(part.annotated).collect()} == {1, 3}
+    assert digest.sentences(part.annotated).where("doc_id = 3").count() == digest.sentences(whole.annotated).where("doc_id = 3").count()
+    same(whole.facts, part.facts)
+    for a in (whole, part):
+        a.close()
