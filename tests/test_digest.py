@@ -193,3 +193,11 @@ def test_documents_without_a_fact_send_no_sentences_for_facts(spark):
     same(whole.facts, part.facts)
     for a in (whole, part):
         a.close()
+
+
+def test_tagged_sentences_are_not_tagged_again_for_chunks(monkeypatch):
+    text, seen, one = "A valve is a small device of brass. The valve moves water in the town.", [], rules.one
+    monkeypatch.setattr(rules, "one", lambda text, a, b, *more: seen.append(a) or one(text, a, b, *more))
+    toks, _, ranges = rules.tagged(text, rules.may_be_usable, False)
+    found = list(rules.chunks_where(text, rules.holds({"the valve"}), {toks[a].sent: toks[a:b] for a, b in ranges}))
+    assert len(seen) == len(ranges) == 2 and digest.written(found[0]) == "The valve"
