@@ -31,8 +31,11 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def map_rows(df: DataFrame, ddl: str, fn: Callable[..., Iterator[tuple]]) -> DataFrame:
-    """fn takes a row's values and yields rows of the schema in ddl; they leave in batches of about FLUSH values."""
+def map_rows(df: DataFrame, ddl: str, fn: Callable[..., Iterator[tuple]], begun: bool = False) -> DataFrame:
+    """fn takes a row's values and yields rows of the schema in ddl; they leave in batches of about FLUSH values.
+
+    With begun, fn() begins a task and gives what takes its rows.
+    """
     schema = T._parse_datatype_string(ddl)
     target = to_arrow_schema(schema)
 
@@ -46,11 +49,11 @@ def map_rows(df: DataFrame, ddl: str, fn: Callable[..., Iterator[tuple]]) -> Dat
             release()
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, held = [], 0
+        out, held, each = [], 0, fn() if begun else fn
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 for row in zip(*(c.to_pylist() for c in batch.slice(at, SLICE).columns), strict=True):
-                    for r in fn(*row):
+                    for r in each(*row):
                         out.append(r)
                         held += sum(map(weight, r))
                         if held >= FLUSH:

@@ -84,7 +84,7 @@ def good_blank(toks: N.Span, span: N.Span) -> bool:
 
 def cloze_candidates(definitions: DataFrame, sents: DataFrame) -> DataFrame:
     """A blanked sentence for each definition whose term can be blanked: doc_id, rank, front, back, confidence, evidence."""
-    rows = definitions.join(sents.select("doc_id", "index", "toks"), ["doc_id", "index"]).select("doc_id", "rank", "confidence", "evidence", "term", "toks")
+    rows = definitions.join(sents.select("doc_id", "index", "toks").where("toks is not null"), ["doc_id", "index"]).select("doc_id", "rank", "confidence", "evidence", "term", "toks")
 
     def run(doc, rank, confidence, evidence, term, toks) -> Iterator[tuple]:
         span = N.Sentence(toks).find(term)

@@ -35,6 +35,8 @@ OF_SENTENCE = {WORDS: "words:array<string>", DEFINITIONS: f"definitions:array<st
 OF_ROW = {DEFINITIONS: "chunks array<struct<chunk:string,freq:long>>", PHRASES: "total int, keys array<string>, texts array<string>, starts array<int>", TERMS: "terms array<string>", COUNTS: "n_tokens int, n_chunks int", TOPICS: "topics array<struct<key:string,text:string>>"}
 
 
+#: Between phrases that move as one string; a phrase that holds it is written without.
+MARK = "\x00"
 ASCII = re.compile("[A-Za-z]+")
 ARTICLES = re.compile(rf"(?:(?:{'|'.join(L.ARTICLES)}) )+")
 
@@ -151,7 +153,7 @@ def digest(docs: DataFrame, annotator: annotate.Annotator = rules.annotate, of:
             more.append([(k, n) for k, n in named.items() if repeated or k in backs])
         if PHRASES in asked:
             spans = [(a, span) for a, b in chunks if is_phrase(span := tokens[a:b])]
-            more += [max(1, sum([t.seen for t in tokens])), [key_of(span) for _, span in spans], [written(span) for _, span in spans], [at for at, _ in spans]]
+            more += [max(1, sum([t.seen for t in tokens])), [key_of(span).replace(MARK, "") for _, span in spans], [written(span).replace(MARK, "") for _, span in spans], [at for at, _ in spans]]
         if TERMS in asked:
             more.append(list(dict.fromkeys([t.lemma for t in tokens if t.pos in L.CONTENT_POS and t.alpha and not t.stop and len(t.text) >= L.MIN_TERM_CHARS])))
         if COUNTS in asked:
@@ -186,7 +188,18 @@ def chunk_counts(made: DataFrame) -> DataFrame:
 
 def phrases(made: DataFrame) -> DataFrame:
     """Keyword candidates: doc_id, key, display, position, total."""
-    rows = made.select("doc_id", "total", F.explode(F.arrays_zip("keys", "texts", "starts")).alias("p"))
+    return topical(made.select("doc_id", "total", F.explode(F.arrays_zip("keys", "texts", "starts")).alias("p")))
+
+
+def gathered_phrases(made: DataFrame) -> DataFrame:
+    """phrases, all of an id in one partition: they move once, a row a document, as two strings."""
+    lists = ("keys", "texts")
+    rows = made.select("doc_id", "total", *(F.when(F.size(x) > 0, F.array_join(x, MARK)).alias(x) for x in lists), "starts").repartition("doc_id")
+    rows = rows.select("doc_id", "total", *(F.split(x, MARK).alias(x) for x in lists), "starts")
+    return topical(rows.select("doc_id", "total", F.explode(F.arrays_zip("keys", "texts", "starts")).alias("p")))
+
+
+def topical(rows: DataFrame) -> DataFrame:
     return rows.where(annotate.is_topic(F.col("p.texts"))).select("doc_id", F.lower("p.keys").alias("key"), X.display_form(F.col("p.texts")).alias("display"), F.col("p.starts").alias("position"), "total")
 
 
@@ -197,14 +210,20 @@ def topics(made: DataFrame) -> DataFrame:
     return made.select("doc_id", F.inline("topics")).where(annotate.is_topic(F.col("text"))).select("doc_id", F.lower("key").alias("key"))
 
 
-def vocabulary(made: DataFrame) -> DataFrame:
-    """doc_id and terms: the distinct lemmas of a document's topical words."""
-    return made.select("doc_id", F.array_distinct(F.transform("terms", F.lower)).alias("terms"))
+def words(made: DataFrame) -> DataFrame:
+    """doc_id, index and words of usable sentences, all of an id in one partition: they move once, a row a document."""
+    rows = made.select("doc_id", F.col("sents.words").alias("own")).repartition("doc_id")
+    return rows.select("doc_id", F.posexplode("own").alias("index", "own")).select("doc_id", "index", F.transform("own", F.lower).alias("words"))
+
+
+def vocabulary(made: DataFrame, *more: str) -> DataFrame:
+    """doc_id and terms: the distinct lemmas of a document's topical words; more lists of words, in lower case."""
+    return made.select("doc_id", F.array_distinct(F.transform("terms", F.lower)).alias("terms"), *(F.transform(x, F.lower).alias(x) for x in more))
 
 
 def stats(made: DataFrame) -> DataFrame:
     """doc_id, sentences (usable), tokens, chunks."""
-    counted = sentences(made).groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"))
+    counted = made.groupBy("doc_id").agg(F.sum(F.size("sents.sentence")).alias("sentences"))
     own = made.select("doc_id", F.col("n_tokens").alias("tokens"), F.col("n_chunks").alias("chunks"))
     return own.join(counted, "doc_id", "left").select("doc_id", F.coalesce("sentences", F.lit(0)).alias("sentences"), "tokens", "chunks")
 

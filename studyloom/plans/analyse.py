@@ -54,7 +54,7 @@ class Analysis:
     @cached_property
     def annotated(self) -> DataFrame:
         blanks = self.options.include_cloze or self.limits is not None
-        kept = self.kept or tuple(x for x in digest.ALL if blanks or x != digest.TREES)
+        kept = self.kept or tuple(x for x in (*digest.ALL, digest.TOPICS) if blanks or x != digest.TREES)
         return keep(digest.digest(self.docs, self.annotator, kept))  # now; else stages that start together each annotate the same documents
 
     @cached_property
@@ -68,16 +68,15 @@ class Analysis:
     @cached_property
     def ranks(self) -> DataFrame:
         # Few rows that the summary and the facts read.
-        return keep(ranking.rank_sentences(self.sentences))
+        return keep(ranking.rank_sentences(digest.words(self.annotated)))
 
     @cached_property
     def all_keywords(self) -> DataFrame:
-        documents, df = corpus.as_of(self.vocabulary)
-        if self.frequencies is not None:  # what earlier runs have seen comes on top
-            known = self.frequencies.select("term", F.col("df").alias("known"))
-            df = self.vocabulary.select("doc_id", F.explode("terms").alias("term")).join(df, ["doc_id", "term"], "left").join(known, "term", "left").select("doc_id", "term", (F.coalesce("df", F.lit(0)) + F.coalesce("known", F.lit(0))).alias("df"))
-        documents = documents.withColumn("documents", F.col("documents") + self.documents)
-        return keywords.ranked(keywords.score(keywords.counts(digest.phrases(self.annotated)), documents, df))
+        # Phrases move once, a row a document; counts, scores and places are then taken where they are.
+        counted = keywords.counts(digest.gathered_phrases(self.annotated))
+        known = corpus.asked(digest.vocabulary(self.annotated, "keys"), self.frequencies, self.documents)
+        joined = counted.join(known, "doc_id", "left").withColumn("df", F.col("known")[F.col("key")])
+        return keywords.ranked(keywords.weighed(joined, counted.columns))
 
     @property
     def keywords(self) -> DataFrame:

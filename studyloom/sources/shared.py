@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
 def keep(df: DataFrame) -> DataFrame:
     """The rows, computed once and written to the shared folder: reads take only the columns that they ask for, and no executor holds them."""
     path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
