@@ -100,8 +100,8 @@ def bare(key: str) -> str:
     return key[m.end() :] if (m := ARTICLES.match(key)) else key
 
 
-def digest(docs: DataFrame, annotator: annotate.Annotator = rules.annotate, of: tuple[str, ...] = ALL, text_col: str = "text", wanted: Callable[[str], bool] | None = None) -> DataFrame:
-    """A row per row of docs: doc_id, sents, and what of names; wanted as of the rules."""
+def digest(docs: DataFrame, annotator: annotate.Annotator = rules.annotate, of: tuple[str, ...] = ALL, text_col: str = "text", wanted: Callable[[str], bool] | None = None, in_text: bool = False) -> DataFrame:
+    """A row per row of docs: doc_id, sents, and what of names; wanted as of the rules. With in_text, none of texts that wanted is not true of."""
     asked, ids = set(of), docs.schema["doc_id"].dataType.simpleString()
     by_rules, whole = annotator is rules.annotate, not asked.isdisjoint(OF_ALL)
     read = reader(annotator, wanted or (None if whole else rules.may_be_usable), whole)
@@ -116,6 +116,8 @@ def digest(docs: DataFrame, annotator: annotate.Annotator = rules.annotate, of:
 
     def run(doc, repeated, text) -> Iterator[tuple]:
         text = X.normalised(text)
+        if in_text and not wanted(text or ""):
+            return
         tokens, chunks, ranges, tree = read(text)
         sents, backs, raw_keys, states_any = [], set(), set(), False
         for a, b in ranges:
@@ -233,7 +235,9 @@ def sentences_with(pattern: str) -> Callable[[str], bool]:
     needed = facts.NEEDED[pattern]
 
     def wanted(text: str) -> bool:
-        own = set(map(str.lower, ASCII.findall(text)))
+        if len(text) < L.MIN_SENTENCE_CHARS:
+            return False
+        own = set(map(str.lower, set(ASCII.findall(text))))
         return not any([x.isdisjoint(own) for x in needed])
 
     return wanted
@@ -242,5 +246,5 @@ def sentences_with(pattern: str) -> Callable[[str], bool]:
 def pattern_facts(docs: DataFrame, pattern: str) -> DataFrame:
     """Candidates of one fact pattern, of trees of the sentences that can have one: doc_id and the columns of facts.found."""
     wanted = sentences_with(pattern)
-    made = digest(docs, of=(FACTS,), wanted=wanted)
+    made = digest(docs, of=(FACTS,), wanted=wanted, in_text=True)  # a sentence has no word that its text lacks
     return sentences(made).select("doc_id", F.inline("facts")).where(F.col("pattern") == pattern)

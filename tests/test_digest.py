@@ -201,3 +201,8 @@ def test_tagged_sentences_are_not_tagged_again_for_chunks(monkeypatch):
     toks, _, ranges = rules.tagged(text, rules.may_be_usable, False)
     found = list(rules.chunks_where(text, rules.holds({"the valve"}), {toks[a].sent: toks[a:b] for a, b in ranges}))
     assert len(seen) == len(ranges) == 2 and digest.written(found[0]) == "The valve"
+
+
+def test_patterns_pass_over_what_is_too_short_to_be_usable():
+    wanted = digest.sentences_with("possess_property")
+    assert wanted("The old engine has a size of two metres.") and not wanted("It has a size.")
