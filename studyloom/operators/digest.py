@@ -235,16 +235,20 @@ def sentences_with(pattern: str) -> Callable[[str], bool]:
     needed = facts.NEEDED[pattern]
 
     def wanted(text: str) -> bool:
-        if len(text) < L.MIN_SENTENCE_CHARS:
-            return False
         own = set(map(str.lower, set(ASCII.findall(text))))
         return not any([x.isdisjoint(own) for x in needed])
 
     return wanted
 
 
+def long_enough_with(pattern: str) -> Callable[[str], bool]:
+    """sentences_with, of sentences that aren't too short to be usable."""
+    wanted = sentences_with(pattern)
+    return lambda text: len(text) >= L.MIN_SENTENCE_CHARS and wanted(text)
+
+
 def pattern_facts(docs: DataFrame, pattern: str) -> DataFrame:
     """Candidates of one fact pattern, of trees of the sentences that can have one: doc_id and the columns of facts.found."""
-    wanted = sentences_with(pattern)
+    wanted = long_enough_with(pattern)
     made = digest(docs, of=(FACTS,), wanted=wanted, in_text=True)  # a sentence has no word that its text lacks
     return sentences(made).select("doc_id", F.inline("facts")).where(F.col("pattern") == pattern)

@@ -204,5 +204,5 @@ def test_tagged_sentences_are_not_tagged_again_for_chunks(monkeypatch):
 
 
 def test_patterns_pass_over_what_is_too_short_to_be_usable():
-    wanted = digest.sentences_with("possess_property")
+    wanted = digest.long_enough_with("possess_property")
     assert wanted("The old engine has a size of two metres.") and not wanted("It has a size.")
